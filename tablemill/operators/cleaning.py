@@ -64,7 +64,7 @@ def fill_gaps(
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    order = total_order(df.drop(*present), order_by, partition_by)
+    order = total_order(df, order_by, partition_by)
     return running(
         df,
         group_by=partition_by,

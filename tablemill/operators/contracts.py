@@ -77,8 +77,12 @@ class Contract:
         return f"CREATE TABLE {table or self.name} (\n" + ",\n".join(lines) + "\n)"
 
 
-def column_violations(df: DataFrame, contract: Contract, strict: bool = True) -> DataFrame:
-    """Missing and extra columns and wrong types; reads the schema only."""
+def column_violations(df: DataFrame, contract: Contract, strict: bool = True, count_rows: bool = False) -> DataFrame:
+    """Missing and extra columns and wrong types; reads the schema only.
+
+    With ``count_rows`` the violations are counted in rows: rows without the column, rows with a value in an extra
+    column, and rows whose value has no counterpart in the declared type.
+    """
     declared = {c.name: c for c in contract.columns}
     rows = [("missing_column", name, "error", 1, None) for name in declared if name not in df.columns]
     rows += [
@@ -88,7 +92,23 @@ def column_violations(df: DataFrame, contract: Contract, strict: bool = True) ->
         if name in df.columns and not isinstance(df.schema[name].dataType, ACCEPTED[column.type]):
             rows.append(("type", name, "error", 1,
                          f"expected {column.type}, got {df.schema[name].dataType.simpleString()}"))
-    return df.sparkSession.createDataFrame(rows, _RESULT)
+    if not rows or not count_rows:
+        return df.sparkSession.createDataFrame(rows, _RESULT)
+    counts = []
+    for i, (rule, name, *_) in enumerate(rows):
+        if rule == "missing_column":
+            concerned = F.lit(True)
+        elif rule == "extra_column":
+            concerned = named(name).isNotNull()
+        else:
+            concerned = named(name).isNotNull() & named(name).try_cast(DECLARED[declared[name].type]).isNull()
+        counts.append(F.count_if(concerned).alias(f"n{i}"))
+    entries = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column"), F.lit(severity).alias("severity"),
+                 F.col(f"n{i}").alias("violations"), F.lit(detail).cast("string").alias("detail"))
+        for i, (rule, name, severity, _, detail) in enumerate(rows)
+    ]
+    return df.agg(*counts).select(F.inline(F.array(*entries)))
 
 
 def _row_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str, Column]]:

@@ -68,6 +68,8 @@ def condition(columns: Sequence[str], spec: Mapping[str, Any], strict: bool = Fa
         if not children:
             return None
         return ~children[0] if kind == "not" else _fold(children, kind)
+    if kind not in ("simple", "column_compare", "regex"):
+        raise ValueError(f"unknown condition type: {kind}")
     used = [spec["left"], spec["right"]] if kind == "column_compare" else [spec.get("column")]
     absent = [c for c in used if c not in columns]
     if absent:
@@ -79,9 +81,7 @@ def condition(columns: Sequence[str], spec: Mapping[str, Any], strict: bool = Fa
         return compare(named(spec["left"]), spec.get("operator", "=="), named(spec["right"]))
     if kind == "regex":
         return named(spec["column"]).cast("string").rlike(spec["pattern"])
-    if kind == "simple":
-        return compare(named(spec["column"]), spec.get("operator", "=="), spec.get("value"))
-    raise ValueError(f"unknown condition type: {kind}")
+    return compare(named(spec["column"]), spec.get("operator", "=="), spec.get("value"))
 
 
 def filter_rows(

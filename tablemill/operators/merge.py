@@ -31,7 +31,8 @@ def _keys_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colum
 
 
 def _semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    probe = right.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    # Distinct keys collapse map-side, and the join uses the same partitioning: many copies of a key cost nothing.
+    probe = right.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
     on = reduce(lambda a, b: a & b, [left[f"`{k}`"] == probe[f"__k{i}"] for i, k in enumerate(keys)])
     return left.join(probe, on, how)
 
@@ -57,10 +58,12 @@ def merge(
     keys: Sequence[str],
     strategy: str = "update",
     order_by: Sequence[str] | None = None,
+    unique_batch: bool = False,
 ) -> DataFrame:
     """The target after merging the batch on its keys. A null key matches nothing.
 
-    With ``order_by`` the batch is reduced to the last row of each key; without it a repeated key is an error.
+    With ``order_by`` the batch is reduced to the last row of each key; without it a repeated key is an error, for
+    which the batch is counted unless the caller vouches for it with ``unique_batch``.
     ``update`` overwrites the batch's non-key columns of matching rows and adds new keys; ``ignore`` adds new keys
     only; ``delete_insert`` removes matching rows and adds the whole batch.
 
@@ -73,7 +76,7 @@ def merge(
         raise ValueError(f"unknown strategy: {strategy}")
     if order_by is not None:
         batch = dedupe_last(batch, keys, order_by)
-    elif not duplicate_batch_keys(batch, keys).isEmpty():
+    elif not unique_batch and not duplicate_batch_keys(batch, keys).isEmpty():
         raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
 
     if strategy == "delete_insert":

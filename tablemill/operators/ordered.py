@@ -10,6 +10,9 @@ order into ranges of bounded size:
 4. carry rows join the data rows of the next ranges by union, and one window per (group, range) finishes.
 
 Data rows are shuffled once. Tables of at most ``rows_per_range`` rows take a plain window, which is then bounded.
+
+No range can cut through rows that are copies of each other. When the sample shows a key that fills more than a
+range, copies are collapsed to one row with a count first, which also happens map-side, and unfolded at the end.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from tablemill.functions.text import named
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 65_536
 SAMPLE_PER_RANGE = 8
+COPIES_PER_TASK = 1_000_000
 
 _RANGE = "__range"
 _KEY = "__key"
 _DATA = "__is_data"
+_COPIES = "__copies"
 
 
 def total_order(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> list[str]:
@@ -48,8 +53,10 @@ def _sorts(names: Sequence[str], descending: bool) -> list[Column]:
     return [named(n).desc() if descending else named(n).asc() for n in names]
 
 
-def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[dict[str, str | None]]:
-    """``ranges - 1`` increasing key values that cut ``df`` into similar shares. Runs one sampling job."""
+def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> tuple[list[dict[str, str | None]], bool]:
+    """At most ``ranges - 1`` increasing key values that cut ``df`` into similar shares, and whether one key alone
+    seems to fill more than one share. Runs one sampling job over the key columns.
+    """
     wanted = ranges * SAMPLE_PER_RANGE
     sample = df.select(*[named(k) for k in keys])
     if wanted < rows:
@@ -58,7 +65,8 @@ def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) ->
     picked = sample.orderBy(*_sorts(keys, False)).select(*texts).collect()
     step = max(1.0, len(picked) / ranges)
     cuts = [picked[int(i * step)] for i in range(1, ranges) if int(i * step) < len(picked)]
-    return [row.asDict() for row in dict.fromkeys(cuts)]
+    distinct = list(dict.fromkeys(cuts))
+    return [row.asDict() for row in distinct], len(distinct) < len(cuts)
 
 
 def with_range(df: DataFrame, keys: Sequence[str], bounds: list[dict[str, str | None]]) -> DataFrame:
@@ -117,7 +125,10 @@ def running(
 
     keys = list(dict.fromkeys([*group_by, *order_by]))
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
-    ranged = with_range(base, keys, range_bounds(base, keys, ranges, total))
+    bounds, crowded = range_bounds(base, keys, ranges, total)
+    if crowded and set(df.columns) <= set(keys):
+        return _running_over_copies(df, group_by, order_by, sums, numbers, fills, descending, rows_per_range, total)
+    ranged = with_range(base, keys, bounds)
 
     newest = F.min_by if descending else F.max_by
     place = F.struct(*[named(k) for k in order_by])
@@ -154,6 +165,36 @@ def running(
     return _finish(merged, df.columns, sums, numbers, fills, scope, keep=F.col(_DATA))
 
 
+def _running_over_copies(df, group_by, order_by, sums, numbers, fills, descending, rows_per_range, rows) -> DataFrame:
+    """``running`` over distinct rows that stand for ``__copies`` rows each, then one row per copy again."""
+    step = {name: f"__step_{i}" for i, name in enumerate(sums)}
+    place = "__place"
+    distinct = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(_COPIES))
+    totals = running(
+        distinct.withColumns({step[n]: column for n, column in sums.items()}),
+        group_by=group_by,
+        order_by=order_by,
+        sums={**{n: F.col(step[n]) * F.col(_COPIES) for n in sums}, place: F.col(_COPIES)},
+        fills=fills,
+        descending=descending,
+        rows_per_range=rows_per_range,
+        rows=rows,
+    )
+    last_task = ((F.col(_COPIES) - 1) / COPIES_PER_TASK).cast("long")
+    shares = totals.withColumn("__task", F.explode(F.sequence(F.lit(0).cast("long"), last_task)))
+    # A fixed number of partitions: by their size now, before copies unfold, they would all be merged into one.
+    tasks = max(1, min(MAX_RANGES, -(-rows // COPIES_PER_TASK)))
+    share = shares.repartition(tasks, *[named(c) for c in df.columns], F.col("__task"))
+    low = F.col("__task") * COPIES_PER_TASK + 1
+    high = F.least(F.col(_COPIES), (F.col("__task") + 1) * COPIES_PER_TASK)
+    copies = share.withColumn("__copy", F.explode(F.sequence(low, high)))
+    after = F.col(_COPIES) - F.col("__copy")  # copies still to come
+    made = {n: (named(n) - F.col(step[n]) * after).alias(n) for n in sums}
+    made.update({n: (F.col(place) - after).alias(n) for n in numbers})
+    order = [*df.columns, *[n for n in [*sums, *fills, *numbers] if n not in df.columns]]
+    return copies.select(*[made.get(c, named(c)) for c in order])
+
+
 def _finish(base, columns, sums, numbers, fills, scope, keep=None) -> DataFrame:
     made: dict[str, Column] = {}
     for i, name in enumerate(sums):

@@ -28,7 +28,7 @@ def _relabel(groups: DataFrame, group_by: Sequence[str]) -> tuple[DataFrame, Col
 def join_groups(df: DataFrame, groups: DataFrame, group_by: Sequence[str]) -> DataFrame:
     """Left join of one row per group onto the rows of the group; null is a group like any other."""
     if not group_by:
-        return df.crossJoin(groups)  # one row on the right: a table without groups has one total
+        return df.withColumns({c: groups.select(named(c)).scalar() for c in groups.columns})
     fresh, same = _relabel(groups, group_by)
     extra = [c for c in groups.columns if c not in group_by]
     return df.drop(*extra).join(fresh, same, "left").select(
@@ -49,10 +49,14 @@ def value_positions(
 
 
 def rank_average(
-    df: DataFrame, value: str, group_by: Sequence[str], output: str = "rank", rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, value: str, group_by: Sequence[str], output: str = "rank", rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> DataFrame:
-    """1-based rank of the value in its group; equal values share the average of their ranks; null has no rank."""
-    rows = df.count()
+    """1-based rank of the value in its group; equal values share the average of their ranks; null has no rank.
+
+    Rows are counted unless the caller gives an upper bound, here and below.
+    """
+    rows = df.count() if rows is None else rows
     if rows <= rows_per_range:
         groups = [named(g) for g in group_by]
         lowest = F.rank().over(Window.partitionBy(*groups).orderBy(named(value).asc_nulls_last()))
@@ -80,12 +84,13 @@ def group_quantiles(
     quantiles: Mapping[str, float],
     interpolation: str = "nearest",
     rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles, one row per group. ``nearest`` takes an occurring value, ``linear`` interpolates."""
     if interpolation not in ("nearest", "linear"):
         raise ValueError(f"unknown interpolation: {interpolation}")
     groups = [named(g) for g in group_by]
-    spots = value_positions(df, group_by, value, rows_per_range)
+    spots = value_positions(df, group_by, value, rows_per_range, rows)
     sizes = spots.groupBy(*groups).agg(F.sum("n").alias("__size"))
     placed = join_groups(spots, sizes, group_by)
     last = F.col("__size") - 1

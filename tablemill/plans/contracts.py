@@ -90,29 +90,35 @@ def contract_result(spark, folder):
     return contracts.violations(dirty(spark, folder), CUSTOMERS)
 
 
+_MESSY_BALANCE = "CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END"
+
+
 def _reshaped(spark, folder):
-    """Two columns under other names and one with another type."""
-    return dirty(spark, folder).withColumnRenamed("c_name", "full_name").withColumn("c_acctbal", F.col("c_acctbal").cast("string"))
+    """A column under another name, and a column of text that is not always a number."""
+    text = F.when(F.col("c_custkey") % 4 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    return dirty(spark, folder).withColumnRenamed("c_name", "full_name").withColumn("c_acctbal", text)
 
 
-@query("contract_columns", """SELECT 'missing_column' AS rule, 'c_name' AS "column", 'error' AS severity, CAST(1 AS BIGINT) AS violations,
- CAST(NULL AS VARCHAR) AS detail UNION ALL SELECT 'extra_column', 'full_name', 'error', 1, NULL""")
+@query("contract_columns", f"""SELECT 'missing_column' AS rule, 'c_name' AS "column", 'error' AS severity, COUNT(*) AS violations,
+ CAST(NULL AS VARCHAR) AS detail FROM ({_DIRTY}) d UNION ALL SELECT 'extra_column', 'full_name', 'error', COUNT(c_name), NULL FROM ({_DIRTY}) d""")
 def contract_columns(spark, folder):
-    return contracts.column_violations(_reshaped(spark, folder), CUSTOMERS).where("rule != 'type'")
+    return contracts.column_violations(_reshaped(spark, folder), CUSTOMERS, count_rows=True).where("rule != 'type'")
 
 
-@query("contract_types", """SELECT 'type' AS rule, 'c_acctbal' AS "column", 'error' AS severity, CAST(1 AS BIGINT) AS violations,
- 'expected float, got string' AS detail""")
+@query("contract_types", f"""SELECT 'type' AS rule, 'c_acctbal' AS "column", 'error' AS severity,
+ COUNT(*) FILTER (WHERE {_MESSY_BALANCE} = 'n/a') AS violations, 'expected float, got string' AS detail FROM ({_DIRTY}) d""")
 def contract_types(spark, folder):
-    return contracts.column_violations(_reshaped(spark, folder), CUSTOMERS).where("rule = 'type'")
+    return contracts.column_violations(_reshaped(spark, folder), CUSTOMERS, count_rows=True).where("rule = 'type'")
 
 
-@query("contract_schema", """SELECT position, column_name, CASE column_name WHEN 'c_custkey' THEN 'bigint' WHEN 'c_nationkey' THEN 'bigint'
- WHEN 'c_acctbal' THEN 'double' ELSE 'string' END AS data_type, column_name NOT IN ('c_custkey', 'c_acctbal') AS nullable
- FROM (VALUES (1, 'c_custkey'), (2, 'c_name'), (3, 'c_nationkey'), (4, 'c_acctbal'), (5, 'c_mktsegment')) v(position, column_name)""")
+@query("contract_schema", " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, '{kind}' AS data_type, {nullable} AS nullable, COUNT({name}) AS values_read FROM ({_DIRTY}) d"
+    for name, kind, nullable in (("c_custkey", "bigint", "FALSE"), ("c_name", "string", "TRUE"), ("c_nationkey", "bigint", "TRUE"),
+                                 ("c_acctbal", "double", "FALSE"), ("c_mktsegment", "string", "TRUE"))))
 def contract_schema(spark, folder):
-    """The Spark schema a contract stands for; the table is read with it."""
-    rows = dirty(spark, folder).select(*[F.col(f.name).cast(f.dataType) for f in CUSTOMERS.schema().fields])
-    return spark.createDataFrame(
-        [(i, f.name, rows.schema[f.name].dataType.simpleString(), f.nullable) for i, f in enumerate(CUSTOMERS.schema().fields, start=1)],
-        "position int, column_name string, data_type string, nullable boolean")
+    """The Spark schema a contract stands for, and the values of the table that read under it."""
+    schema = CUSTOMERS.schema()
+    rows = dirty(spark, folder).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    entries = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                        F.lit(f.nullable).alias("nullable"), F.col(f"n_{f.name}").alias("values_read")) for f in schema.fields]
+    return rows.agg(*[F.count(f.name).alias(f"n_{f.name}") for f in schema.fields]).select(F.inline(F.array(*entries)))

@@ -35,8 +35,9 @@ def enriched(spark, folder, rows_per_range: int = ROWS_PER_RANGE):
     sample = normalize_headers(fixtures.sample(spark, folder).toDF("ID", "Category ", "VALUE", "Timestamp"))
     rows = drop_empty_rows(sample).where("value > 0").select(
         "id", F.upper("category").alias("category"), (F.col("value") * 1.1).alias("adjusted_value"), "timestamp")
-    ranked = windows.rank_average(rows, "adjusted_value", ["category"], "category_rank", rows_per_range)
-    quantiles = windows.group_quantiles(rows, "adjusted_value", ["category"], {"p75_value": 0.75}, "nearest", rows_per_range)
+    n = sample.count()  # read from the file footers; filters only lower it
+    ranked = windows.rank_average(rows, "adjusted_value", ["category"], "category_rank", rows_per_range, n)
+    quantiles = windows.group_quantiles(rows, "adjusted_value", ["category"], {"p75_value": 0.75}, "nearest", rows_per_range, n)
     groups = fixtures.category_summary(rows).join(quantiles, "category", "left")
     value = F.col("adjusted_value")
     return windows.join_groups(ranked, groups, ["category"]).select(

@@ -20,6 +20,7 @@ from tablemill.functions.text import field, named
 from tablemill.operators.ordered import ROWS_PER_RANGE, running, total_order
 
 ROWS_PER_DOCUMENT = 10_000
+_DUMPER = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -69,7 +70,7 @@ def yaml_rows(df: DataFrame, sort_keys: bool = False, allow_unicode: bool = True
             for line in batch["json"]:
                 row = json.loads(line)
                 row.update({n: cast(row[n]) for n, cast in casts.items() if row[n] is not None})
-                text = yaml.safe_dump([row], sort_keys=sort_keys, allow_unicode=allow_unicode,
+                text = yaml.dump([row], Dumper=_DUMPER, sort_keys=sort_keys, allow_unicode=allow_unicode,
                                       default_flow_style=False)
                 texts.append(text.rstrip("\n"))
             yield pd.DataFrame({output: texts})
@@ -86,7 +87,7 @@ def yaml_documents(documents: DataFrame, wrap: str | None = None, sort_keys: boo
             texts = []
             for text in batch["json"]:
                 payload = json.loads(text)
-                texts.append(yaml.safe_dump({wrap: payload} if wrap else payload, sort_keys=sort_keys,
+                texts.append(yaml.dump({wrap: payload} if wrap else payload, Dumper=_DUMPER, sort_keys=sort_keys,
                                             allow_unicode=True, default_flow_style=False))
             yield pd.DataFrame({"doc_no": batch["doc_no"], "yaml": texts})
 

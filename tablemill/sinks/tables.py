@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import named
-from tablemill.operators.merge import HASH_COLUMN, aligned, dedupe_last, merge, merge_stats, unseen_rows, with_row_hash
+from tablemill.operators.merge import (
+    HASH_COLUMN,
+    aligned,
+    dedupe_last,
+    duplicate_batch_keys,
+    merge,
+    merge_stats,
+    unseen_rows,
+    with_row_hash,
+)
 from tablemill.session import scratch_path
 
 MODES = ("append", "overwrite", "merge", "incremental")
@@ -74,6 +83,12 @@ def write_idempotent(
     _recover(spark, table)
     if keys and order_by is not None:
         df = dedupe_last(df, keys, order_by)
+    elif mode == "merge" and not duplicate_batch_keys(df, keys).isEmpty():
+        raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
+    # The batch is counted, compared and written: compute it once, so that every step sees the same rows.
+    staged = scratch_path(spark, "batch")
+    df.write.parquet(staged)
+    df = spark.read.schema(df.schema).parquet(staged)
     exists = spark.catalog.tableExists(table)
     if not exists:
         if not create_if_missing:
@@ -98,7 +113,7 @@ def write_idempotent(
     if partition_by and set(partition_by) <= set(keys):
         if _merge_partitions(spark, df, target, table, keys, strategy, partition_by):
             return _stats(mode, **{k.removeprefix("rows_"): v for k, v in stats.items()})
-    swap_in(merge(target, df, keys, strategy), table, partition_by)
+    swap_in(merge(target, df, keys, strategy, unique_batch=True), table, partition_by)
     return _stats(mode, **{k.removeprefix("rows_"): v for k, v in stats.items()})
 
 
@@ -123,7 +138,7 @@ def _merge_partitions(spark, df, target, table, keys, strategy, partition_by) ->
     for i, column in enumerate(partition_by):
         touched = touched & named(column).isin(list({row[i] for row in values}))  # prunes partitions at planning
     staged = scratch_path(spark, "merge")
-    merge(target.where(touched), df, keys, strategy).write.parquet(staged)
+    merge(target.where(touched), df, keys, strategy, unique_batch=True).write.parquet(staged)
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:

@@ -21,6 +21,9 @@ from tablemill.functions.text import named
 from tablemill.sources.files import require_paths
 
 
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def _shape(df: DataFrame, value: Column, data_type: T.DataType, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of a value: a list of objects gives its objects, an object one row, anything else column ``value``."""
     kept = [named(k) for k in keep]
@@ -86,22 +89,24 @@ def read_jsonl(
     *,
     schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
+    scalars: bool = False,
     recursive: bool = False,
 ) -> DataFrame:
     """JSON lines, plain or gzip. Blank lines, ``#`` comments and broken lines are left out.
 
-    Lines that are no objects are kept as JSON text in a column ``value``; it exists only when the table has no
-    other column or ``schema`` names it. Give a schema to save the inference pass.
+    Objects become rows. Files with other values are read with ``scalars``: every line is then JSON text in one
+    column ``value``; files without any object are read that way by themselves. Give a schema to save the
+    inference pass.
     """
     paths = require_paths(spark, path, files, "*.jsonl", recursive)
-    if schema is None:
+    if schema is None and not scalars:
         schema = spark.read.option("mode", "DROPMALFORMED").json(paths).schema
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     lines = spark.read.text(paths).where(~F.col("value").rlike(r"^\s*(#|$)"))
     # Objects only: a line such as `5` parses to a row of nulls otherwise.
     valid = F.try_parse_json("value").isNotNull()
-    if schema.fieldNames() in ([], ["value"]):
+    if scalars or not schema.fieldNames():
         table = lines.where(valid).select(F.trim("value").alias("value"))
     else:
         parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
@@ -121,7 +126,7 @@ def yaml_to_json(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFr
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [json.dumps(yaml.safe_load(text), default=_plain) for text in batch[column]]
+            texts = [json.dumps(yaml.load(text, Loader=_LOADER), default=_plain) for text in batch[column]]
             yield batch[list(keep)].assign(json=texts)
 
     kept = [df.schema[k] for k in keep]

@@ -33,21 +33,27 @@ def _nest(paths: Sequence[list[str]]) -> T.StructType:
             fields.append(T.StructField("_" + head[1:], T.StringType()))
             continue
         below = [p[1:] for p in paths if p[0] == head and len(p) > 1]
-        inner = _nest(below) if below else T.StringType()
+        inner = T.StringType()
+        if below:
+            inner = _nest(below)
+            if [head] in paths:  # text and attributes or children of one element
+                inner = T.StructType([*inner.fields, T.StructField("_VALUE", T.StringType())])
         fields.append(T.StructField(head, T.ArrayType(inner)))
     return T.StructType(fields)
 
 
-def _first(steps: list[str]) -> Column:
+def _first(steps: list[str], row: T.StructType) -> Column:
     """The first element on the path, over all its parents."""
     if steps[0].startswith("@"):
         return named("_" + steps[0][1:])
-    value = named(steps[0])
+    value, inner = named(steps[0]), row[steps[0]].dataType.elementType
     for step in steps[1:]:
         if step.startswith("@"):
-            value = F.transform(value, field("_" + step[1:]))
-        else:
-            value = F.flatten(F.filter(F.transform(value, field(step)), lambda e: e.isNotNull()))
+            return F.get(F.filter(F.transform(value, field("_" + step[1:])), lambda e: e.isNotNull()), 0)
+        value = F.flatten(F.filter(F.transform(value, field(step)), lambda e: e.isNotNull()))
+        inner = inner[step].dataType.elementType
+    if isinstance(inner, T.StructType):
+        value = F.transform(value, field("_VALUE"))
     return F.get(value, 0)
 
 
@@ -68,11 +74,9 @@ def read_xml(
     paths = require_paths(spark, path, files, "*.xml", recursive)
     wanted = {column: _steps(xpath) for column, xpath in fields.items()}
     row_tag = _steps(row_xpath)[-1]
-    rows = (
-        spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True)
-        .schema(_nest(list(wanted.values()))).load(paths)
-    )
-    return rows.select(*[_blank_to_null(_first(steps)).alias(column) for column, steps in wanted.items()])
+    shape = _nest(list(wanted.values()))
+    rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(shape).load(paths)
+    return rows.select(*[_blank_to_null(_first(steps, shape)).alias(column) for column, steps in wanted.items()])
 
 
 def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -82,44 +86,47 @@ def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequ
 
 
 class _Tables(HTMLParser):
-    """Cells of the top-level tables of a page."""
+    """Cells of all tables of a page, in the order the tables begin. A cell's text includes that of inner tables."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tables: list[list[list[str]]] = []
-        self.depth = 0
-        self.cell: list[str] | None = None
+        self.open: list[tuple[list[list[str]], list[str] | None]] = []  # rows and text of the open cell, innermost last
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "table":
-            self.depth += 1
-            if self.depth == 1:
-                self.tables.append([])
-        elif self.depth == 1 and tag == "tr":
-            self._close()
-            self.tables[-1].append([])
-        elif self.depth == 1 and tag in ("td", "th"):
-            self._close()
-            if not self.tables[-1]:
-                self.tables[-1].append([])
-            self.cell = []
+            self.tables.append([])
+            self.open.append((self.tables[-1], None))
+        elif self.open and tag in ("tr", "td", "th"):
+            self._close_cell()
+            rows, _ = self.open[-1]
+            if tag == "tr" or not rows:
+                rows.append([])
+            if tag != "tr":
+                self.open[-1] = (rows, [])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "table" and self.depth:
-            if self.depth == 1:
-                self._close()
-            self.depth -= 1
-        elif self.depth == 1 and tag in ("td", "th", "tr"):
-            self._close()
+        if self.open and tag in ("table", "tr", "td", "th"):
+            self._close_cell()
+            if tag == "table":
+                self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
+        for _, text in self.open:
+            if text is not None:
+                text.append(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._close_cell()
+            self.open.pop()
 
-    def _close(self) -> None:
-        if self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+    def _close_cell(self) -> None:
+        rows, text = self.open[-1]
+        if text is not None:
+            rows[-1].append(" ".join("".join(text).split()))
+            self.open[-1] = (rows, None)
 
 
 class HtmlTable:
@@ -141,7 +148,7 @@ class HtmlTable:
 def html_tables(df: DataFrame, html: str, keep: Sequence[str], table_index: int = 0, match: str | None = None) -> DataFrame:
     """Rows (``row_no`` from 0, ``cells``) of one table of each page; the header is row 0 when the table has one."""
     spark = df.sparkSession
-    spark.udtf.register("tablemill_html_table", F.udtf(HtmlTable, returnType="row_no int, cells array<string>"))
+    spark.udtf.register("tablemill_html_table", F.udtf(HtmlTable, returnType="row_no int, cells array<string>", useArrow=True))
     kept = ", ".join(f"p.`{k}`" for k in keep)
     return spark.sql(
         f"SELECT {kept}, t.row_no, t.cells FROM {{pages}} p, "

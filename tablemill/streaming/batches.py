@@ -1,4 +1,7 @@
-"""``foreachBatch`` handlers. Each gives the same table when a micro-batch is replayed after a failure."""
+"""``foreachBatch`` handlers. Each gives the same table when a micro-batch is replayed after a failure.
+
+A stream writes in a session of its own; other sessions that have the table open refresh it before they read again.
+"""
 
 from __future__ import annotations
 
