@@ -113,10 +113,20 @@ def group_quantiles(
 
 
 def with_group_quantile(
-    df: DataFrame, value: str, group_by: Sequence[str], q: float, output: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, value: str, group_by: Sequence[str], q: float, output: str, rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> DataFrame:
     """The group's nearest quantile on each of its rows."""
-    return join_groups(df, group_quantiles(df, value, group_by, {output: q}, "nearest", rows_per_range), group_by)
+    rows = df.count() if rows is None else rows
+    if rows > rows_per_range or not group_by:
+        return join_groups(df, group_quantiles(df, value, group_by, {output: q}, "nearest", rows_per_range, rows), group_by)
+    group = Window.partitionBy(*[named(g) for g in group_by])
+    # The order is that of ``rank_average``, so that both share one sort.
+    numbered = df.withColumn("__no", F.row_number().over(group.orderBy(named(value).asc_nulls_last())))
+    spot = F.round((F.count(named(value)).over(group) - 1) * F.lit(float(q))) + 1
+    placed = numbered.withColumn("__spot", spot)
+    picked = F.max(F.when(F.col("__no") == F.col("__spot"), named(value))).over(group)
+    return placed.withColumn(output, picked).drop("__no", "__spot")
 
 
 def quantile_tier(value: Column, quantile: Column) -> Column:

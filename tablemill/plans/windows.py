@@ -37,10 +37,9 @@ def enriched(spark, folder, rows_per_range: int = ROWS_PER_RANGE):
         "id", F.upper("category").alias("category"), (F.col("value") * 1.1).alias("adjusted_value"), "timestamp")
     n = sample.count()  # read from the file footers; filters only lower it
     ranked = windows.rank_average(rows, "adjusted_value", ["category"], "category_rank", rows_per_range, n)
-    quantiles = windows.group_quantiles(rows, "adjusted_value", ["category"], {"p75_value": 0.75}, "nearest", rows_per_range, n)
-    groups = fixtures.category_summary(rows).join(quantiles, "category", "left")
+    placed = windows.with_group_quantile(ranked, "adjusted_value", ["category"], 0.75, "p75_value", rows_per_range, n)
     value = F.col("adjusted_value")
-    return windows.join_groups(ranked, groups, ["category"]).select(
+    return windows.join_groups(placed, fixtures.category_summary(rows), ["category"]).select(
         "id", "category", "adjusted_value", "timestamp", "category_rank", "p75_value",
         windows.quantile_tier(value, F.col("p75_value")).alias("value_tier"), "record_count",
         F.round("avg_value", 4).alias("avg_value"), F.round("total_value", 4).alias("total_value"),

@@ -80,9 +80,18 @@ def read_xml(
 
 
 def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """Fields of the XML element in a text column, by absolute paths such as ``/order/id`` or ``/order/@id``."""
-    picked = [_blank_to_null(F.xpath_string(named(column), F.lit(x))).alias(c) for c, x in fields.items()]
-    return df.select(*[named(k) for k in keep], *picked)
+    """Fields of the XML element in a text column, by the relative paths of ``read_xml``; each text is parsed once."""
+    wanted = {name: _steps(xpath) for name, xpath in fields.items()}
+    shape = _nest(list(wanted.values()))
+    parsed = F.from_xml(named(column), _ddl(shape), {"ignoreNamespace": "true"})
+    rows = df.select(*[named(k).alias(f"__keep_{i}") for i, k in enumerate(keep)], parsed.alias("__row")).select(
+        *[F.col(f"__keep_{i}") for i in range(len(keep))], "__row.*")
+    return rows.select(*[F.col(f"__keep_{i}").alias(k) for i, k in enumerate(keep)],
+                       *[_blank_to_null(_first(steps, shape)).alias(name) for name, steps in wanted.items()])
+
+
+def _ddl(shape: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
 
 
 class _Tables(HTMLParser):
@@ -129,6 +138,14 @@ class _Tables(HTMLParser):
             self.open[-1] = (rows, None)
 
 
+def _first_table(html: str) -> int:
+    """Where the first table begins, or 0 when that may be inside a comment or a script."""
+    lower = html.lower()
+    at = lower.find("<table")
+    pairs = (("<!--", "-->"), ("<script", "</script"), ("<style", "</style"))
+    return at if all(lower.count(a, 0, at) == lower.count(b, 0, at) for a, b in pairs) else 0
+
+
 class HtmlTable:
     """Table function: rows of the n-th table whose text matches; nothing when the page has no such table."""
 
@@ -136,7 +153,7 @@ class HtmlTable:
         if html is None or "<table" not in html.lower():
             return
         parser = _Tables()
-        parser.feed(html)
+        parser.feed(html[_first_table(html):])
         parser.close()
         found = [t for t in parser.tables if not match or any(re.search(match, c) for row in t for c in row)]
         if table_index < len(found):
