@@ -115,19 +115,20 @@ def running(
         **({"__one": F.lit(1).cast("long")} if numbers else {}),
     }
     base = df.select("*", *[column.alias(name) for name, column in inputs.items()])
+    sum_types = [f.dataType for f in df.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema.fields] if sums else []
     groups = [named(g) for g in group_by]
     sorts = _sorts(order_by, descending)
     total = df.count() if rows is None else rows
 
     if total <= rows_per_range:
         scope = Window.partitionBy(*groups).orderBy(*sorts).rowsBetween(Window.unboundedPreceding, 0)
-        return _finish(base, df.columns, sums, numbers, fills, scope)
+        return _finish(base, df.columns, sums, sum_types, numbers, fills, scope)
 
     keys = list(dict.fromkeys([*group_by, *order_by]))
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
     bounds, crowded = range_bounds(base, keys, ranges, total)
     if crowded and set(df.columns) <= set(keys):
-        return _running_over_copies(df, group_by, order_by, sums, numbers, fills, descending, rows_per_range, total)
+        return _running_over_copies(df, group_by, order_by, sums, sum_types, numbers, fills, descending, rows_per_range, total)
     ranged = with_range(base, keys, bounds)
 
     newest = F.min_by if descending else F.max_by
@@ -138,7 +139,7 @@ def running(
         if name.startswith("__fill_"):
             parts.append(newest(value, F.when(value.isNotNull(), place)).alias(name))
         else:
-            parts.append(F.sum(value).cast(base.schema[name].dataType).alias(name))
+            parts.append(F.sum(value).alias(name))
     # At most one row per range within a group, whatever the number of data rows.
     before = (
         Window.partitionBy(*groups)
@@ -151,8 +152,7 @@ def running(
         _RANGE,
         F.lit(False).alias(_DATA),
         *[
-            (F.last(n, ignorenulls=True) if n.startswith("__fill_") else F.sum(n)).over(before)
-            .cast(base.schema[n].dataType).alias(n)
+            (F.last(n, ignorenulls=True) if n.startswith("__fill_") else F.sum(n)).over(before).alias(n)
             for n in inputs
         ],
     )
@@ -162,10 +162,10 @@ def running(
         .orderBy(F.col(_DATA).asc(), *sorts)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return _finish(merged, df.columns, sums, numbers, fills, scope, keep=F.col(_DATA))
+    return _finish(merged, df.columns, sums, sum_types, numbers, fills, scope, keep=F.col(_DATA))
 
 
-def _running_over_copies(df, group_by, order_by, sums, numbers, fills, descending, rows_per_range, rows) -> DataFrame:
+def _running_over_copies(df, group_by, order_by, sums, sum_types, numbers, fills, descending, rows_per_range, rows) -> DataFrame:
     """``running`` over distinct rows that stand for ``__copies`` rows each, then one row per copy again."""
     step = {name: f"__step_{i}" for i, name in enumerate(sums)}
     place = "__place"
@@ -189,17 +189,17 @@ def _running_over_copies(df, group_by, order_by, sums, numbers, fills, descendin
     high = F.least(F.col(_COPIES), (F.col("__task") + 1) * COPIES_PER_TASK)
     copies = share.withColumn("__copy", F.explode(F.sequence(low, high)))
     after = F.col(_COPIES) - F.col("__copy")  # copies still to come
-    made = {n: (named(n) - F.col(step[n]) * after).alias(n) for n in sums}
+    made = {n: (named(n) - F.col(step[n]) * after).cast(t).alias(n) for n, t in zip(sums, sum_types)}
     made.update({n: (F.col(place) - after).alias(n) for n in numbers})
     order = [*df.columns, *[n for n in [*sums, *fills, *numbers] if n not in df.columns]]
     return copies.select(*[made.get(c, named(c)) for c in order])
 
 
-def _finish(base, columns, sums, numbers, fills, scope, keep=None) -> DataFrame:
+def _finish(base, columns, sums, sum_types, numbers, fills, scope, keep=None) -> DataFrame:
     made: dict[str, Column] = {}
-    for i, name in enumerate(sums):
+    for i, (name, data_type) in enumerate(zip(sums, sum_types)):
         value = F.col(f"__sum_{i}")
-        made[name] = F.when(value.isNotNull(), F.sum(value).over(scope))
+        made[name] = F.when(value.isNotNull(), F.sum(value).over(scope)).cast(data_type)
     for i, name in enumerate(fills):
         made[name] = F.last(F.col(f"__fill_{i}"), ignorenulls=True).over(scope)
     for name in numbers:

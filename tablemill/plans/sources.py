@@ -25,6 +25,19 @@ def src_csv(spark, folder):
     return delimited.read_csv(spark, path)
 
 
+@query("src_csv_layouts", """SELECT 'orders' AS kind, o_orderkey AS id, o_custkey AS customer, NULL AS name FROM orders
+ UNION ALL SELECT 'customers', c_custkey, NULL, c_name FROM customer""")
+def src_csv_layouts(spark, folder):
+    """Two layouts in one folder, told apart by their headers."""
+    path = scratch_path(spark, "csv")
+    table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")).write.csv(
+        f"{path}/orders", header=True)
+    table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")).write.csv(
+        f"{path}/customers", header=True)
+    rows = delimited.read_csv_layouts(spark, path, recursive=True)
+    return rows.select(F.element_at(F.split("_file", "/"), -2).alias("kind"), "id", "customer", "name")
+
+
 @query("src_json_path", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def src_json_path(spark, folder):
     """Documents of 5,000 keys each; the rows lie two levels down."""

@@ -46,6 +46,12 @@ def json_documents(
     return grouped.select("doc_no", F.to_json(payload, _KEEP_NULLS).alias("json"))
 
 
+def write_json(df: DataFrame, path: str, order_by: Sequence[str], orient: str = "records",
+               rows_per_document: int = ROWS_PER_DOCUMENT, mode: str = "errorifexists") -> None:
+    """JSON documents, one file each."""
+    write_documents(json_documents(df, order_by, orient, rows_per_document), path, "json", mode)
+
+
 def write_documents(documents: DataFrame, path: str, text: str, mode: str = "errorifexists") -> None:
     """One folder per document (``doc_no=N``) with one file that holds exactly its text."""
     documents.select("doc_no", text).write.mode(mode).partitionBy("doc_no").option("lineSep", "\n").text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tablemill.functions.text import CSV_NULL_TOKENS, named
 from tablemill.operators.cleaning import null_tokens
 from tablemill.operators.headers import unique_headers
-from tablemill.sources.files import require_paths
+from tablemill.sources.files import require_paths, union_tables
 
 # Separators that are tried, in order of preference on a tie, and the size of the two samples.
 SEPARATORS = (",", ";", "\t", "|", ":")
@@ -42,13 +43,14 @@ def sniff_separator(lines: Sequence[str]) -> str:
 
 def _guess_types(sample: DataFrame) -> dict[str, T.DataType]:
     """The narrowest type that every non-null sample value has, per column."""
-    tests, keys = [], []
+    tests = []
     for i, column in enumerate(sample.columns):
         value = named(column)
         tests.append(F.count(value).alias(f"c{i}"))
-        for j, (_, data_type) in enumerate(_GUESSES):
-            tests.append(F.count(value.try_cast(data_type)).alias(f"c{i}_{j}"))
-            keys.append((i, j))
+        for j, (name, data_type) in enumerate(_GUESSES):
+            # Spark also casts y, n, t, f, 1 and 0 to boolean; only the two words make a column of booleans.
+            fits = F.when(F.lower(value).isin("true", "false"), True) if name == "boolean" else value.try_cast(data_type)
+            tests.append(F.count(fits).alias(f"c{i}_{j}"))
     row = sample.agg(*tests).head()
     types: dict[str, T.DataType] = {}
     for i, column in enumerate(sample.columns):
@@ -69,11 +71,11 @@ def _without_head(lines: DataFrame, count: int) -> DataFrame:
             position = batch.groupby("file").cumcount() + batch["file"].map(lambda f: seen.get(f, 0))
             for file, n in batch.loc[at_start, "file"].value_counts().items():
                 seen[file] = seen.get(file, 0) + int(n)
-            yield batch.loc[~at_start | (position >= count), ["value"]]
+            yield batch.loc[~at_start | (position >= count), ["value", "file"]]
 
     tagged = lines.select("value", F.col("_metadata.file_path").alias("file"),
                           F.col("_metadata.file_block_start").alias("start"))
-    return tagged.mapInPandas(drop, "value string")
+    return tagged.mapInPandas(drop, "value string, file string")
 
 
 def read_csv(
@@ -89,8 +91,9 @@ def read_csv(
     encoding: str = "UTF-8",
     null_values: Sequence[str] = CSV_NULL_TOKENS,
     recursive: bool = False,
+    file_column: str | None = None,
 ) -> DataFrame:
-    """CSV files of one layout as one table.
+    """CSV files of one layout as one table; ``read_csv_layouts`` takes files with different headers.
 
     The separator and the column types come from a few rows at the head unless they are given; a later value that
     does not fit its type is an error, as it would be silent data loss otherwise. Surplus cells of a ragged line are
@@ -106,15 +109,50 @@ def read_csv(
     if skip_rows:
         lines = spark.read.option("encoding", encoding).text(paths)
         kept = _without_head(lines, skip_rows + int(has_header))
-        raw = kept.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"'}).alias("r"))
-        raw = raw.select("r.*")
+        row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"'})
+        raw = kept.select(row.alias("r"), F.col("file").alias("__file")).select("r.*", "__file")
     else:
         raw = (
             spark.read.schema(plain).option("sep", separator).option("header", has_header).option("escape", '"')
             .option("encoding", encoding).option("enforceSchema", names != first or not has_header).csv(paths)
+            .select("*", F.col("_metadata.file_path").alias("__file"))
         )
-    table = null_tokens(raw, null_values)
+    table = null_tokens(raw, null_values, names)
     types = dict(schema or {})
     if not types and infer:
-        types = _guess_types(table.limit(INFER_ROWS))
-    return table.select(*[named(n).cast(types[n]).alias(n) if n in types else named(n) for n in names])
+        types = _guess_types(table.select(*[named(n) for n in names]).limit(INFER_ROWS))
+    cells = [named(n).cast(types[n]).alias(n) if n in types else named(n) for n in names]
+    return table.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
+
+
+def read_csv_layouts(spark: SparkSession, path: str, files: str | Sequence[str] | None = None, *,
+                     file_column: str | None = "_file", recursive: bool = False, **options: Any) -> DataFrame:
+    """CSV files with different headers as one table by column name; a column a file lacks is null in its rows.
+
+    Files are grouped by their first line, so there is one scan per layout, not per file.
+    """
+    paths = require_paths(spark, path, files, "*.csv", recursive)
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for batch in batches:
+            head = batch[(batch["start"] == 0) & ~batch["file"].isin(seen)].drop_duplicates("file")
+            seen.update(head["file"])
+            yield head[["value", "file"]]
+
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("start"))
+    layouts = lines.mapInPandas(first_lines, "value string, file string").groupBy("value").agg(
+        F.sort_array(F.collect_list("file")).alias("files")).orderBy("value").collect()  # file names only
+    frames = [read_csv(spark, path, row["files"], file_column=file_column, **options) for row in layouts]
+    kinds: dict[str, set[T.DataType]] = {}
+    for df in frames:
+        for f in df.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    if any(len(k) > 1 for k in kinds.values()):
+        # Layouts that disagree about a column: numbers meet as double, anything else as text.
+        agreed = {n: next(iter(k)) for n, k in kinds.items() if len(k) == 1}
+        agreed.update({n: T.DoubleType() for n, k in kinds.items() if k == {T.LongType(), T.DoubleType()}})
+        options = {**options, "schema": agreed, "infer": False}
+        frames = [read_csv(spark, path, row["files"], file_column=file_column, **options) for row in layouts]
+    return union_tables(frames)

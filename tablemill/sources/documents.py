@@ -55,20 +55,24 @@ def read_json(
     json_path: str | None = None,
     schema: T.StructType | str | None = None,
     recursive: bool = False,
+    file_column: str | None = None,
 ) -> DataFrame:
     """Whole-file JSON documents. A path that leads nowhere gives a table without rows."""
     paths = require_paths(spark, path, files, "*.json", recursive)
     reader = spark.read.option("multiLine", True)
     df = (reader.schema(schema) if schema is not None else reader).json(paths)
+    keep = [file_column] if file_column else []
+    keys, found = _dig(df.schema, json_path)
+    if file_column:
+        df = df.select("*", F.col("_metadata.file_path").alias(file_column))
     if not json_path:
         return df
-    keys, found = _dig(df.schema, json_path)
     if found is None:
         return spark.createDataFrame([], "value string")
     value = named(keys[0])
     for key in keys[1:]:
         value = value.getField(key)
-    return _shape(df, value, found)
+    return _shape(df, value, found, keep)
 
 
 def json_at(df: DataFrame, column: str, schema: str, json_path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -91,6 +95,7 @@ def read_jsonl(
     columns: Sequence[str] | None = None,
     scalars: bool = False,
     recursive: bool = False,
+    file_column: str | None = None,
 ) -> DataFrame:
     """JSON lines, plain or gzip. Blank lines, ``#`` comments and broken lines are left out.
 
@@ -103,16 +108,18 @@ def read_jsonl(
         schema = spark.read.option("mode", "DROPMALFORMED").json(paths).schema
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    lines = spark.read.text(paths).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("__file"))
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
     # Objects only: a line such as `5` parses to a row of nulls otherwise.
     valid = F.try_parse_json("value").isNotNull()
     if scalars or not schema.fieldNames():
-        table = lines.where(valid).select(F.trim("value").alias("value"))
+        table = lines.where(valid).select(F.trim("value").alias("value"), "__file")
     else:
         parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-        table = lines.where(valid & F.col("value").rlike(r"^\s*\{")).select(parsed.alias("r")).select("r.*")
-    present = [c for c in columns or () if c in table.columns]
-    return table.select(*[named(c) for c in present]) if present else table
+        table = lines.where(valid & F.col("value").rlike(r"^\s*\{")).select(parsed.alias("r"), "__file").select("r.*", "__file")
+    names = [c for c in table.columns if c != "__file"]
+    present = [c for c in columns or () if c in names] or names
+    return table.select(*[named(c) for c in present], *([F.col("__file").alias(file_column)] if file_column else []))
 
 
 def _plain(value: Any) -> Any:
@@ -149,8 +156,13 @@ def read_yaml(
     json_path: str | None = None,
     schema: str | None = None,
     recursive: bool = False,
+    file_column: str | None = None,
 ) -> DataFrame:
     """YAML documents, one per file, with the shape rules of ``read_json``."""
     paths = require_paths(spark, path, files, "*.y*ml", recursive)
-    documents = yaml_to_json(spark.read.text(paths, wholetext=True), "value")
-    return json_at(documents, "json", schema or infer_json_schema(documents, "json", json_path), json_path)
+    keep = [file_column] if file_column else []
+    texts = spark.read.text(paths, wholetext=True)
+    if file_column:
+        texts = texts.select("value", F.col("_metadata.file_path").alias(file_column))
+    documents = yaml_to_json(texts, "value", keep)
+    return json_at(documents, "json", schema or infer_json_schema(documents, "json", json_path), json_path, keep)

@@ -65,6 +65,7 @@ def read_xml(
     row_xpath: str,
     fields: Mapping[str, str],
     recursive: bool = False,
+    file_column: str | None = None,
 ) -> DataFrame:
     """One row per element that ``row_xpath`` names, one string column per ``{column: relative path}``.
 
@@ -76,7 +77,8 @@ def read_xml(
     row_tag = _steps(row_xpath)[-1]
     shape = _nest(list(wanted.values()))
     rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(shape).load(paths)
-    return rows.select(*[_blank_to_null(_first(steps, shape)).alias(column) for column, steps in wanted.items()])
+    cells = [_blank_to_null(_first(steps, shape)).alias(column) for column, steps in wanted.items()]
+    return rows.select(*cells, *([F.col("_metadata.file_path").alias(file_column)] if file_column else []))
 
 
 def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:

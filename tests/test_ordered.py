@@ -78,6 +78,15 @@ def test_range_numbers_follow_the_bounds(spark):
     assert {(r.k, r["__range"]) for r in got.collect()} == {(None, 0), (1, 0), (5, 1), (9, 1), (10, 2), (99, 2)}
 
 
+@pytest.mark.parametrize("kind", ["int", "decimal(12,2)", "double"])
+def test_types_and_width_of_sums(spark, kind):
+    df = spark.range(300).selectExpr("id", f"cast(2000000000 as {kind}) as v")
+    plain = running(df, order_by=["id"], sums={"s": F.col("v")})
+    ranged = running(df, order_by=["id"], sums={"s": F.col("v")}, rows_per_range=40)
+    assert plain.dtypes == ranged.dtypes and ranged.agg(F.max("s")).head()[0] == 300 * 2000000000
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ranged.collect()))
+
+
 def test_rows_are_shuffled_once(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 2)
     plan = running(df, group_by=["g"], order_by=["id"], numbers=["no"], rows_per_range=100)

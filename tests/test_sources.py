@@ -154,3 +154,22 @@ def test_generated_rows_are_fixed(spark):
 def test_union_by_name(frame):
     got = files.union_tables([frame([(1, "x")], "a int, b string"), frame([("y", 2)], "b string, c int")])
     assert bag(got) == sorted([(1, "x", None), (None, "y", 2)], key=repr)
+
+
+def test_file_column_in_every_reader(spark, tmp_path):
+    put(tmp_path, "a.csv", "k,v\n1,x\n")
+    put(tmp_path, "b.csv", "v,w\nfalse,2\n")
+    put(tmp_path, "a.jsonl", '{"k": 1}\n')
+    put(tmp_path, "a.json", '{"d": [{"k": 1}]}')
+    put(tmp_path, "a.yaml", "d: [{k: 1}]")
+    put(tmp_path, "a.xml", "<d><r k='1'/></d>")
+    base = str(tmp_path)
+    frames = [delimited.read_csv(spark, base, "a.csv", file_column="f"), documents.read_jsonl(spark, base, file_column="f"),
+              documents.read_json(spark, base, json_path="d", file_column="f"), documents.read_yaml(spark, base, json_path="d", file_column="f"),
+              markup.read_xml(spark, base, row_xpath="r", fields={"k": "@k"}, file_column="f")]
+    for df, name in zip(frames, ["a.csv", "a.jsonl", "a.json", "a.yaml", "a.xml"]):
+        assert [(str(r.k), r.f.rsplit("/", 1)[-1]) for r in df.collect()] == [("1", name)]
+    with pytest.raises(Exception):
+        delimited.read_csv(spark, base).collect()  # headers differ
+    mixed = delimited.read_csv_layouts(spark, base)
+    assert bag(mixed.select("k", "v", "w")) == sorted([(1, "x", None), (None, "false", 2)], key=repr)
