@@ -13,6 +13,10 @@ CSV_NULL_TOKENS = ("", "NA", "NaN")
 WORKBOOK_NULL_TOKENS = ("nan", "None", "<NA>")
 GAP_TOKENS = ("", "-", "NULL")
 
+# The word boundaries of snake case.
+ACRONYM_END = r"([A-Z]+)([A-Z][a-z])"
+WORD_END = r"([a-z\d])([A-Z])"
+
 
 def named(name: str) -> Column:
     """The column with exactly this name, dots and spaces included."""
@@ -47,8 +51,8 @@ def without_tokens(value: Column, tokens: Iterable[str]) -> Column:
 
 def snake_case(value: Column) -> Column:
     """``customerOrderID-2 x`` becomes ``customer_order_id_2_x``."""
-    split_acronym = F.regexp_replace(value, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    split_words = F.regexp_replace(split_acronym, r"([a-z\d])([A-Z])", "$1_$2")
+    split_acronym = F.regexp_replace(value, ACRONYM_END, "$1_$2")
+    split_words = F.regexp_replace(split_acronym, WORD_END, "$1_$2")
     return F.translate(F.lower(split_words), "- ", "__")
 
 

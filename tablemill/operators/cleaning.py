@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablemill.functions.casting import safe_cast
 from tablemill.functions.text import GAP_TOKENS, is_blank, is_gap, named, without_tokens
-from tablemill.operators.ordered import ROWS_PER_RANGE, running, total_order
+from tablemill.operators.ordered import ROWS_PER_RANGE, running
 
 
 def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -64,11 +64,10 @@ def fill_gaps(
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    order = total_order(df, order_by, partition_by)
     return running(
         df,
         group_by=partition_by,
-        order_by=order,
+        order_by=order_by,
         fills={c: F.when(~is_gap(named(c), empty_tokens), named(c)) for c in present},
         descending=direction == "up",
         rows_per_range=rows_per_range,

@@ -61,10 +61,16 @@ def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) ->
     sample = df.select(*[named(k) for k in keys])
     if wanted < rows:
         sample = sample.sample(fraction=min(1.0, wanted * 1.2 / rows), seed=17)
-    texts = [F.col(f"`{k}`").cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
-    picked = sample.orderBy(*_sorts(keys, False)).select(*texts).collect()
-    step = max(1.0, len(picked) / ranges)
-    cuts = [picked[int(i * step)] for i in range(1, ranges) if int(i * step) < len(picked)]
+    # The sample is bounded, so one task may sort it; only the rows at the cuts reach the driver.
+    whole = Window.partitionBy()
+    numbered = sample.select(
+        *[named(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)],
+        F.row_number().over(whole.orderBy(*_sorts(keys, False))).alias("no"),
+        F.count(F.lit(1)).over(whole).alias("n"),
+    )
+    share = lambda no: F.floor(no * ranges / F.col("n"))
+    at_cut = (share(F.col("no")) > share(F.col("no") - 1)) & (F.col("no") < F.col("n"))
+    cuts = numbered.where(at_cut).orderBy("no").drop("no", "n").collect()
     distinct = list(dict.fromkeys(cuts))
     return [row.asDict() for row in distinct], len(distinct) < len(cuts)
 
@@ -105,9 +111,10 @@ def running(
     ``sums``: output name to the Column to accumulate; null inputs give null and do not change the total.
     ``numbers``: output names for the position 1, 2, 3, ... in the group.
     ``fills``: output name to a Column whose last non-null value so far is taken.
-    ``order_by`` must tell rows apart (see ``total_order``). ``rows`` is an upper bound on the row count when the
-    caller knows one; otherwise the rows are counted.
+    Columns beyond ``order_by`` break ties. ``rows`` is an upper bound on the row count when the caller knows one;
+    otherwise the rows are counted.
     """
+    full_order = total_order(df, order_by, group_by)
     sums, fills = dict(sums or {}), dict(fills or {})
     inputs = {
         **{f"__sum_{i}": column for i, column in enumerate(sums.values())},
@@ -117,7 +124,7 @@ def running(
     base = df.select("*", *[column.alias(name) for name, column in inputs.items()])
     sum_types = [f.dataType for f in df.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema.fields] if sums else []
     groups = [named(g) for g in group_by]
-    sorts = _sorts(order_by, descending)
+    sorts = _sorts(full_order, descending)
     total = df.count() if rows is None else rows
 
     if total <= rows_per_range:
@@ -127,12 +134,16 @@ def running(
     keys = list(dict.fromkeys([*group_by, *order_by]))
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
     bounds, crowded = range_bounds(base, keys, ranges, total)
+    if crowded and len(full_order) > len(order_by):
+        # Many rows share their order columns: cut through them with the columns that break ties.
+        keys = list(dict.fromkeys([*group_by, *full_order]))
+        bounds, crowded = range_bounds(base, keys, ranges, total)
     if crowded and set(df.columns) <= set(keys):
         return _running_over_copies(df, group_by, order_by, sums, sum_types, numbers, fills, descending, rows_per_range, total)
     ranged = with_range(base, keys, bounds)
 
     newest = F.min_by if descending else F.max_by
-    place = F.struct(*[named(k) for k in order_by])
+    place = F.struct(*[named(k) for k in full_order])
     parts = []
     for name in inputs:
         value = F.col(name)

@@ -22,6 +22,20 @@ CHECK_TYPES = (
 )
 ACTIONS = ("warn", "fail", "quarantine")
 
+# Result messages.
+NULLS = "Column '{column}' has {rows} null values"
+DUPLICATES = "Column '{column}' has {keys} duplicate values affecting {rows} rows"
+NOT_IN_SET = "Column '{column}' has {rows} values not in {values}"
+OUTSIDE = "Column '{column}' has {rows} values outside [{min}, {max}]"
+NO_MATCH = "Column '{column}' has {rows} values not matching pattern '{pattern}'"
+COUNT_IN = "Row count {rows} in range [{min}, {max}]"
+COUNT_NOT_IN = "Row count {rows} not in range [{min}, {max}]"
+EXISTS = "Column '{column}' exists"
+MISSING = "Column '{column}' missing"
+NOT_FOUND = "Column '{column}' not found in DataFrame"
+NO_FUNCTION = "Custom function not provided or not callable"
+CUSTOM = "{rows} rows fail {name}"
+
 
 class QualityError(ValueError):
     """A check with action ``fail`` did not pass."""
@@ -74,6 +88,15 @@ def failing(df: DataFrame, check: Expectation) -> Column | None:
     return F.coalesce(bad, F.lit(False))
 
 
+def _say(template: str, counts: Mapping[str, Column], **facts: Any) -> Column:
+    """The template with facts filled in now and counts filled in from their columns."""
+    pieces, rest = [], template
+    for name, count in sorted(counts.items(), key=lambda item: template.index("{" + item[0] + "}")):
+        before, rest = rest.split("{" + name + "}", 1)
+        pieces += [F.lit(before.format(**facts)), count.cast("string")]
+    return F.concat(*pieces, F.lit(rest.format(**facts)))
+
+
 def _count_bounds(check: Expectation) -> tuple[int, int | None]:
     high = check.config.get("max")
     return int(check.config.get("min", 0)), None if high in (None, float("inf")) else int(high)
@@ -114,11 +137,10 @@ def evaluate(df: DataFrame, checks: Sequence[Expectation]) -> DataFrame:
 def _scalar_result(df: DataFrame, check: Expectation, i: int) -> list[Column]:
     rows, none = F.col("__rows"), F.lit(0).cast("long")
     if _missing(df, check):
-        text = F.lit(f"Column '{check.column}' not found in DataFrame")
-        return _result(check, none, none, text, F.lit(False))
+        return _result(check, none, none, F.lit(NOT_FOUND.format(column=check.column)), F.lit(False))
     if check.type == "column_exists":
         there = check.column in df.columns
-        text = F.lit(f"Column '{check.column}' {'exists' if there else 'missing'}")
+        text = F.lit((EXISTS if there else MISSING).format(column=check.column))
         return _result(check, rows, none, text, F.lit(there))
     if check.type == "row_count_between":
         low, high = _count_bounds(check)
@@ -126,27 +148,21 @@ def _scalar_result(df: DataFrame, check: Expectation, i: int) -> list[Column]:
         failed = F.when(outside, rows).otherwise(none)
         columns = _result(check, rows, failed, None, ~outside)
         columns[5] = F.when(outside, 100.0).otherwise(0.0).alias("failure_pct")
-        low_high = f"range [{low}, {'inf' if high is None else high}]"
-        columns[6] = F.concat(F.lit("Row count "), rows.cast("string"),
-                              F.when(outside, " not in ").otherwise(" in "), F.lit(low_high)).alias("message")
+        facts = {"min": low, "max": "inf" if high is None else high}
+        columns[6] = F.when(outside, _say(COUNT_NOT_IN, {"rows": rows}, **facts)).otherwise(
+            _say(COUNT_IN, {"rows": rows}, **facts)).alias("message")
         return columns
     if check.type == "custom" and check.predicate is None:
-        return _result(check, none, none, F.lit("Custom function not provided or not callable"), F.lit(False))
+        return _result(check, none, none, F.lit(NO_FUNCTION), F.lit(False))
     failed = F.col(f"__bad_{i}")
     return _result(check, rows, failed, _text(check, failed))
 
 
 def _text(check: Expectation, failed: Column) -> Column:
-    lead = f"Column '{check.column}' has "
-    tail = {
-        "not_null": " null values",
-        "in_set": f" values not in {list(check.config.get('values', []))}",
-        "between": f" values outside [{check.config.get('min')}, {check.config.get('max')}]",
-        "regex_match": f" values not matching pattern '{check.config.get('pattern', '')}'",
-    }
-    if check.type in tail:
-        return F.concat(F.lit(lead), failed.cast("string"), F.lit(tail[check.type]))
-    return F.concat(failed.cast("string"), F.lit(f" rows fail {check.name}"))
+    template = {"not_null": NULLS, "in_set": NOT_IN_SET, "between": OUTSIDE, "regex_match": NO_MATCH}.get(check.type, CUSTOM)
+    facts = {"column": check.column, "name": check.name, "values": list(check.config.get("values", [])),
+             "min": check.config.get("min"), "max": check.config.get("max"), "pattern": check.config.get("pattern", "")}
+    return _say(template, {"rows": failed}, **facts)
 
 
 def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -164,8 +180,7 @@ def _unique_result(df: DataFrame, check: Expectation) -> DataFrame:
         F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("__bad"),
         F.count_if(again).alias("__keys"),
     )
-    text = F.concat(F.lit(f"Column '{check.column}' has "), F.col("__keys").cast("string"),
-                    F.lit(" duplicate values affecting "), F.col("__bad").cast("string"), F.lit(" rows"))
+    text = _say(DUPLICATES, {"keys": F.col("__keys"), "rows": F.col("__bad")}, column=check.column)
     return totals.select(*_result(check, F.col("__rows"), F.col("__bad"), text))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import named
-from tablemill.operators.ordered import ROWS_PER_RANGE, running, total_order
+from tablemill.operators.ordered import ROWS_PER_RANGE, running
 
 
 def _relabel(groups: DataFrame, group_by: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -152,7 +152,7 @@ def cumulative_sum(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Running total in the group; null where the value is null."""
-    return running(df, group_by=group_by, order_by=total_order(df, order_by, group_by),
+    return running(df, group_by=group_by, order_by=order_by,
                    sums={output: named(value)}, rows_per_range=rows_per_range)
 
 
@@ -160,7 +160,7 @@ def sequence_number(
     df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], output: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """1, 2, 3, ... in the group."""
-    return running(df, group_by=group_by, order_by=total_order(df, order_by, group_by), numbers=[output],
+    return running(df, group_by=group_by, order_by=order_by, numbers=[output],
                    rows_per_range=rows_per_range)
 
 

@@ -129,7 +129,7 @@ def parse_log_lines(spark, folder):
 
 @query("parse_model_log", """SELECT p_partkey, concat('part_', CAST(p_partkey AS VARCHAR)) AS model_name,
  concat('landing.part_', CAST(p_partkey AS VARCHAR)) AS full_path, CASE WHEN p_partkey % 5 = 3 THEN 'error' ELSE 'ok' END AS status,
- 'sql' AS model_type, CASE WHEN p_partkey % 2 = 0 THEN 'table' ELSE 'view' END AS object_type, p_size + 0.25 AS seconds
+ 'sql' AS model_type, CASE WHEN p_partkey % 2 = 0 THEN 'table' ELSE 'view' END AS object_type, CAST(p_size + 0.25 AS DOUBLE) AS seconds
  FROM part WHERE p_partkey % 5 <> 4""")
 def parse_model_log(spark, folder):
     """Lines of other kinds are left out; every part gives one line."""

@@ -86,11 +86,11 @@ def dq_regex(spark, folder):
 
 
 @query("dq_row_count", f"""SELECT 'enough_rows' AS name, 'row_count_between' AS type, n >= 100 AS passed, n AS rows_evaluated,
- CASE WHEN n >= 100 THEN 0 ELSE n END AS rows_failed, CASE WHEN n >= 100 THEN 0.0 ELSE 100.0 END AS failure_pct,
+ CASE WHEN n >= 100 THEN 0 ELSE n END AS rows_failed, CAST(CASE WHEN n >= 100 THEN 0 ELSE 100 END AS DOUBLE) AS failure_pct,
  concat('Row count ', CAST(n AS VARCHAR), CASE WHEN n >= 100 THEN ' in ' ELSE ' not in ' END, 'range [100, inf]') AS message
  FROM (SELECT COUNT(*) AS n FROM ({_DIRTY}) d) r UNION ALL
  SELECT 'few_rows', 'row_count_between', n <= 10, n, CASE WHEN n <= 10 THEN 0 ELSE n END,
- CASE WHEN n <= 10 THEN 0.0 ELSE 100.0 END, concat('Row count ', CAST(n AS VARCHAR),
+ CAST(CASE WHEN n <= 10 THEN 0 ELSE 100 END AS DOUBLE), concat('Row count ', CAST(n AS VARCHAR),
  CASE WHEN n <= 10 THEN ' in ' ELSE ' not in ' END, 'range [0, 10]') FROM (SELECT COUNT(*) AS n FROM ({_DIRTY}) d) r""")
 def dq_row_count(spark, folder):
     return quality.evaluate(dirty(spark, folder), [
@@ -99,8 +99,8 @@ def dq_row_count(spark, folder):
 
 
 _EXISTS = f"""SELECT 'has_name' AS name, 'column_exists' AS type, TRUE AS passed, COUNT(*) AS rows_evaluated,
- CAST(0 AS BIGINT) AS rows_failed, 0.0 AS failure_pct, 'Column ''c_name'' exists' AS message FROM ({_DIRTY}) d
- UNION ALL SELECT 'has_phone', 'column_exists', FALSE, COUNT(*), 0, 0.0, 'Column ''c_phone'' missing' FROM ({_DIRTY}) d"""
+ CAST(0 AS BIGINT) AS rows_failed, CAST(0 AS DOUBLE) AS failure_pct, 'Column ''c_name'' exists' AS message FROM ({_DIRTY}) d
+ UNION ALL SELECT 'has_phone', 'column_exists', FALSE, COUNT(*), 0, 0, 'Column ''c_phone'' missing' FROM ({_DIRTY}) d"""
 
 
 @query("dq_column_exists", _EXISTS)
@@ -115,7 +115,7 @@ def dq_custom(spark, folder):
 
 
 @query("dq_missing_column", f"""SELECT 'phone_there' AS name, 'not_null' AS type, FALSE AS passed, CAST(0 AS BIGINT) AS rows_evaluated,
- CAST(0 AS BIGINT) AS rows_failed, 0.0 AS failure_pct, 'Column ''c_phone'' not found in DataFrame' AS message
+ CAST(0 AS BIGINT) AS rows_failed, CAST(0 AS DOUBLE) AS failure_pct, 'Column ''c_phone'' not found in DataFrame' AS message
  FROM (SELECT COUNT(*) FROM ({_DIRTY}) d) one""")
 def dq_missing_column(spark, folder):
     return quality.evaluate(dirty(spark, folder), [Expectation("phone_there", "not_null", "c_phone")])

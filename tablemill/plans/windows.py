@@ -104,12 +104,14 @@ def pct_vs_avg(spark, folder):
         windows.tier_score(tier).alias("tier_score"))
 
 
-@query("cum_sum", _clean("""SELECT id, category, adjusted_value, ROUND(SUM(adjusted_value) OVER (PARTITION BY category ORDER BY id
- ROWS UNBOUNDED PRECEDING), 4) AS cumulative_value FROM clean_data"""))
+@query("cum_sum", _clean("""SELECT id, category, adjusted_value, CAST(SUM(CAST(adjusted_value AS DECIMAL(18, 3))) OVER
+ (PARTITION BY category ORDER BY id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative_value FROM clean_data"""))
 def cum_sum(spark, folder):
-    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value")
-    summed = windows.cumulative_sum(rows, "adjusted_value", ["category"], ["id"], "cumulative_value")
-    return summed.withColumn("cumulative_value", F.round("cumulative_value", 4))
+    """In decimals, which are exact whatever the order of the additions."""
+    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value",
+                                                F.col("adjusted_value").cast("decimal(18,3)").alias("exact"))
+    summed = windows.cumulative_sum(rows, "exact", ["category"], ["id"], "cumulative_value")
+    return summed.withColumn("cumulative_value", F.col("cumulative_value").cast("double")).drop("exact")
 
 
 @query("seq_in_group", _clean("SELECT id, category, ROW_NUMBER() OVER (PARTITION BY category ORDER BY id) AS record_sequence FROM clean_data"))

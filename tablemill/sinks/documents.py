@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import field, named
-from tablemill.operators.ordered import ROWS_PER_RANGE, running, total_order
+from tablemill.operators.ordered import ROWS_PER_RANGE, running
 
 ROWS_PER_DOCUMENT = 10_000
 _DUMPER = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
@@ -34,7 +34,7 @@ def json_documents(
     """Documents (doc_no, json): a list of row objects (``records``) or an object of value lists (``columns``)."""
     if orient not in ("records", "columns"):
         raise ValueError(f"unknown orient: {orient}")
-    numbered = running(df, order_by=total_order(df, order_by), numbers=["__no"], rows_per_range=rows_per_range)
+    numbered = running(df, order_by=order_by, numbers=["__no"], rows_per_range=rows_per_range)
     doc = F.floor((F.col("__no") - 1) / rows_per_document).cast("long").alias("doc_no")
     row = F.struct(*[named(c) for c in df.columns])
     # Bounded by rows_per_document.
@@ -120,7 +120,7 @@ def nest(
     parent without children comes once with an empty list.
     """
     inner = [c for c in children.columns if c not in on]
-    numbered = running(children, group_by=on, order_by=total_order(children, order_by, on), numbers=["__no"],
+    numbered = running(children, group_by=on, order_by=order_by, numbers=["__no"],
                        rows_per_range=rows_per_range)
     part = F.floor((F.col("__no") - 1) / max_children).cast("int").alias("__part")
     entry = F.struct("__no", F.struct(*[named(c) for c in inner]).alias("row"))

@@ -117,3 +117,14 @@ def test_bounds_survive_every_order_type(spark, kind):
     got = running(df, order_by=["k", "id"], numbers=["no"], rows_per_range=20)
     plain = running(df, order_by=["k", "id"], numbers=["no"])
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_ties_are_broken_by_the_other_columns(spark):
+    """Most rows share the order column, which alone could not cut them into ranges."""
+    df = spark.range(900).select(F.when(F.col("id") < 800, 5).otherwise(9).alias("o"), (F.col("id") * 7 % 900).alias("x"))
+    plain = running(df, order_by=["o"], numbers=["no"])
+    ranged = running(df, order_by=["o"], numbers=["no"], rows_per_range=60)
+    assert "k1" in ranged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ranged.collect()))
+    short = running(df.withColumn("o", F.col("x")), order_by=["o"], numbers=["no"], rows_per_range=60)
+    assert "k1" not in short._jdf.queryExecution().optimizedPlan().toString()
