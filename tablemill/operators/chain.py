@@ -71,7 +71,8 @@ def apply_chain(df: DataFrame, steps: Sequence[Step]) -> DataFrame | None:
 def chain_deltas(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """Rows and columns before and after each step, counted by observers in one pass over the data.
 
-    Runs the chain once and returns one row per step.
+    Runs the chain once and returns one row per step. A stage that is run again after a lost executor counts its
+    rows again, when a later step shuffles them.
     """
     seen: list[tuple[str, Observation, int]] = []
     current = df

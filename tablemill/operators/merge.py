@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.rowhash import row_hash
@@ -13,6 +13,7 @@ from tablemill.functions.text import named
 
 STRATEGIES = ("update", "ignore", "delete_insert")
 HASH_COLUMN = "_row_hash"
+HIT = "__hit"
 
 
 def dedupe_last(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -26,10 +27,6 @@ def dedupe_last(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     return batch.withColumn("__no", F.row_number().over(place)).where(F.col("__no") == 1).drop("__no")
 
 
-def _keys_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[f"`{k}`"] == right[f"`{k}`"] for k in keys])
-
-
 def _semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     # Distinct keys collapse map-side, and the join uses the same partitioning: many copies of a key cost nothing.
     probe = right.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
@@ -70,34 +67,50 @@ def merge(
     The joins keep the target on the side that a skewed partition can be split on, so they also survive a target
     key that is not unique. The new-key test reads the target's key columns only.
     """
-    if not keys:
-        raise ValueError("merge needs keys")
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy: {strategy}")
     if order_by is not None:
         batch = dedupe_last(batch, keys, order_by)
     elif not unique_batch and not duplicate_batch_keys(batch, keys).isEmpty():
         raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
+    held, added = merge_parts(target, batch, keys, strategy)
+    return after_merge(held, strategy).unionByName(added)
 
-    if strategy == "delete_insert":
-        return _semi(target, batch, keys, "left_anti").unionByName(aligned(batch, target))
-    added = aligned(_semi(batch, target, keys, "left_anti"), target)
+
+def merge_parts(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], strategy: str
+) -> tuple[DataFrame, DataFrame]:
+    """The two halves of a merge: the target's rows, updated where due, with a column ``__hit`` that tells which of
+    them the batch matched, and the rows to add. The batch holds each key once.
+    """
+    if not keys:
+        raise ValueError("merge needs keys")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "ignore":
-        return target.unionByName(added)
-    update = [c for c in target.columns if c in batch.columns and c not in keys]
+        return target.withColumn(HIT, F.lit(False)), aligned(_semi(batch, target, keys, "left_anti"), target)
+    update = [c for c in target.columns if c in batch.columns and c not in keys] if strategy == "update" else []
     news = batch.select(
         *[named(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.struct(F.lit(1).alias("hit"), *[named(c) for c in update]).alias("__new"),
+        F.struct(F.lit(1).alias("there"), *[named(c) for c in update]).alias("__new"),
     )
     on = reduce(lambda a, b: a & b, [target[f"`{k}`"] == news[f"__k{i}"] for i, k in enumerate(keys)])
     fresh = F.col("__new")
-    merged = target.join(news, on, "left").select(*[
-        F.when(fresh.isNotNull(), fresh.getField(f.name)).otherwise(named(f.name)).cast(f.dataType).alias(f.name)
-        if f.name in update
-        else named(f.name)
-        for f in target.schema.fields
-    ])
-    return merged.unionByName(added)
+    held = target.join(news, on, "left").select(
+        *[
+            F.when(fresh.isNotNull(), fresh.getField(f.name)).otherwise(named(f.name)).cast(f.dataType).alias(f.name)
+            if f.name in update
+            else named(f.name)
+            for f in target.schema.fields
+        ],
+        fresh.isNotNull().alias(HIT),
+    )
+    if strategy == "delete_insert":
+        return held, aligned(batch, target)
+    return held, aligned(_semi(batch, target, keys, "left_anti"), target)
+
+
+def after_merge(held: DataFrame, strategy: str) -> DataFrame:
+    """What stays of the target's rows."""
+    return (held.where(~F.col(HIT)) if strategy == "delete_insert" else held).drop(HIT)
 
 
 def with_row_hash(df: DataFrame, columns: Sequence[str] | None = None, output: str = HASH_COLUMN) -> DataFrame:

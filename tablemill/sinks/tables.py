@@ -7,19 +7,21 @@ result beside the table and swaps the names, or, for a partitioned table, replac
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import named
 from tablemill.operators.merge import (
     HASH_COLUMN,
+    HIT,
+    after_merge,
     aligned,
     dedupe_last,
     duplicate_batch_keys,
-    merge,
-    merge_stats,
+    merge_parts,
     unseen_rows,
     with_row_hash,
 )
@@ -69,11 +71,14 @@ def write_idempotent(
     partition_by: Sequence[str] = (),
     hash_column: str = HASH_COLUMN,
 ) -> dict[str, object]:
-    """Write a batch and return exact statistics, counted before anything is written.
+    """Write a batch and return its statistics.
 
     With keys and ``order_by`` the batch is first reduced to the last row of each key. ``merge`` needs keys;
     ``incremental`` appends the rows whose hash the table does not hold. ``partition_by`` partitions a table that
     is created; a merge whose keys include those columns rewrites only the partitions of the batch.
+
+    Rows are counted by observers in the stage that writes them, which counts every task once even if executors
+    are lost, so the statistics cost no pass of their own.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
@@ -83,69 +88,73 @@ def write_idempotent(
     _recover(spark, table)
     if keys and order_by is not None:
         df = dedupe_last(df, keys, order_by)
-    elif mode == "merge" and not duplicate_batch_keys(df, keys).isEmpty():
-        raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
-    # The batch is counted, compared and written: compute it once, so that every step sees the same rows.
-    staged = scratch_path(spark, "batch")
-    df.write.parquet(staged)
-    df = spark.read.schema(df.schema).parquet(staged)
-    exists = spark.catalog.tableExists(table)
-    if not exists:
+    if mode == "merge":
+        # Both halves of a merge read the batch: compute it once, so that they see the same rows.
+        staged = scratch_path(spark, "batch")
+        df.write.parquet(staged)
+        df = spark.read.schema(df.schema).parquet(staged)
+        if order_by is None and not duplicate_batch_keys(df, keys).isEmpty():
+            raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
+
+    if not spark.catalog.tableExists(table):
         if not create_if_missing:
             raise ValueError(f"table {table} does not exist")
-        rows = df.count()
-        _create(with_row_hash(df, output=hash_column) if mode == "incremental" else df, table, partition_by)
-        return _stats(mode, rows)
-
+        counted, rows = _counted(with_row_hash(df, output=hash_column) if mode == "incremental" else df)
+        _create(counted, table, partition_by)
+        return _stats(mode, rows.get["n"])
     target = spark.table(table)
-    if mode == "append":
-        rows = df.count()
-        aligned(df, target).write.insertInto(table)
-        return _stats(mode, rows)
-    if mode == "overwrite":
-        rows = df.count()
-        aligned(df, target).write.insertInto(table, overwrite=True)
-        return _stats(mode, rows)
+    if mode == "merge":
+        return _merge(df, target, table, keys, strategy, partition_by)
     if mode == "incremental":
-        return _incremental(spark, df, target, table, hash_column)
-
-    stats = merge_stats(target, df, keys, strategy).head().asDict()
-    if partition_by and set(partition_by) <= set(keys):
-        if _merge_partitions(spark, df, target, table, keys, strategy, partition_by):
-            return _stats(mode, **{k.removeprefix("rows_"): v for k, v in stats.items()})
-    swap_in(merge(target, df, keys, strategy, unique_batch=True), table, partition_by)
-    return _stats(mode, **{k.removeprefix("rows_"): v for k, v in stats.items()})
-
-
-def _incremental(spark: SparkSession, df: DataFrame, target: DataFrame, table: str, hash_column: str) -> dict[str, object]:
-    if hash_column not in target.columns:
-        swap_in(with_row_hash(target, df.columns, hash_column), table)
-        target = spark.table(table)
-    staged = scratch_path(spark, "incremental")
-    # Written once, so that the count and the append see the same rows.
-    aligned(unseen_rows(target, df, hash_column), target).write.parquet(staged)
-    fresh = spark.read.parquet(staged)
-    fresh.write.insertInto(table)
-    return _stats("incremental", fresh.count())
+        if hash_column not in target.columns:
+            swap_in(with_row_hash(target, df.columns, hash_column), table)
+            target = spark.table(table)
+        df = unseen_rows(target, df, hash_column)
+    counted, rows = _counted(aligned(df, target))
+    counted.write.insertInto(table, overwrite=mode == "overwrite")
+    return _stats(mode, rows.get["n"])
+
+
+def _counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, Observation]:
+    watcher = Observation()
+    return df.observe(watcher, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")), watcher
+
+
+def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str,
+           partition_by: Sequence[str]) -> dict[str, object]:
+    touched = _touched(df, partition_by) if partition_by and set(partition_by) <= set(keys) else None
+    held, added = merge_parts(target if touched is None else target.where(touched), df, keys, strategy)
+    held, hits = _counted(held, F.col(HIT))
+    added, new = _counted(added)
+    result = after_merge(held, strategy).unionByName(added)
+    if touched is None:
+        swap_in(result, table, partition_by)
+    else:
+        _replace_partitions(result, table)
+    matched = hits.get["n"]
+    return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
 
 
-def _merge_partitions(spark, df, target, table, keys, strategy, partition_by) -> bool:
-    """Merge only the partitions the batch names; False when there are too many to list."""
+def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
+    """The partitions the batch names, as a filter that prunes them at planning; None when they are too many to list."""
     values = df.select(*[named(c) for c in partition_by]).distinct().limit(MAX_PARTITION_VALUES + 1).collect()
     if len(values) > MAX_PARTITION_VALUES or any(v is None for row in values for v in row):
-        return False
-    touched = F.lit(True)
-    for i, column in enumerate(partition_by):
-        touched = touched & named(column).isin(list({row[i] for row in values}))  # prunes partitions at planning
+        return None
+    tests = [named(c).isin(list({row[i] for row in values})) for i, c in enumerate(partition_by)]
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _replace_partitions(result: DataFrame, table: str) -> None:
+    """Overwrite the partitions of ``result`` only. It may read them, so it is written elsewhere first."""
+    spark = result.sparkSession
     staged = scratch_path(spark, "merge")
-    merge(target.where(touched), df, keys, strategy, unique_batch=True).write.parquet(staged)
+    result.write.parquet(staged)
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        aligned(spark.read.parquet(staged), target).write.insertInto(table, overwrite=True)
+        aligned(spark.read.schema(result.schema).parquet(staged), spark.table(table)).write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    return True
 
 
 def write_table(df: DataFrame, table: str, if_exists: str = "replace", all_varchar: bool = False) -> None:

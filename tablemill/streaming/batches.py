@@ -40,8 +40,12 @@ def quarantine_batches(checks: Sequence[Expectation], clean: Handler, quarantine
     """Send failing rows of each micro-batch to ``quarantine_path`` (one folder per epoch), the rest to ``clean``."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        good, bad = quarantine(batch, checks, run_id, dataset)
-        bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
-        clean(good, epoch)
+        batch.persist()  # both halves read it
+        try:
+            good, bad = quarantine(batch, checks, run_id, dataset)
+            bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
+            clean(good, epoch)
+        finally:
+            batch.unpersist()
 
     return handle
