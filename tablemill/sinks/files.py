@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from tablemill.functions.text import named
 
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of one value together, so that few files are written per folder; Spark splits a value with many rows."""
+    return df.hint("rebalance", *[named(c) for c in columns]) if columns else df
+
+
 def write_csv(df: DataFrame, path: str, include_header: bool = True, delimiter: str = ",", mode: str = "errorifexists") -> None:
     """CSV with doubled quotes inside quoted cells; null is an empty cell and empty text is quoted."""
     df.write.mode(mode).option("escape", '"').csv(path, sep=delimiter, header=include_header)
@@ -18,7 +23,7 @@ def write_csv(df: DataFrame, path: str, include_header: bool = True, delimiter:
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd", partition_by: Sequence[str] = (),
                   mode: str = "errorifexists") -> None:
-    df.write.mode(mode).parquet(path, compression=compression, partitionBy=list(partition_by) or None)
+    spread(df, partition_by).write.mode(mode).parquet(path, compression=compression, partitionBy=list(partition_by) or None)
 
 
 def _ascii(text: Column) -> Column:
@@ -88,7 +93,7 @@ def html_rows(df: DataFrame, keep: Sequence[str] = (), output: str = "html", ind
 
 def write_split(df: DataFrame, path: str, column: str, file_format: str = "csv", mode: str = "errorifexists") -> None:
     """One folder per value of the column; a value with many rows is spread over many files."""
-    writer = df.write.mode(mode).partitionBy(column)
+    writer = spread(df, [column]).write.mode(mode).partitionBy(column)
     if file_format == "csv":
         writer = writer.option("header", True)
     writer.format(file_format).save(path)

@@ -26,6 +26,7 @@ from tablemill.operators.merge import (
     with_row_hash,
 )
 from tablemill.session import scratch_path
+from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
 MAX_PARTITION_VALUES = 10_000
@@ -51,7 +52,7 @@ def _create(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None
 def swap_in(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the contents of a table with a frame that may read that table."""
     spark = df.sparkSession
-    _create(df, f"{table}__new", partition_by)
+    _create(spread(df, partition_by), f"{table}__new", partition_by)
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {table}__old")
     spark.sql(f"ALTER TABLE {table}__new RENAME TO {table}")
@@ -90,16 +91,15 @@ def write_idempotent(
         df = dedupe_last(df, keys, order_by)
     if mode == "merge":
         # Both halves of a merge read the batch: compute it once, so that they see the same rows.
-        staged = scratch_path(spark, "batch")
-        df.write.parquet(staged)
-        df = spark.read.schema(df.schema).parquet(staged)
+        df = _staged(df)
         if order_by is None and not duplicate_batch_keys(df, keys).isEmpty():
             raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
 
     if not spark.catalog.tableExists(table):
         if not create_if_missing:
             raise ValueError(f"table {table} does not exist")
-        counted, rows = _counted(with_row_hash(df, output=hash_column) if mode == "incremental" else df)
+        first = with_row_hash(df, output=hash_column) if mode == "incremental" else df
+        counted, rows = _counted(spread(first, partition_by))  # counted after the shuffle, in the writing stage
         _create(counted, table, partition_by)
         return _stats(mode, rows.get["n"])
     target = spark.table(table)
@@ -128,13 +128,21 @@ def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], st
     added, new = _counted(added)
     result = after_merge(held, strategy).unionByName(added)
     if touched is None:
-        swap_in(result, table, partition_by)
+        # A partitioned table is shuffled once more for its folders, so its rows are counted in a write before that.
+        swap_in(_staged(result) if partition_by else result, table, partition_by)
     else:
-        _replace_partitions(result, table)
+        _replace_partitions(result, table, partition_by)
     matched = hits.get["n"]
     return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """The frame, written and read back."""
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
     """The partitions the batch names, as a filter that prunes them at planning; None when they are too many to list."""
     values = df.select(*[named(c) for c in partition_by]).distinct().limit(MAX_PARTITION_VALUES + 1).collect()
@@ -144,15 +152,15 @@ def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
     return reduce(lambda a, b: a & b, tests)
 
 
-def _replace_partitions(result: DataFrame, table: str) -> None:
+def _replace_partitions(result: DataFrame, table: str, partition_by: Sequence[str]) -> None:
     """Overwrite the partitions of ``result`` only. It may read them, so it is written elsewhere first."""
     spark = result.sparkSession
-    staged = scratch_path(spark, "merge")
-    result.write.parquet(staged)
+    staged = _staged(result)
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        aligned(spark.read.schema(result.schema).parquet(staged), spark.table(table)).write.insertInto(table, overwrite=True)
+        merged = aligned(staged, spark.table(table))
+        spread(merged, partition_by).write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

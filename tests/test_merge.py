@@ -131,6 +131,16 @@ def test_partitioned_merge_leaves_other_partitions_alone(frame, database, spark)
     assert files and {f: os.path.getmtime(f) for f in glob.glob(f"{folder}/p=2/*.parquet")} == files
 
 
+def test_partition_column_outside_the_keys(frame, database, spark):
+    """A key may move to another partition, so the whole table is rewritten; it stays partitioned."""
+    name = f"{database}.t"
+    write_idempotent(frame([(1, "x", 1), (2, "y", 2)], "a int, b string, p int"), name, partition_by=["p"])
+    stats = write_idempotent(frame([(1, "X", 2), (3, "z", 3)], "a int, b string, p int"), name, "merge", keys=["a"], partition_by=["p"])
+    assert (stats["rows_inserted"], stats["rows_updated"]) == (1, 1)
+    assert bag(spark.table(name)) == [(1, "X", 2), (2, "y", 2), (3, "z", 3)]
+    assert spark.sql(f"SHOW PARTITIONS {name}").count() == 2
+
+
 def test_write_table_modes(frame, database, spark):
     name = f"{database}.t"
     write_table(frame([(1, "x", 2.5)], "a int, b string, c double"), name, "fail")

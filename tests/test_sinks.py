@@ -97,3 +97,12 @@ def test_csv_options_and_split(df, tmp_path):
 
 def test_export_gets_its_parameters(df):
     assert files.run_export(lambda d, p: (d.count(), p["x"]), df, {"x": 5}) == (3, 5)
+
+
+def test_partitioned_writes_are_rebalanced(spark, tmp_path):
+    """One file per value where values are small, although every task holds every value."""
+    df = spark.range(1000).select("id", (F.col("id") % 5).alias("p")).repartition(8)
+    assert "RebalancePartitions" in files.spread(df, ["p"])._jdf.queryExecution().optimizedPlan().toString()
+    files.write_parquet(df, str(tmp_path / "p"), partition_by=["p"])
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "p").glob("p=*"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1000

@@ -50,3 +50,26 @@ def test_log_parsing_on_a_stream(spark, tmp_path):
     parsed.writeStream.format("memory").queryName("t_logs").trigger(availableNow=True).option(
         "checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
     assert {(r.type, r.message) for r in spark.table("t_logs").collect()} == {("error", "m"), ("info", "plain")}
+
+
+def test_stateless_operators_accept_streams(spark, tmp_path):
+    from tablemill.operators import cleaning, headers
+    from tablemill.operators.chain import apply_chain
+    from tablemill.operators.quality import quarantine
+
+    rows = spark.createDataFrame([(1, " A ", "5"), (2, "", "x"), (None, None, " ")], "`The Id` int, name string, v string")
+    source = stream(spark, rows, str(tmp_path / "in"))
+    chained = apply_chain(source, [
+        "normalize_headers", "drop_empty_rows", {"name": "require_columns", "required": {"the_id": "id", "name": None, "v": "~"}},
+        {"name": "type_cast", "type_cast": {"v": "int"}}, {"name": "add_constants", "add_constants": {"c": 1}},
+        {"name": "filter", "rows": {"conditions": [{"type": "not", "conditions": [{"column": "id", "operator": ">", "value": 5}]}]},
+         "columns": {"exclude": ["c"]}}])
+    clean, caught = quarantine(cleaning.null_tokens(headers.dedupe_headers(chained), [""]), [
+        Expectation("v", "not_null", "v", action="quarantine"), Expectation("n", "regex_match", "name", {"pattern": "A"}, "quarantine"),
+        Expectation("i", "in_set", "id", {"values": [1, 2]}, "quarantine")])
+    for name, df in (("t_clean", clean), ("t_caught", caught)):
+        assert df.isStreaming
+        df.writeStream.format("memory").queryName(name).trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("t_clean").collect()] == [(1, " A ", 5)]
+    assert [(r.id, r._quality_check) for r in spark.table("t_caught").collect()] == [(2, "v")]
