@@ -114,7 +114,8 @@ def after_merge(held: DataFrame, strategy: str) -> DataFrame:
 
 
 def with_row_hash(df: DataFrame, columns: Sequence[str] | None = None, output: str = HASH_COLUMN) -> DataFrame:
-    return df.withColumn(output, row_hash([c for c in (columns or df.columns) if c != output]))
+    """Add the row hash. Columns enter by name, so their order in the batch or the table does not matter."""
+    return df.withColumn(output, row_hash(sorted(c for c in (columns or df.columns) if c != output)))
 
 
 def unseen_rows(target: DataFrame, batch: DataFrame, output: str = HASH_COLUMN) -> DataFrame:

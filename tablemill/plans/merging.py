@@ -73,7 +73,8 @@ def merge_stats(spark, folder):
 
 
 _NULLED = "SELECT c_custkey, c_name, c_nationkey, c_acctbal{0} AS c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer"
-_HASH = ("md5(concat_ws('|', " + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in _COLUMNS.split(", ")) + "))")
+_CELLS = [f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in _COLUMNS.split(", ")]
+_HASH, _NAMED_HASH = (f"md5(concat_ws('|', {', '.join(cells)}))" for cells in (_CELLS, sorted(_CELLS)))
 
 
 @query("row_hash", f"SELECT c_custkey, {_HASH} AS _row_hash FROM ({_NULLED.format('')}) n")
@@ -87,8 +88,8 @@ _INC_TARGET = _NULLED.format("") + " WHERE c_nationkey < 17"
 _INC_BATCH = _NULLED.format(" + c_nationkey % 2") + " WHERE c_nationkey >= 8"
 
 
-@query("incremental_append", f"""SELECT *, {_HASH} AS _row_hash FROM ({_INC_TARGET}) t UNION ALL SELECT * FROM
- (SELECT *, {_HASH} AS _row_hash FROM ({_INC_BATCH}) b) h WHERE _row_hash NOT IN (SELECT {_HASH} FROM ({_INC_TARGET}) t)""")
+@query("incremental_append", f"""SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_TARGET}) t UNION ALL SELECT * FROM
+ (SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_BATCH}) b) h WHERE _row_hash NOT IN (SELECT {_NAMED_HASH} FROM ({_INC_TARGET}) t)""")
 def incremental_append(spark, folder):
     return merge.incremental(fixtures.derive(spark, folder, _INC_TARGET, "customer"),
                              fixtures.derive(spark, folder, _INC_BATCH, "customer"))
@@ -130,8 +131,8 @@ def sink_merge_partitioned(spark, folder):
     return spark.table(name)
 
 
-@query("sink_incremental", f"""SELECT *, {_HASH} AS _row_hash FROM ({_INC_TARGET}) t UNION ALL SELECT * FROM
- (SELECT *, {_HASH} AS _row_hash FROM ({_INC_BATCH}) b) h WHERE _row_hash NOT IN (SELECT {_HASH} FROM ({_INC_TARGET}) t)""")
+@query("sink_incremental", f"""SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_TARGET}) t UNION ALL SELECT * FROM
+ (SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_BATCH}) b) h WHERE _row_hash NOT IN (SELECT {_NAMED_HASH} FROM ({_INC_TARGET}) t)""")
 def sink_incremental(spark, folder):
     name = f"{_catalog(spark)}.customers"
     for part in (_INC_TARGET, _INC_BATCH, _INC_BATCH):

@@ -49,10 +49,31 @@ def _create(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
 
 
-def swap_in(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the contents of a table with a frame that may read that table."""
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def replace_contents(df: DataFrame, table: str) -> None:
+    """Replace the contents of a table with a frame that may read that table and may have further columns.
+
+    A plain table is written beside the old one and the names are swapped. Catalogs keep the folder of every
+    partition, which a new name does not move, so a partitioned table is overwritten from a written copy of the
+    frame; if that is cut off, the copy in the scratch folder is complete.
+    """
     spark = df.sparkSession
-    _create(spread(df, partition_by), f"{table}__new", partition_by)
+    parts = _partition_columns(spark, table) if spark.catalog.tableExists(table) else []
+    if parts:
+        held = {f.name: f.dataType for f in spark.table(table).schema.fields}
+        changed = [f.name for f in df.schema.fields if f.name in held and f.dataType != held[f.name]]
+        if changed:
+            raise ValueError(f"columns of a partitioned table keep their types: {changed}")
+        new = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in held]
+        copy = _staged(df)
+        if new:
+            spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
+        _overwrite(copy, table, "static")
+        return
+    _create(df, f"{table}__new")
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {table}__old")
     spark.sql(f"ALTER TABLE {table}__new RENAME TO {table}")
@@ -60,6 +81,26 @@ def swap_in(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None
     spark.catalog.refreshTable(table)
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """The frame, written and read back."""
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _overwrite(df: DataFrame, table: str, partitions: str) -> None:
+    """Overwrite the whole table (``static``) or the partitions the frame has rows for (``dynamic``)."""
+    spark = df.sparkSession
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, partitions)
+    try:
+        rows = aligned(df, spark.table(table))
+        spread(rows, _partition_columns(spark, table)).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_idempotent(
     df: DataFrame,
     table: str,
@@ -104,10 +145,10 @@ def write_idempotent(
         return _stats(mode, rows.get["n"])
     target = spark.table(table)
     if mode == "merge":
-        return _merge(df, target, table, keys, strategy, partition_by)
+        return _merge(df, target, table, keys, strategy)
     if mode == "incremental":
         if hash_column not in target.columns:
-            swap_in(with_row_hash(target, df.columns, hash_column), table)
+            replace_contents(with_row_hash(target, df.columns, hash_column), table)
             target = spark.table(table)
         df = unseen_rows(target, df, hash_column)
     counted, rows = _counted(aligned(df, target))
@@ -120,29 +161,21 @@ def _counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, Obse
     return df.observe(watcher, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")), watcher
 
 
-def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str,
-           partition_by: Sequence[str]) -> dict[str, object]:
-    touched = _touched(df, partition_by) if partition_by and set(partition_by) <= set(keys) else None
+def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str) -> dict[str, object]:
+    parts = _partition_columns(df.sparkSession, table)
+    touched = _touched(df, parts) if parts and set(parts) <= set(keys) else None
     held, added = merge_parts(target if touched is None else target.where(touched), df, keys, strategy)
     held, hits = _counted(held, F.col(HIT))
     added, new = _counted(added)
     result = after_merge(held, strategy).unionByName(added)
     if touched is None:
-        # A partitioned table is shuffled once more for its folders, so its rows are counted in a write before that.
-        swap_in(_staged(result) if partition_by else result, table, partition_by)
+        replace_contents(result, table)
     else:
-        _replace_partitions(result, table, partition_by)
+        _overwrite(_staged(result), table, "dynamic")  # read before it is overwritten
     matched = hits.get["n"]
     return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """The frame, written and read back."""
-    path = scratch_path(df.sparkSession, "staged")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
     """The partitions the batch names, as a filter that prunes them at planning; None when they are too many to list."""
     values = df.select(*[named(c) for c in partition_by]).distinct().limit(MAX_PARTITION_VALUES + 1).collect()
@@ -152,19 +185,6 @@ def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
     return reduce(lambda a, b: a & b, tests)
 
 
-def _replace_partitions(result: DataFrame, table: str, partition_by: Sequence[str]) -> None:
-    """Overwrite the partitions of ``result`` only. It may read them, so it is written elsewhere first."""
-    spark = result.sparkSession
-    staged = _staged(result)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        merged = aligned(staged, spark.table(table))
-        spread(merged, partition_by).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-
-
 def write_table(df: DataFrame, table: str, if_exists: str = "replace", all_varchar: bool = False) -> None:
     """Replace, append to, or create (``fail``) a table.
 
@@ -178,11 +198,11 @@ def write_table(df: DataFrame, table: str, if_exists: str = "replace", all_varch
         df = df.select(*[named(c).cast("string").alias(c) for c in df.columns])
     exists = spark.catalog.tableExists(table)
     if if_exists == "replace" and exists:
-        swap_in(df, table)
+        replace_contents(df, table)
     elif if_exists == "append" and exists:
         target = spark.table(table)
         if all_varchar and any(not isinstance(f.dataType, T.StringType) for f in target.schema.fields):
-            swap_in(target.select(*[named(c).cast("string").alias(c) for c in target.columns]), table)
+            replace_contents(target.select(*[named(c).cast("string").alias(c) for c in target.columns]), table)
             target = spark.table(table)
         aligned(df, target).write.insertInto(table)
     else:

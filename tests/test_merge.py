@@ -141,6 +141,16 @@ def test_partition_column_outside_the_keys(frame, database, spark):
     assert spark.sql(f"SHOW PARTITIONS {name}").count() == 2
 
 
+def test_hash_column_is_added_to_a_partitioned_table(frame, database, spark):
+    name = f"{database}.t"
+    frame([(1, 1), (2, 2)], "a int, p int").write.partitionBy("p").saveAsTable(name)
+    batch = frame([(2, 2), (1, 3)], "p int, a int")
+    assert write_idempotent(batch, name, "incremental")["rows_inserted"] == 1
+    assert bag(spark.table(name).select("a", "p")) == [(1, 1), (2, 2), (3, 1)]
+    assert spark.table(name).where("_row_hash is null").count() == 0 and spark.sql(f"SHOW PARTITIONS {name}").count() == 2
+    assert write_idempotent(batch, name, "incremental")["rows_inserted"] == 0
+
+
 def test_write_table_modes(frame, database, spark):
     name = f"{database}.t"
     write_table(frame([(1, "x", 2.5)], "a int, b string, c double"), name, "fail")
