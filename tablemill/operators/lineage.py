@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.session import ensure_checkpoint_dir
+from tablemill.session import staged
 
 # Kinds of transformation a lineage record may carry.
 TRANSFORMATIONS = (
@@ -48,11 +48,10 @@ def downstream(edge_rows: DataFrame, starts: DataFrame) -> DataFrame:
 def upstream(edge_rows: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """All ancestors of each node, as (node, ancestor, depth) with the smallest depth. Cycles end by themselves.
 
-    Each round extends only the pairs found in the round before, and is checkpointed so that neither the plan nor
-    a lost executor's work grows with the depth. ``starts`` (one column ``node``) restricts the nodes.
+    Each round extends only the pairs found in the round before, and is written so that neither the plan nor a lost
+    executor's work grows with the depth. ``starts`` (one column ``node``) restricts the nodes.
     """
-    ensure_checkpoint_dir(edge_rows.sparkSession)
-    steps = edge_rows.select("source", "target").distinct().checkpoint()
+    steps = staged(edge_rows.select("source", "target").distinct())
     first = steps if starts is None else steps.join(starts.select(F.col("node").alias("target")), "target", "left_semi")
     fresh = first.select(F.col("target").alias("node"), F.col("source").alias("ancestor"))
     found = fresh.withColumn("depth", F.lit(1))
@@ -64,7 +63,7 @@ def upstream(edge_rows: DataFrame, starts: DataFrame | None = None, max_depth: i
             .select("node", F.col("source").alias("ancestor")).distinct()
             .join(found, ["node", "ancestor"], "left_anti")
         )
-        fresh = reach.checkpoint()
+        fresh = staged(reach)
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh.withColumn("depth", F.lit(depth)))

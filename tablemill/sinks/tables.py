@@ -25,7 +25,7 @@ from tablemill.operators.merge import (
     unseen_rows,
     with_row_hash,
 )
-from tablemill.session import scratch_path
+from tablemill.session import staged
 from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
@@ -68,7 +68,7 @@ def replace_contents(df: DataFrame, table: str) -> None:
         if changed:
             raise ValueError(f"columns of a partitioned table keep their types: {changed}")
         new = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in held]
-        copy = _staged(df)
+        copy = staged(df)
         if new:
             spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
         _overwrite(copy, table, "static")
@@ -81,13 +81,6 @@ def replace_contents(df: DataFrame, table: str) -> None:
     spark.catalog.refreshTable(table)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """The frame, written and read back."""
-    path = scratch_path(df.sparkSession, "staged")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _overwrite(df: DataFrame, table: str, partitions: str) -> None:
     """Overwrite the whole table (``static``) or the partitions the frame has rows for (``dynamic``)."""
     spark = df.sparkSession
@@ -132,7 +125,7 @@ def write_idempotent(
         df = dedupe_last(df, keys, order_by)
     if mode == "merge":
         # Both halves of a merge read the batch: compute it once, so that they see the same rows.
-        df = _staged(df)
+        df = staged(df)
         if order_by is None and not duplicate_batch_keys(df, keys).isEmpty():
             raise ValueError("the batch repeats a key; pass order_by to keep the last row of each")
 
@@ -171,7 +164,7 @@ def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], st
     if touched is None:
         replace_contents(result, table)
     else:
-        _overwrite(_staged(result), table, "dynamic")  # read before it is overwritten
+        _overwrite(staged(result), table, "dynamic")  # read before it is overwritten
     matched = hits.get["n"]
     return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
 
