@@ -30,6 +30,9 @@ from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
 MAX_PARTITION_VALUES = 10_000
+# Name endings of the two tables of a swap, as no table of a user's would have.
+INCOMING = "__tablemill_incoming"
+REPLACED = "__tablemill_replaced"
 
 
 def _stats(mode: str, inserted: int, updated: int = 0, deleted: int = 0) -> dict[str, object]:
@@ -38,9 +41,9 @@ def _stats(mode: str, inserted: int, updated: int = 0, deleted: int = 0) -> dict
 
 def _recover(spark: SparkSession, table: str) -> None:
     """Finish or undo a swap that was cut off."""
-    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}__old"):
-        spark.sql(f"ALTER TABLE {table}__old RENAME TO {table}")
-    for leftover in (f"{table}__new", f"{table}__old"):
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}{REPLACED}"):
+        spark.sql(f"ALTER TABLE {table}{REPLACED} RENAME TO {table}")
+    for leftover in (f"{table}{INCOMING}", f"{table}{REPLACED}"):
         spark.sql(f"DROP TABLE IF EXISTS {leftover}")
 
 
@@ -73,11 +76,11 @@ def replace_contents(df: DataFrame, table: str) -> None:
             spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
         _overwrite(copy, table, "static")
         return
-    _create(df, f"{table}__new")
+    _create(df, f"{table}{INCOMING}")
     if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} RENAME TO {table}__old")
-    spark.sql(f"ALTER TABLE {table}__new RENAME TO {table}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}__old")
+        spark.sql(f"ALTER TABLE {table} RENAME TO {table}{REPLACED}")
+    spark.sql(f"ALTER TABLE {table}{INCOMING} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}{REPLACED}")
     spark.catalog.refreshTable(table)
 
 

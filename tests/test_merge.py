@@ -3,7 +3,7 @@ from conftest import bag
 from pyspark.sql import functions as F
 
 from tablemill.operators import merge
-from tablemill.sinks.tables import write_idempotent, write_table
+from tablemill.sinks.tables import INCOMING, REPLACED, write_idempotent, write_table
 
 
 @pytest.fixture
@@ -104,14 +104,14 @@ def test_merge_into_table_twice(frame, database, spark, target, batch):
     rows = bag(spark.table(name).where("id is not null"))
     write_idempotent(batch.where("id is not null"), name, "merge", keys=["id"], order_by=["seq"])
     assert bag(spark.table(name).where("id is not null")) == rows
-    assert not spark.catalog.tableExists(f"{name}__old") and not spark.catalog.tableExists(f"{name}__new")
+    assert not spark.catalog.tableExists(f"{name}{REPLACED}") and not spark.catalog.tableExists(f"{name}{INCOMING}")
 
 
 def test_interrupted_swap_is_undone(frame, database, spark):
     name = f"{database}.t"
     write_idempotent(frame([(1, "x")], "a int, b string"), name)
-    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
-    frame([(7, "half")], "a int, b string").write.saveAsTable(f"{name}__new")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}{REPLACED}")
+    frame([(7, "half")], "a int, b string").write.saveAsTable(f"{name}{INCOMING}")
     write_idempotent(frame([(2, "y")], "a int, b string"), name, "merge", keys=["a"])
     assert bag(spark.table(name)) == [(1, "x"), (2, "y")]
 
