@@ -6,6 +6,7 @@ result beside the table and swaps the names, or, for a partitioned table, replac
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -43,8 +44,11 @@ def _recover(spark: SparkSession, table: str) -> None:
     """Finish or undo a swap that was cut off."""
     if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}{REPLACED}"):
         spark.sql(f"ALTER TABLE {table}{REPLACED} RENAME TO {table}")
-    for leftover in (f"{table}{INCOMING}", f"{table}{REPLACED}"):
-        spark.sql(f"DROP TABLE IF EXISTS {leftover}")
+    database, _, leaf = table.rpartition(".")
+    lead = f"{database}." if database else ""
+    for leftover in spark.catalog.listTables(database or None, f"{leaf}{INCOMING}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {lead}{leftover.name}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}{REPLACED}")
 
 
 def _create(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
@@ -76,10 +80,11 @@ def replace_contents(df: DataFrame, table: str) -> None:
             spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
         _overwrite(copy, table, "static")
         return
-    _create(df, f"{table}{INCOMING}")
+    incoming = f"{table}{INCOMING}_{uuid.uuid4().hex[:8]}"  # a failed write leaves a folder that blocks its name
+    _create(df, incoming)
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {table}{REPLACED}")
-    spark.sql(f"ALTER TABLE {table}{INCOMING} RENAME TO {table}")
+    spark.sql(f"ALTER TABLE {incoming} RENAME TO {table}")
     spark.sql(f"DROP TABLE IF EXISTS {table}{REPLACED}")
     spark.catalog.refreshTable(table)
 
