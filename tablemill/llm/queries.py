@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import table
 from tablemill.llm.minhash import near_duplicates
 from tablemill.llm.tokens import count_tokens
+from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, labelled_rows(docs, table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, model, threshold=0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
