@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.common import table
 from tablemill.llm.minhash import near_duplicates
+from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
 from tablemill.llm.tokens import count_tokens
 from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
 
@@ -27,6 +28,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@register
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("pii_base"), F.col("pii_spans")
+    return found.select(
+        "doc_id",
+        *[kind_count(base, kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(spans).alias("spans"),
+        kind_count(spans, "term").alias("n_term"),
+        F.sha2("pii_text", 256).alias("clean_sha256"),
+    )
+
+
 @register
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
