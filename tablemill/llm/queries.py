@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.common import table
 from tablemill.llm.minhash import near_duplicates
+from tablemill.llm.mixing import mix
 from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
 from tablemill.llm.tokens import count_tokens
 from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
@@ -22,12 +23,6 @@ def register(run):
     return run
 
 
-@register
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
-
-
 @register
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,3 +48,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, labelled_rows(docs, table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model, threshold=0.7)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
