@@ -13,6 +13,7 @@ from tablemill.llm.mixing import mix
 from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
 from tablemill.llm.tokens import count_tokens
 from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
+from tablemill.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +51,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@register
+def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "run", "offset", "length")
+
+
 @register
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
