@@ -111,6 +111,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     schema = "digest binary, n_tokens long"
     distinct.select("digest", "content").mapInArrow(_encoder(path), schema).write.mode("append").parquet(folder)
     stored = spark.read.schema(schema).parquet(folder).groupBy("digest").agg(F.min("n_tokens").alias("__count"))  # two calls may have stored one digest
-    counted = docs.withColumn("__digest", digest).join(stored.withColumnRenamed("digest", "__digest"), "__digest", "left")
-    out = put_columns(counted, n_bytes=F.octet_length(content).cast("long"), n_tokens=F.col("__count"), over_limit=F.col("__count") > limit)
-    return out.drop("__digest", "__count")
+    # the length is taken before the join, so that a caller who drops the text need not shuffle it
+    keyed = docs.withColumns({"__digest": digest, "__bytes": F.octet_length(content).cast("long")})
+    out = keyed.join(stored.withColumnRenamed("digest", "__digest"), "__digest", "left")
+    return put_columns(out, n_bytes=F.col("__bytes"), n_tokens=F.col("__count"), over_limit=F.col("__count") > limit).drop("__digest", "__bytes", "__count")
