@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import table
+from tablemill.llm.htmltext import main_text
 from tablemill.llm.minhash import near_duplicates
 from tablemill.llm.mixing import mix
 from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
@@ -66,3 +67,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@register
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
