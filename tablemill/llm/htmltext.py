@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -144,10 +145,6 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _bucket(n: float, edges: tuple) -> int:
-    return sum(n >= e for e in edges)
-
-
 LENGTHS, SHARES, COMMAS = (1, 20, 60, 150, 400, 1200, 4000), (0.01, 0.2, 0.5, 0.8), (1, 3, 8)
 
 
@@ -158,10 +155,10 @@ def name_features(tag: str, attributes: str) -> list[str]:
     return [f"tag={tag}", *[f"cue={c}" for c in cues], *(["hidden"] if attributes and HIDDEN.search(attributes) else [])]
 
 
-def node_features(tree: Tree) -> tuple[list[tuple[str, str]], list[list[str]]]:
-    """Of each node, what its names say (as a key, since names repeat) and what its text says."""
+def node_shapes(tree: Tree) -> list[tuple]:
+    """Of each node, what its text says: (run or block, buckets of length, link share and commas, whether a run ends a sentence)."""
     n = len(tree.tag)
-    length, linked, commas = [len(t) for t in tree.text], list(tree.linked), [t.count(",") + t.count("، ") for t in tree.text]
+    length, linked, commas = [len(t) for t in tree.text], list(tree.linked), [t.count(",") for t in tree.text]
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         length[p] += length[i]
@@ -169,13 +166,17 @@ def node_features(tree: Tree) -> tuple[list[tuple[str, str]], list[list[str]]]:
         commas[p] += commas[i]
     shapes = []
     for i in range(n):
-        kind = "run" if tree.tag[i] == "#run" else "block"
+        text = tree.text[i]
         share = linked[i] / length[i] if length[i] else 0
-        shape = [f"{kind}:length={_bucket(length[i], LENGTHS)}", f"{kind}:links={_bucket(share, SHARES)}", f"{kind}:commas={_bucket(commas[i], COMMAS)}"]
-        if kind == "run":
-            shape.append(f"run:stop={tree.text[i][-1] in '.!?:;。'}")
-        shapes.append(shape)
-    return list(zip(tree.tag, tree.attributes)), shapes
+        sizes = bisect_right(LENGTHS, length[i]), bisect_right(SHARES, share), bisect_right(COMMAS, commas[i])
+        shapes.append(("run", *sizes, text[-1] in ".!?:;。") if text else ("block", *sizes, None))
+    return shapes
+
+
+def shape_features(shape: tuple) -> list[str]:
+    kind, length, links, commas, stop = shape
+    found = [f"{kind}:length={length}", f"{kind}:links={links}", f"{kind}:commas={commas}"]
+    return found if stop is None else [*found, f"run:stop={stop}"]
 
 
 @dataclass
@@ -189,14 +190,13 @@ class Model:
     def marginals(self, tree: Tree) -> list[float]:
         """Probability of content of every node: one pass of messages from the leaves up, one from the root down."""
         n = len(tree.tag)
-        named: dict[tuple[str, str], float] = {}
-        keys, shapes = node_features(tree)
-        weight = self.weights
-        own = []
-        for key, shape in zip(keys, shapes):
-            if key not in named:
-                named[key] = sum(weight.get(f, 0.0) for f in name_features(*key))
-            own.append(self.bias + named[key] + sum(weight.get(f, 0.0) for f in shape))
+        weight, known, own = self.weights, {}, []
+        for name, shape in zip(zip(tree.tag, tree.attributes), node_shapes(tree)):
+            if name not in known:
+                known[name] = sum(weight.get(f, 0.0) for f in name_features(*name))
+            if shape not in known:
+                known[shape] = sum(weight.get(f, 0.0) for f in shape_features(shape))
+            own.append(self.bias + known[name] + known[shape])
         # messages as log odds: what the subtree below says of its parent's label
         pair, other = self.pair, self.pair[""]
         belief, up = own[:], [0.0] * n
@@ -242,12 +242,12 @@ def train(pages: Iterable[str], rounds: int = 300, l2: float = 1e-3) -> Model:
     parent, depth, tags, rows, label = [], [], [], [], []
     for page in pages:
         tree, start = parse(page), len(parent)
-        keys, shapes = node_features(tree)
+        shapes = node_shapes(tree)
         for i in range(len(tree.tag)):
             parent.append(start + tree.parent[i] if i else -1)
             depth.append(depth[parent[-1]] + 1 if i else 0)
             tags.append(tree.tag[tree.parent[i]] if i else "")
-            rows.append([*name_features(keys[i][0], LABEL.sub("", keys[i][1])), *shapes[i]])
+            rows.append([*name_features(tree.tag[i], LABEL.sub("", tree.attributes[i])), *shape_features(shapes[i])])
         label += labels_of(tree)
     names, kinds = sorted({f for row in rows for f in row}), sorted(set(tags) | {""})
     index = {f: i for i, f in enumerate(names)}
