@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.llm.ann import build_index, nearest, usable
 from tablemill.llm.common import table
 from tablemill.llm.htmltext import main_text
 from tablemill.llm.minhash import near_duplicates
@@ -58,6 +59,12 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "run", "offset", "length")
 
 
+@register
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable(table(spark, sf_dir, "embeddings"))
+    return nearest(rows.where("id % 50 = 0"), build_index(rows), k=5)
+
+
 @register
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
