@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.ann import build_index, nearest, usable
 from tablemill.llm.common import table
+from tablemill.llm.decontamination import find_leaks
 from tablemill.llm.htmltext import main_text
 from tablemill.llm.minhash import near_duplicates
 from tablemill.llm.mixing import mix
@@ -70,6 +71,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+@register
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leak = F.explode("leaks").alias("leak")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", leak)
+    return found.select("doc_id", "leak.item_id", "leak.score", F.col("leak.question").alias("question_overlap"), F.col("leak.answer").alias("answer_overlap"))
+
+
 @register
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
