@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.ann import build_index, nearest, usable
+from tablemill.llm.chunks import mark_repeats
 from tablemill.llm.common import table
 from tablemill.llm.decontamination import find_leaks
 from tablemill.llm.htmltext import main_text
@@ -54,6 +55,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@register
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars")))
+
+    def total(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
+    return marked.select(
+        "doc_id", "n_chars", total("shared_spans").alias("shared_chars"), total("repeated_spans").alias("repeated_chars"),
+        listed("shared_spans").alias("shared_spans"), listed("repeated_spans").alias("repeated_spans"),
+    )
+
+
 @register
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = archive_pages(table(spark, sf_dir, "pages"))
