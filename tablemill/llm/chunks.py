@@ -1,6 +1,6 @@
 """Repeated passages by content-defined chunking.
 
-A gear hash rolls over a text's bytes; a chunk ends where the hash's top bits are zero, so cuts depend on the last 32 bytes only and
+A gear hash rolls over a text's bytes; a chunk ends where the hash's top bits are zero, so cuts depend on the last 16 bytes only and
 come back in step after an insertion. Chunks are deduplicated by digest: the first holder keeps a chunk, and runs of chunks that
 others hold first are repeats. Chunks travel as digests, never as text.
 """
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import put_columns, staged
 
 CUT_BITS = 5  # a cut every 32 bytes on average, after SMALLEST
-SMALLEST, LARGEST = 8, 256  # bytes of a chunk; a longer one is cut without regard to content
-RUN = 120  # characters; a shorter run of repeated chunks is left alone
-GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
+SMALLEST, LARGEST = 4, 256  # bytes of a chunk; a longer one is cut without regard to content
+RUN = 100  # characters; a shorter run of repeated chunks is left alone
+GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 16, 256, dtype=np.uint16)
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -29,13 +29,13 @@ def cut_points(data: np.ndarray) -> list[int]:
     if not n:
         return []
     gear = GEAR[data]
-    for k in (1, 2, 4, 8, 16):  # sums over 2, 4, ... 32 bytes: the rolling hash, for all places at once
+    for k in (1, 2, 4, 8):  # sums over 2, 4, 8, 16 bytes: the rolling hash, for all places at once
         if n > k:
-            gear[k:] = gear[k:] + (gear[:-k] << np.uint32(k))
+            gear[k:] = gear[k:] + (gear[:-k] << np.uint16(k))
     inside = np.zeros(n + 1, bool)
     inside[:-1] = (data & 0xC0) == 0x80
     ends, last = [], 0
-    for place in [*(np.flatnonzero((gear >> np.uint32(32 - CUT_BITS)) == 0) + 1).tolist(), n]:
+    for place in [*(np.flatnonzero((gear >> np.uint16(16 - CUT_BITS)) == 0) + 1).tolist(), n]:
         if inside[place] or (place - last < SMALLEST and place < n):
             continue
         while place - last > LARGEST:
@@ -50,7 +50,7 @@ def cut_points(data: np.ndarray) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key columns..., text) to a row per chunk: (key columns..., digest, start, end); positions are code points."""
+    """(id, key, text) to a row per chunk: (id, key, digest, span); span packs start and end, in code points."""
     import xxhash
 
     digest_of = xxhash.xxh3_64_intdigest
@@ -70,8 +70,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts += [0, *points[:-1].tolist()]
                 ends += points.tolist()
             keys = [c.take(pa.array(rows, pa.int32())) for c in batch.columns[:-1]]
-            columns = [np.array(digests, np.uint64).view(np.int64), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns)], names=[*batch.schema.names[:-1], "digest", "start", "end"])
+            spans = (np.array(starts, np.int64) << 32) | np.array(ends, np.int64)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(spans)], names=["id", "key", "digest", "span"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,40 +89,44 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         shared, repeated = [], []
-        for held in batch.column(2).to_pylist():
-            held = sorted((c["start"], c["end"], c["first"]) for c in held)
-            shared.append(merged([c[:2] for c in held]))
-            repeated.append(merged([c[:2] for c in held if not c[2]]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, kind), pa.array(repeated, kind)], names=["id", "key", "shared", "repeated"])
+        for own, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found = sorted((c["span"] >> 32, c["span"] & 0xFFFFFFFF, c["first"]) for c in held)
+            shared.append(merged([c[:2] for c in found]))
+            repeated.append(merged([c[:2] for c in found if c[2] != own]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, kind), pa.array(repeated, kind)], names=["key", "shared", "repeated"])
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key, shared, repeated) of the documents with repeated chunks: runs of chunks that occur elsewhere too, and those among them
-    that occur earlier, by (id, position). key is a hash of the text; rows that repeat both id and text are one document. Null ids come last."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    """(key, shared, repeated) of the documents with such runs: of chunks that other documents hold too, and of those that a document with a
+    smaller id holds. key is a hash of id and text."""
+    last = F.lit((1 << 63) - 1)  # stands for a null id
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), _key(doc_id, text).alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.length("text") >= RUN)
-    chunks = rows.mapInArrow(_chunks, "id long, key long, digest long, start int, end int")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final")
-    first = staged(first.select("digest", "first"))
-    held = chunks.join(first, "digest").select("id", "key", "start", "end", (place == F.col("first")).alias("first"))
-    held = held.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end", "first")).alias("held"))  # one document's chunks
-    return held.mapInArrow(_runs, f"id long, key long, shared {SPANS}, repeated {SPANS}").where("size(shared) > 0")
+    chunks = rows.mapInArrow(_chunks, "id long, key long, digest long, span long")
+    holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first <> final")
+    holders = staged(holders.select("digest", "first"))
+    held = chunks.join(holders, "digest").groupBy("key").agg(F.collect_list(F.struct("span", "first")).alias("held"))  # one document's chunks
+    owned = rows.select("key", "id").distinct().join(held, "key").select("key", "id", "held")
+    return owned.mapInArrow(_runs, f"key long, shared {SPANS}, repeated {SPANS}").where("size(shared) > 0")
+
+
+def _key(doc_id: str, text: str):
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
 
 def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with shared_spans and repeated_spans: stretches of at least RUN characters (code points, end exclusive) whose chunks
-    occur in other places too, and those of them that occur in an earlier place, by (doc_id, position).
+    """``docs`` with shared_spans and repeated_spans: stretches of at least RUN characters (code points, end exclusive) whose chunks are in
+    documents with another id too, and those of them that are in documents with a smaller id.
 
-    A text without such stretches, or null, has empty lists. Chunks are compared by 64-bit digests; a stretch takes several. Input columns
-    named like the new ones give way; other columns and repeated rows stay.
+    A text without such stretches, or null, has empty lists. A null id counts as larger than all others, and such rows as one document.
+    Rows that repeat an id do not make each other's chunks shared. Chunks are compared by 64-bit digests; a stretch takes several.
+    Input columns named like the new ones give way; other columns and repeated rows stay.
     """
-    runs = repeated_runs(docs, doc_id, text).withColumnsRenamed({"id": "__id", "key": "__of"})
-    keyed = docs.withColumn("__key", F.xxhash64(text))
-    met = keyed.join(runs, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
+    runs = repeated_runs(docs, doc_id, text).withColumnRenamed("key", "__key")
+    met = docs.withColumn("__key", _key(doc_id, text)).join(runs, "__key", "left")
     none = F.array().cast(SPANS)
     out = put_columns(met, shared_spans=F.coalesce("shared", none), repeated_spans=F.coalesce("repeated", none))
-    return out.drop("__key", "__id", "__of", "shared", "repeated")
+    return out.drop("__key", "shared", "repeated")
 
 
 def without_repeats(text, spans):
