@@ -1,8 +1,73 @@
-"""The corpus pipeline (stages follow)."""
+"""A training corpus from raw documents: toxic texts, near copies and leaked test items go, personal data is masked, sources are mixed.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame with the columns of
+``documents``; the last adds each document's place in the mix. Between stages the documents are written as Parquet and read again.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablemill.llm.common import staged, table
+from tablemill.llm.decontamination import find_leaks
+from tablemill.llm.minhash import near_duplicates
+from tablemill.llm.mixing import mix
+from tablemill.llm.pii import sanitise
+from tablemill.llm.toxicity import labelled_rows, score_toxicity, train
+
+TOXIC = 0.7  # score from which a document goes
+SHINGLE, SIMILAR = 5, 80  # words of a shingle, per cent of shingles in common from which documents are near copies
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored text scores below TOXIC. The model is trained on the labels of documents that are there; without both
+    kinds of labels nothing can be learned, and every document stays."""
+    labelled = staged(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    if labelled.where("toxic in (0, 1)").select("toxic").distinct().count() < 2:
+        return docs
+    model = train(docs, labelled)
+    return score_toxicity(docs, model, threshold=TOXIC).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies. Texts without words have no copies and stay; so do documents
+    without an id, unless their group has one with an id."""
+    found = near_duplicates(docs, shingle=SHINGLE, percent=SIMILAR)
+    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item's question and answer."""
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it replaced; n_chars follows the text. A null text stays null."""
+    masked = sanitise(docs)
+    text = F.when(F.col("text").isNotNull(), F.col("pii_text"))
+    return masked.withColumns({"text": text, "n_chars": F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with mix_block, mix_slot and mix_offset: read by (mix_slot, mix_offset), sources keep to their target weights."""
+    return mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("personal_data", mask_personal_data),
+    ("source_mix", mix_sources),
+]
+
+ORACLE_SQL = None  # SQL cannot express the decoder, the search or the schedule; tests compare run() with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
