@@ -18,7 +18,7 @@ LEVEL_TYPES = {
     "FATAL": "error",
     "SUCCESS": "success",
 }
-MODEL_LINE = r"(\d+) of (\d+) (OK|ERROR) created? (\w+) (\w+) model ([\w.]+)"
+MODEL_LINE = r"(\d+) of (\d+) (OK|ERROR) creat(?:ed?|ing) (\w+) (\w+) model ([\w.]+)"
 MODEL_SECONDS = r"in ([\d.]+)s"
 
 _JSON_SHAPE = "level string, message string, timestamp string, metadata string"

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.text import named
 
-NULL_MARK = "\\N"
-
-
 def row_hash(columns: Sequence[str]) -> Column:
-    """md5 over the columns joined by ``|``; a null contributes a mark, so no row hashes to null."""
-    parts = [F.coalesce(named(c).cast("string"), F.lit(NULL_MARK)) for c in columns]
-    return F.md5(F.concat_ws("|", *parts))
+    """md5 over the columns as text, each after its length; a null contributes a lone mark. No two rows spell the same, and none
+    hashes to null."""
+    cells = [named(c).cast("string") for c in columns]
+    spelled = [F.coalesce(F.concat(F.length(cell).cast("string"), F.lit(":"), cell), F.lit("-")) for cell in cells]
+    return F.md5(F.concat(F.lit(""), *spelled))

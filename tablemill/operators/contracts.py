@@ -125,7 +125,7 @@ def _row_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str, Column
         if c.max_value is not None:
             rules.append(("max_value", c.name, value > F.lit(c.max_value)))
         if c.allowed_values is not None:
-            rules.append(("allowed_values", c.name, ~value.isin(list(c.allowed_values))))
+            rules.append(("allowed_values", c.name, _not_allowed(c)))
         if c.pattern is not None:
             rules.append(("pattern", c.name, ~value.cast("string").rlike(c.pattern)))
     for key in contract.primary_keys:
@@ -135,6 +135,12 @@ def _row_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str, Column
     return rules
 
 
+def _not_allowed(column: ColumnContract) -> Column:
+    """Null cells are not this rule's matter; a null in the list stands for no value."""
+    value, known = named(column.name), [v for v in column.allowed_values or () if v is not None]
+    return value.isNotNull() & ~value.isin(known) if known else value.isNotNull()
+
+
 def value_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """Every row rule with its number of offending rows (zero included), from one aggregate over the table."""
     rules = _row_rules(df, contract)
@@ -153,7 +159,7 @@ def offenders(df: DataFrame, column: ColumnContract, shown: int = SHOWN_OFFENDER
     """The first few distinct values that are not allowed, in order."""
     value = named(column.name)
     return (
-        df.where(~value.isin(list(column.allowed_values or ()))).select(value.alias("value")).distinct()
+        df.where(_not_allowed(column)).select(value.alias("value")).distinct()
         .orderBy("value").limit(shown)
     )
 
@@ -189,13 +195,28 @@ def key_violations(df: DataFrame, contract: Contract) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _shown_offenders(df: DataFrame, contract: Contract) -> DataFrame | None:
+    """(rule, column, shown): of each column with allowed values, its first few offenders as text."""
+    frames = [
+        offenders(df, c).agg(F.array_join(F.array_sort(F.collect_list(F.col("value").cast("string"))), ", ").alias("shown"))
+        .select(F.lit("allowed_values").alias("rule"), F.lit(c.name).alias("column"), "shown")
+        for c in contract.columns if c.allowed_values is not None and c.name in df.columns
+    ]
+    return reduce(DataFrame.unionByName, frames) if frames else None
+
+
 def violations(df: DataFrame, contract: Contract, strict: bool = True) -> DataFrame:
-    """Everything the table breaks: rules with at least one violation."""
+    """Everything the table breaks: rules with at least one violation. The detail of a column with values that are not allowed shows the
+    first few of them."""
     found = reduce(
         DataFrame.unionByName,
         [column_violations(df, contract, strict), value_violations(df, contract), key_violations(df, contract)],
-    )
-    return found.where(F.col("violations") > 0)
+    ).where(F.col("violations") > 0)
+    shown = _shown_offenders(df, contract)
+    if shown is None:
+        return found
+    detail = F.coalesce("detail", F.when(F.col("shown") != "", F.col("shown")))
+    return found.join(shown, ["rule", "column"], "left").select("rule", "column", "severity", "violations", detail.alias("detail"))
 
 
 def require(df: DataFrame, contract: Contract, strict: bool = True) -> DataFrame:

@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import named
+from tablemill.operators.filters import compare
 
 log = logging.getLogger(__name__)
 
@@ -219,27 +220,23 @@ def dynamic_select(
         if column in df.columns:
             rows = rows.where(named(column) == F.lit(value))
     place = F.struct(*[named(c) for c in order_by])
-    first = rows.agg(F.min_by(F.struct(*[named(c) for c in candidates]), place).alias("row")).head()["row"]
-    if first is None:
+    first = rows.agg(F.min_by(F.struct(*[named(c) for c in candidates]), place).alias("row"))
+    met = [F.coalesce(_met(F.col("row")[c], condition or {}), F.lit(False)).alias(f"m{i}") for i, c in enumerate(candidates)]
+    verdict = first.select(F.col("row").isNotNull().alias("found"), *met).head()
+    if not verdict["found"]:
         raise ValueError(f"no row matches {match_row!r}")
-    chosen = next((c for c in candidates if _meets(first[c], condition or {})), candidates[0])
+    chosen = next((c for i, c in enumerate(candidates) if verdict[f"m{i}"]), candidates[0])
     keep = [named(c) for c in keep_columns if c in df.columns]
     return df.select(*keep, named(chosen).alias(output_name))
 
 
-def _meets(cell: Any, condition: Mapping[str, Any]) -> bool:
-    value = condition.get("value")
+def _met(cell: Column, condition: Mapping[str, Any]) -> Column:
+    """The filters' comparison on one cell; an order is one of numbers."""
     operator = "regex" if condition.get("type") == "regex" else condition.get("operator", "==")
-    if operator in ("==", "="):
-        return cell == value
-    if operator == "!=":
-        return cell != value
-    if operator == "contains":
-        return str(value) in str(cell)
-    if operator == "regex":
-        return bool(value) and re.search(str(value), str(cell)) is not None
-    try:
-        left, right = float(cell), float(value)
-    except (TypeError, ValueError):
-        return False
-    return {">": left > right, "<": left < right, ">=": left >= right, "<=": left <= right}.get(operator, False)
+    value = condition.get("value")
+    if value is None:
+        return cell.isNull() if operator in ("==", "=") else F.lit(False)
+    return compare(cell.try_cast("double") if operator in ORDERS else cell, operator, float(value) if operator in ORDERS else value)
+
+
+ORDERS = (">", "<", ">=", "<=")

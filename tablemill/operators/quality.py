@@ -75,7 +75,8 @@ def failing(df: DataFrame, check: Expectation) -> Column | None:
     if check.type == "not_null":
         return value.isNull()
     if check.type == "in_set":
-        bad = ~value.isin(list(check.config.get("values", [])))
+        known = [v for v in check.config.get("values", []) if v is not None]  # a null in the list would make every test null
+        bad = value.isNotNull() & ~value.isin(known) if known else value.isNotNull()
     elif check.type == "regex_match":
         bad = ~value.cast("string").rlike(check.config.get("pattern", ""))
     else:
@@ -111,8 +112,17 @@ def _result(check: Expectation, evaluated: Column, failed: Column, message: Colu
             pct.alias("failure_pct"), (F.lit(None).cast("string") if message is None else message).alias("message")]
 
 
+def _refuse_equal_names(checks: Sequence[Expectation]) -> None:
+    """Results are told apart by their checks' names."""
+    names = [c.name for c in checks]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"checks share names: {repeated}")
+
+
 def evaluate(df: DataFrame, checks: Sequence[Expectation]) -> DataFrame:
     """One result row per check, lazily: one aggregate for all row checks plus one per uniqueness check."""
+    _refuse_equal_names(checks)
     sums: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     scalar: list[Expectation] = []
     frames: list[DataFrame] = []
@@ -229,6 +239,7 @@ def quarantine(
     Quarantined rows carry ``_quality_check, _check_type, _run_id, _dataset``. A check with a tolerance
     (``threshold_pct`` above 0) takes rows out only when it does not pass, so it is evaluated first.
     """
+    _refuse_equal_names(checks)
     active = [c for c in checks if c.action == "quarantine" and not _missing(df, c)
               and c.type not in ("row_count_between", "column_exists")
               and not (c.type == "custom" and c.predicate is None)]

@@ -20,7 +20,7 @@ CUSTOMERS = Contract(
         ColumnContract("c_name", "string", pattern="^Customer#", unique=True),
         ColumnContract("c_nationkey", "int", min_value=2, max_value=20),
         ColumnContract("c_acctbal", "float", nullable=False, min_value=0),
-        ColumnContract("c_mktsegment", "string", allowed_values=SEGMENTS),
+        ColumnContract("c_mktsegment", "string", allowed_values=[*SEGMENTS, None]),
     ],
     primary_keys=["c_custkey", "c_name"],
     unique_constraints=[["c_nationkey", "c_mktsegment"]],
@@ -84,7 +84,11 @@ def contract_check(spark, folder):
     return contracts.value_violations(dirty(spark, folder), Contract("check", [], check_constraints=CUSTOMERS.check_constraints))
 
 
-@query("contract_result", f"""SELECT * FROM ({_VALUES} UNION ALL {' UNION ALL '.join(_UNIQUE)} UNION ALL {_KEY} UNION ALL {_MULTI}) v
+_SHOWN = f"""(SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s FROM ({_DIRTY}) d
+ WHERE c_mktsegment NOT IN ({_LIST}) ORDER BY s LIMIT 5) o)"""
+
+
+@query("contract_result", f"""SELECT rule, "column", severity, violations, CASE WHEN rule = 'allowed_values' THEN {_SHOWN} ELSE detail END AS detail FROM ({_VALUES} UNION ALL {' UNION ALL '.join(_UNIQUE)} UNION ALL {_KEY} UNION ALL {_MULTI}) v
  WHERE violations > 0""")
 def contract_result(spark, folder):
     return contracts.violations(dirty(spark, folder), CUSTOMERS)

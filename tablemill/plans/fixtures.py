@@ -81,7 +81,7 @@ LOG_LINES = """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN concat('plain ',
  WHEN 'signup' THEN 'SUCCESS' ELSE 'odd' END, '", "message": "user ', CAST(user_id AS {text}), '", "timestamp": "t',
  CAST(event_id AS {text}), '"}') END AS line FROM events"""
 MODEL_LINES = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN concat('Compiling model landing.', p_name)
- ELSE concat(CAST(p_size AS {text}), ' of 50 ', CASE WHEN p_partkey % 5 = 3 THEN 'ERROR create' ELSE 'OK created' END,
+ ELSE concat(CAST(p_size AS {text}), ' of 50 ', CASE WHEN p_partkey % 5 = 3 THEN 'ERROR creating' ELSE 'OK created' END,
  ' sql ', CASE WHEN p_partkey % 2 = 0 THEN 'table' ELSE 'view' END, ' model landing.part_', CAST(p_partkey AS {text}),
  ' .... [OK] in ', CAST(p_size AS {text}), '.25s') END AS line FROM part"""
 

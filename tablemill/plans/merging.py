@@ -73,8 +73,8 @@ def merge_stats(spark, folder):
 
 
 _NULLED = "SELECT c_custkey, c_name, c_nationkey, c_acctbal{0} AS c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer"
-_CELLS = [f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in _COLUMNS.split(", ")]
-_HASH, _NAMED_HASH = (f"md5(concat_ws('|', {', '.join(cells)}))" for cells in (_CELLS, sorted(_CELLS)))
+_CELLS = [f"COALESCE(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _COLUMNS.split(", ")]
+_HASH, _NAMED_HASH = (f"md5({' || '.join(cells)})" for cells in (_CELLS, [c for _, c in sorted(zip(_COLUMNS.split(", "), _CELLS))]))
 
 
 @query("row_hash", f"SELECT c_custkey, {_HASH} AS _row_hash FROM ({_NULLED.format('')}) n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
@@ -18,7 +19,6 @@ from tablemill.sources.files import require_paths, union_tables
 
 # Separators that are tried, in order of preference on a tie, and the size of the two samples.
 SEPARATORS = (",", ";", "\t", "|", ":")
-TIE_ORDER = ";,|\t:"
 SNIFF_LINES = 50
 INFER_ROWS = 2_000
 
@@ -31,14 +31,17 @@ _GUESSES: tuple[tuple[str, T.DataType], ...] = (
 
 
 def sniff_separator(lines: Sequence[str]) -> str:
-    """The separator of a few sample lines; comma when there is none."""
-    text = "\n".join(lines)
-    try:
-        return csv.Sniffer().sniff(text, delimiters="".join(SEPARATORS)).delimiter
-    except csv.Error:
-        first = next((line for line in lines if line.strip()), "")
-        best = max(SEPARATORS, key=lambda s: (first.count(s), -TIE_ORDER.find(s)))
-        return best if first.count(best) else ","
+    """The separator that cuts most of the sample lines into one and the same number of fields, more than one; then the one that gives
+    more fields, then the one listed first. Comma when none cuts a line."""
+
+    def steadiness(separator: str) -> tuple[int, int]:
+        widths = Counter(len(row) for row in csv.reader(filled, delimiter=separator))
+        width, times = max(widths.items(), key=lambda entry: (entry[0] > 1, entry[1], entry[0]), default=(1, 0))
+        return (times, width) if width > 1 else (0, 0)
+
+    filled = [line for line in lines if line.strip()]
+    best = max(SEPARATORS, key=steadiness)
+    return best if steadiness(best)[0] else ","
 
 
 def _guess_types(sample: DataFrame) -> dict[str, T.DataType]:

@@ -164,3 +164,11 @@ def test_write_table_modes(frame, database, spark):
     assert {t for _, t in spark.table(name).dtypes} == {"string"} and spark.table(name).count() == 3
     write_table(spark.table(name).where("a = 5"), name, "replace")  # may read the table it replaces
     assert bag(spark.table(name)) == [("5", None, None)]
+
+
+def test_row_hashes_tell_cells_apart(frame):
+    from tablemill.functions.rowhash import row_hash
+
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("-", "x"), ("1:a", ""), ("1", ":a"), (None, None)]
+    df = frame(rows, "p string, q string")
+    assert df.select(row_hash(["p", "q"]).alias("h")).distinct().count() == len(rows)

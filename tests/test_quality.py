@@ -116,3 +116,26 @@ def test_contract_schema_reads_and_creates(spark, database):
     created = spark.table(f"{database}.people").schema
     assert [f.dataType for f in created.fields] == [f.dataType for f in contract.schema().fields]
     assert "NOT NULL" in contract.ddl()
+
+
+def test_a_null_in_a_value_list_hides_nothing(frame):
+    df = frame([(1, "a"), (2, "x"), (3, None)], "id int, kind string")
+    rows = quality.evaluate(df, [Expectation("kinds", "in_set", "kind", {"values": ["a", None]})]).collect()
+    assert [r.rows_failed for r in rows] == [1]
+    only_null = quality.evaluate(df, [Expectation("kinds", "in_set", "kind", {"values": [None]})]).collect()
+    assert [r.rows_failed for r in only_null] == [2]
+
+
+def test_checks_with_equal_names_are_refused(frame):
+    df = frame([(1, "a")], "id int, kind string")
+    checks = [Expectation("same", "not_null", "id"), Expectation("same", "in_set", "kind", {"values": ["b"]}, "fail")]
+    for run in (quality.evaluate, quality.enforce, quality.quarantine):
+        with pytest.raises(ValueError, match="share names"):
+            run(df, checks)
+
+
+def test_offenders_are_shown_in_the_violations(frame):
+    df = frame([(i, v) for i, v in enumerate(["a", "x", "y", "x", None])], "id int, kind string")
+    contract = Contract("kinds", [ColumnContract("id", "int"), ColumnContract("kind", "string", allowed_values=["a", None])])
+    found = contracts.violations(df, contract).collect()
+    assert [(r.rule, r.violations, r.detail) for r in found] == [("allowed_values", 3, "x, y")]
