@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from tablemill.session import staged
 
-# Kinds of transformation a lineage record may carry.
-TRANSFORMATIONS = (
-    "select", "filter", "aggregate", "join", "union", "window", "cast", "rename", "compute", "sql", "python",
-)
-
-
 def node_id(dataset: Column, column: Column) -> Column:
     return F.concat_ws(".", dataset, column)
 
@@ -45,14 +39,15 @@ def downstream(edge_rows: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.join(edge_rows, F.col("node") == F.col("source")).select("node", F.col("target").alias("dependant"))
 
 
-def upstream(edge_rows: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """All ancestors of each node, as (node, ancestor, depth) with the smallest depth. Cycles end by themselves.
+def upstream(edge_rows: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All ancestors of the nodes in ``starts`` (one column ``node``), as (node, ancestor, depth) with the smallest depth. Cycles end
+    by themselves.
 
     Each round extends only the pairs found in the round before, and is written so that neither the plan nor a lost
-    executor's work grows with the depth. ``starts`` (one column ``node``) restricts the nodes.
+    executor's work grows with the depth.
     """
     steps = staged(edge_rows.select("source", "target").distinct())
-    first = steps if starts is None else steps.join(starts.select(F.col("node").alias("target")), "target", "left_semi")
+    first = steps.join(starts.select(F.col("node").alias("target")).distinct(), "target", "left_semi")
     fresh = first.select(F.col("target").alias("node"), F.col("source").alias("ancestor"))
     found = fresh.withColumn("depth", F.lit(1))
     depth = 1

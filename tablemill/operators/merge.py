@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.rowhash import row_hash
 from tablemill.functions.text import named
+from tablemill.operators.ordered import total_order
 
 STRATEGIES = ("update", "ignore", "delete_insert")
 HASH_COLUMN = "_row_hash"
@@ -17,11 +18,11 @@ HIT = "__hit"
 
 
 def dedupe_last(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The last row of each key by ``order_by``; the remaining columns break ties.
+    """The last row of each key by ``order_by``; the remaining columns that can be sorted break ties.
 
     Spark limits each key to one row before the shuffle, so a key with very many rows stays cheap.
     """
-    ties = [c for c in batch.columns if c not in keys and c not in order_by]
+    ties = [c for c in total_order(batch, order_by, keys) if c not in order_by]
     newest = [named(c).desc_nulls_last() for c in [*order_by, *ties]]
     place = Window.partitionBy(*[named(k) for k in keys]).orderBy(*newest)
     return batch.withColumn("__no", F.row_number().over(place)).where(F.col("__no") == 1).drop("__no")
@@ -30,7 +31,7 @@ def dedupe_last(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str])
 def _semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     # Distinct keys collapse map-side, and the join uses the same partitioning: many copies of a key cost nothing.
     probe = right.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
-    on = reduce(lambda a, b: a & b, [left[f"`{k}`"] == probe[f"__k{i}"] for i, k in enumerate(keys)])
+    on = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(probe[f"__k{i}"]) for i, k in enumerate(keys)])
     return left.join(probe, on, how)
 
 
@@ -57,7 +58,7 @@ def merge(
     order_by: Sequence[str] | None = None,
     unique_batch: bool = False,
 ) -> DataFrame:
-    """The target after merging the batch on its keys. A null key matches nothing.
+    """The target after merging the batch on its keys. A null key is a key like any other, so that a replay changes nothing.
 
     With ``order_by`` the batch is reduced to the last row of each key; without it a repeated key is an error, for
     which the batch is counted unless the caller vouches for it with ``unique_batch``.
@@ -92,7 +93,7 @@ def merge_parts(
         *[named(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.struct(F.lit(1).alias("there"), *[named(c) for c in update]).alias("__new"),
     )
-    on = reduce(lambda a, b: a & b, [target[f"`{k}`"] == news[f"__k{i}"] for i, k in enumerate(keys)])
+    on = reduce(lambda a, b: a & b, [target[f"`{k}`"].eqNullSafe(news[f"__k{i}"]) for i, k in enumerate(keys)])
     fresh = F.col("__new")
     held = target.join(news, on, "left").select(
         *[
@@ -145,7 +146,9 @@ def merge_stats(target: DataFrame, batch: DataFrame, keys: Sequence[str], strate
     if order_by is not None:
         batch = dedupe_last(batch, keys, order_by)
     held = target.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__held"))
-    sides = batch.select(*[named(k) for k in keys]).join(held, list(keys), "left")
+    probe = held.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__held")
+    on = reduce(lambda a, b: a & b, [batch[f"`{k}`"].eqNullSafe(probe[f"__k{i}"]) for i, k in enumerate(keys)])
+    sides = batch.join(probe, on, "left")
     new, hit = F.count_if(F.col("__held").isNull()), F.coalesce(F.sum("__held"), F.lit(0))
     none = F.lit(0).cast("long")
     inserted, updated, deleted = {

@@ -71,9 +71,12 @@ def lineage_nodes(spark, folder):
 
 @query("lineage_upstream", f"""WITH RECURSIVE e AS ({_EDGES}), up AS (SELECT target AS node, source AS ancestor, 1 AS depth FROM e
  UNION ALL SELECT up.node, e.source, up.depth + 1 FROM up JOIN e ON e.target = up.ancestor)
- SELECT node, ancestor, MIN(depth) AS depth FROM up GROUP BY node, ancestor""")
+ SELECT node, ancestor, MIN(depth) AS depth FROM up
+ WHERE node IN (SELECT concat('orders.', CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_totalprice > 300000) GROUP BY node, ancestor""")
 def lineage_upstream(spark, folder):
-    return lineage.upstream(lineage.edges(records(spark, folder)))
+    starts = table(spark, folder, "orders").where("o_totalprice > 300000").select(
+        F.concat(F.lit("orders."), F.col("o_orderkey").cast("string")).alias("node"))
+    return lineage.upstream(lineage.edges(records(spark, folder)), starts)
 
 
 @query("lineage_downstream", f"""SELECT source AS node, target AS dependant FROM ({_EDGES}) e

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", context.master) is None:  # local-cluster has executors with folders of their own
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     current = context.getCheckpointDir()
     if current is not None:
@@ -64,3 +65,13 @@ def staged(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the files of a ``staged`` frame that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getName().startswith("staged-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

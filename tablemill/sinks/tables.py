@@ -1,7 +1,8 @@
 """Idempotent writes to catalog tables.
 
-Plain Parquet tables know no MERGE and cannot be overwritten while they are read. A merge therefore writes its
-result beside the table and swaps the names, or, for a partitioned table, replaces only the partitions it touches.
+Plain Parquet tables know no MERGE and cannot be overwritten while they are read. A merge therefore writes its result to a new
+folder and points the table there, or, for a partitioned table, replaces only the partitions it touches. Readers see the old
+contents or the new ones, and the table keeps its properties and comments.
 """
 
 from __future__ import annotations
@@ -26,31 +27,16 @@ from tablemill.operators.merge import (
     unseen_rows,
     with_row_hash,
 )
-from tablemill.session import staged
+from tablemill.session import staged, unstage
 from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
-MAX_PARTITION_VALUES = 10_000
-# Name endings of the two tables of a swap, as no table of a user's would have.
-INCOMING = "__tablemill_incoming"
-REPLACED = "__tablemill_replaced"
 
 
 def _stats(mode: str, inserted: int, updated: int = 0, deleted: int = 0) -> dict[str, object]:
     return {"mode": mode, "rows_inserted": inserted, "rows_updated": updated, "rows_deleted": deleted}
 
 
-def _recover(spark: SparkSession, table: str) -> None:
-    """Finish or undo a swap that was cut off."""
-    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}{REPLACED}"):
-        spark.sql(f"ALTER TABLE {table}{REPLACED} RENAME TO {table}")
-    database, _, leaf = table.rpartition(".")
-    lead = f"{database}." if database else ""
-    for leftover in spark.catalog.listTables(database or None, f"{leaf}{INCOMING}*"):
-        spark.sql(f"DROP TABLE IF EXISTS {lead}{leftover.name}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}{REPLACED}")
-
-
 def _create(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.format("parquet")
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
@@ -60,33 +46,61 @@ def _partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
+def _location(spark: SparkSession, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _same_columns(df: DataFrame, table: str) -> bool:
+    """Whether the frame has the table's columns first, with their types: further ones can be added in place."""
+    held = df.sparkSession.table(table).schema.fields
+    return [(f.name, f.dataType) for f in df.schema.fields[: len(held)]] == [(f.name, f.dataType) for f in held]
+
+
 def replace_contents(df: DataFrame, table: str) -> None:
     """Replace the contents of a table with a frame that may read that table and may have further columns.
 
-    A plain table is written beside the old one and the names are swapped. Catalogs keep the folder of every
-    partition, which a new name does not move, so a partitioned table is overwritten from a written copy of the
-    frame; if that is cut off, the copy in the scratch folder is complete.
+    A plain table is pointed at a new folder beside the old one, which then goes. Catalogs keep the folder of every partition, so a
+    partitioned table is overwritten from a written copy of the frame; if that is cut off, the copy in the scratch folder is
+    complete. A frame with other columns or types than the table's makes a new table of that name.
     """
     spark = df.sparkSession
-    parts = _partition_columns(spark, table) if spark.catalog.tableExists(table) else []
-    if parts:
+    exists = spark.catalog.tableExists(table)
+    if exists and _partition_columns(spark, table):
         held = {f.name: f.dataType for f in spark.table(table).schema.fields}
         changed = [f.name for f in df.schema.fields if f.name in held and f.dataType != held[f.name]]
         if changed:
             raise ValueError(f"columns of a partitioned table keep their types: {changed}")
-        new = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in held]
         copy = staged(df)
-        if new:
-            spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
+        _add_columns(spark, table, [f for f in df.schema.fields if f.name not in held])
         _overwrite(copy, table, "static")
-        return
-    incoming = f"{table}{INCOMING}_{uuid.uuid4().hex[:8]}"  # a failed write leaves a folder that blocks its name
-    _create(df, incoming)
-    if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} RENAME TO {table}{REPLACED}")
-    spark.sql(f"ALTER TABLE {incoming} RENAME TO {table}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}{REPLACED}")
-    spark.catalog.refreshTable(table)
+        unstage(copy)
+    elif exists and _same_columns(df, table):
+        old = _location(spark, table)
+        new = f"{old.rstrip('/')}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(new)
+        known = set(spark.table(table).columns)
+        _add_columns(spark, table, [f for f in df.schema.fields if f.name not in known])
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+        spark.catalog.refreshTable(table)
+        _remove(spark, old)
+    else:
+        copy = staged(df) if exists else df
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _create(copy, table)
+        if exists:
+            unstage(copy)
+
+
+def _add_columns(spark: SparkSession, table: str, fields: Sequence[T.StructField]) -> None:
+    if fields:
+        new = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({new})")
 
 
 def _overwrite(df: DataFrame, table: str, partitions: str) -> None:
@@ -128,7 +142,6 @@ def write_idempotent(
     if mode == "merge" and not keys:
         raise ValueError("merge needs keys")
     spark = df.sparkSession
-    _recover(spark, table)
     if keys and order_by is not None:
         df = dedupe_last(df, keys, order_by)
     if mode == "merge":
@@ -145,15 +158,25 @@ def write_idempotent(
         _create(counted, table, partition_by)
         return _stats(mode, rows.get["n"])
     target = spark.table(table)
+    unknown = [c for c in df.columns if c not in target.columns and c not in (order_by or ())]
+    if unknown:
+        raise ValueError(f"table {table} has no columns {unknown}")
     if mode == "merge":
-        return _merge(df, target, table, keys, strategy)
+        stats = _merge(df, target, table, keys, strategy)
+        unstage(df)
+        return stats
     if mode == "incremental":
         if hash_column not in target.columns:
             replace_contents(with_row_hash(target, df.columns, hash_column), table)
             target = spark.table(table)
         df = unseen_rows(target, df, hash_column)
     counted, rows = _counted(aligned(df, target))
-    counted.write.insertInto(table, overwrite=mode == "overwrite")
+    if mode == "overwrite":  # of the whole table, whatever the session says of partitions, and also from a frame that reads it
+        copy = staged(counted)
+        _overwrite(copy, table, "static")
+        unstage(copy)
+    else:
+        counted.write.insertInto(table)
     return _stats(mode, rows.get["n"])
 
 
@@ -164,26 +187,26 @@ def _counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, Obse
 
 def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str) -> dict[str, object]:
     parts = _partition_columns(df.sparkSession, table)
-    touched = _touched(df, parts) if parts and set(parts) <= set(keys) else None
-    held, added = merge_parts(target if touched is None else target.where(touched), df, keys, strategy)
+    by_partition = bool(parts) and set(parts) <= set(keys)
+    held, added = merge_parts(_touched(target, df, parts) if by_partition else target, df, keys, strategy)
     held, hits = _counted(held, F.col(HIT))
     added, new = _counted(added)
     result = after_merge(held, strategy).unionByName(added)
-    if touched is None:
-        replace_contents(result, table)
+    if by_partition:
+        copy = staged(result)  # read before it is overwritten
+        _overwrite(copy, table, "dynamic")
+        unstage(copy)
     else:
-        _overwrite(staged(result), table, "dynamic")  # read before it is overwritten
+        replace_contents(result, table)
     matched = hits.get["n"]
     return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
 
 
-def _touched(df: DataFrame, partition_by: Sequence[str]) -> Column | None:
-    """The partitions the batch names, as a filter that prunes them at planning; None when they are too many to list."""
-    values = df.select(*[named(c) for c in partition_by]).distinct().limit(MAX_PARTITION_VALUES + 1).collect()
-    if len(values) > MAX_PARTITION_VALUES or any(v is None for row in values for v in row):
-        return None
-    tests = [named(c).isin(list({row[i] for row in values})) for i, c in enumerate(partition_by)]
-    return reduce(lambda a, b: a & b, tests)
+def _touched(target: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The target's rows in the partitions that the batch names; the join prunes the others' files when it runs."""
+    values = batch.select(*[named(c).alias(f"__p{i}") for i, c in enumerate(parts)]).distinct()
+    same = reduce(lambda a, b: a & b, [target[f"`{c}`"].eqNullSafe(values[f"__p{i}"]) for i, c in enumerate(parts)])
+    return target.join(values, same, "left_semi")
 
 
 def write_table(df: DataFrame, table: str, if_exists: str = "replace", all_varchar: bool = False) -> None:

@@ -15,12 +15,11 @@ from pyspark.sql import types as T
 from tablemill.functions.text import CSV_NULL_TOKENS, named
 from tablemill.operators.cleaning import null_tokens
 from tablemill.operators.headers import unique_headers
-from tablemill.sources.files import require_paths, union_tables
+from tablemill.sources.files import file_path, literal, require_paths, union_tables
 
 # Separators that are tried, in order of preference on a tie, and the size of the two samples.
 SEPARATORS = (",", ";", "\t", "|", ":")
 SNIFF_LINES = 50
-INFER_ROWS = 2_000
 
 _GUESSES: tuple[tuple[str, T.DataType], ...] = (
     ("long", T.LongType()),
@@ -76,7 +75,7 @@ def _without_head(lines: DataFrame, count: int) -> DataFrame:
                 seen[file] = seen.get(file, 0) + int(n)
             yield batch.loc[~at_start | (position >= count), ["value", "file"]]
 
-    tagged = lines.select("value", F.col("_metadata.file_path").alias("file"),
+    tagged = lines.select("value", file_path().alias("file"),
                           F.col("_metadata.file_block_start").alias("start"))
     return tagged.mapInPandas(drop, "value string, file string")
 
@@ -95,14 +94,22 @@ def read_csv(
     null_values: Sequence[str] = CSV_NULL_TOKENS,
     recursive: bool = False,
     file_column: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV files of one layout as one table; ``read_csv_layouts`` takes files with different headers.
 
-    The separator and the column types come from a few rows at the head unless they are given; a later value that
-    does not fit its type is an error, as it would be silent data loss otherwise. Surplus cells of a ragged line are
-    dropped. Repeated headers get a suffix.
+    The separator comes from a few lines at the head unless it is given; column types come from all rows, in one pass.
+    Surplus cells of a ragged line are dropped. Repeated headers get a suffix. ``multi_line`` reads quoted cells with line
+    breaks, for which a file is one task; it cannot be combined with ``skip_rows``.
     """
+    if multi_line and skip_rows:
+        raise ValueError("multi_line and skip_rows exclude each other")
     paths = require_paths(spark, path, files, "*.csv", recursive)
+    return _read_paths(spark, paths, delimiter, schema, infer, has_header, skip_rows, encoding, null_values, file_column, multi_line)
+
+
+def _read_paths(spark, paths, delimiter=None, schema=None, infer=True, has_header=True, skip_rows=0, encoding="UTF-8",
+                null_values=CSV_NULL_TOKENS, file_column=None, multi_line=False) -> DataFrame:
     head = [r["value"] for r in spark.read.option("encoding", encoding).text(paths).limit(skip_rows + SNIFF_LINES).collect()]
     head = [line.lstrip("﻿").rstrip("\r") for line in head[skip_rows:]]
     separator = delimiter or sniff_separator(head)
@@ -117,13 +124,13 @@ def read_csv(
     else:
         raw = (
             spark.read.schema(plain).option("sep", separator).option("header", has_header).option("escape", '"')
-            .option("encoding", encoding).option("enforceSchema", names != first or not has_header).csv(paths)
-            .select("*", F.col("_metadata.file_path").alias("__file"))
+            .option("encoding", encoding).option("enforceSchema", names != first or not has_header).option("multiLine", multi_line)
+            .csv(paths).select("*", file_path().alias("__file"))
         )
     table = null_tokens(raw, null_values, names)
     types = dict(schema or {})
     if not types and infer:
-        types = _guess_types(table.select(*[named(n) for n in names]).limit(INFER_ROWS))
+        types = _guess_types(table.select(*[named(n) for n in names]))
     cells = [named(n).cast(types[n]).alias(n) if n in types else named(n) for n in names]
     return table.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
 
@@ -136,18 +143,13 @@ def read_csv_layouts(spark: SparkSession, path: str, files: str | Sequence[str]
     """
     paths = require_paths(spark, path, files, "*.csv", recursive)
 
-    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        for batch in batches:
-            head = batch[(batch["start"] == 0) & ~batch["file"].isin(seen)].drop_duplicates("file")
-            seen.update(head["file"])
-            yield head[["value", "file"]]
-
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"),
-                                          F.col("_metadata.file_block_start").alias("start"))
-    layouts = lines.mapInPandas(first_lines, "value string, file string").groupBy("value").agg(
-        F.sort_array(F.collect_list("file")).alias("files")).orderBy("value").collect()  # file names only
-    frames = [read_csv(spark, path, row["files"], file_column=file_column, **options) for row in layouts]
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0")  # the block that holds a file's first line
+    placed = lines.select("value", file_path().alias("file"), F.monotonically_increasing_id().alias("at"))
+    firsts = placed.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    layouts: dict[str, list[str]] = {}
+    for row in firsts.orderBy("head", "file").collect():  # one line per file
+        layouts.setdefault(row["head"], []).append(literal(row["file"]))
+    frames = [_read_paths(spark, group, file_column=file_column, **options) for group in layouts.values()]
     kinds: dict[str, set[T.DataType]] = {}
     for df in frames:
         for f in df.schema.fields:
@@ -157,5 +159,5 @@ def read_csv_layouts(spark: SparkSession, path: str, files: str | Sequence[str]
         agreed = {n: next(iter(k)) for n, k in kinds.items() if len(k) == 1}
         agreed.update({n: T.DoubleType() for n, k in kinds.items() if k == {T.LongType(), T.DoubleType()}})
         options = {**options, "schema": agreed, "infer": False}
-        frames = [read_csv(spark, path, row["files"], file_column=file_column, **options) for row in layouts]
+        frames = [_read_paths(spark, group, file_column=file_column, **options) for group in layouts.values()]
     return union_tables(frames)

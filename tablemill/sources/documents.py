@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import named
-from tablemill.sources.files import require_paths
+from tablemill.sources.files import file_path, require_paths
 
 
 _LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -64,7 +64,7 @@ def read_json(
     keep = [file_column] if file_column else []
     keys, found = _dig(df.schema, json_path)
     if file_column:
-        df = df.select("*", F.col("_metadata.file_path").alias(file_column))
+        df = df.select("*", file_path().alias(file_column))
     if not json_path:
         return df
     if found is None:
@@ -108,7 +108,7 @@ def read_jsonl(
         schema = spark.read.option("mode", "DROPMALFORMED").json(paths).schema
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("__file"))
+    lines = spark.read.text(paths).select("value", file_path().alias("__file"))
     lines = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
     # Objects only: a line such as `5` parses to a row of nulls otherwise.
     valid = F.try_parse_json("value").isNotNull()
@@ -163,6 +163,6 @@ def read_yaml(
     keep = [file_column] if file_column else []
     texts = spark.read.text(paths, wholetext=True)
     if file_column:
-        texts = texts.select("value", F.col("_metadata.file_path").alias(file_column))
+        texts = texts.select("value", file_path().alias(file_column))
     documents = yaml_to_json(texts, "value", keep)
     return json_at(documents, "json", schema or infer_json_schema(documents, "json", json_path), json_path, keep)

@@ -6,9 +6,8 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 GLOB_SIGNS = frozenset("*?[]")
 
@@ -31,10 +30,20 @@ def listing(spark: SparkSession, path: str, pattern: str | None = None, recursiv
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return not listing(spark, path).isEmpty()
-    except AnalysisException:
-        return False
+    """Whether a path or glob names anything; asks the file system, not a job."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def literal(path: str) -> str:
+    """The path with glob signs escaped, for readers that take globs."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def file_path(column: str = "_metadata.file_path") -> Column:
+    """The path of a row's file as it is written, not as a URI spells it."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
 def _any_case(name: str) -> str:
@@ -54,7 +63,7 @@ def source_paths(
 ) -> list[str]:
     """Paths to hand to a Spark reader: absolute names as they are, globs below ``path``, and literal names below
     ``path`` with a fallback that ignores case. Globs stay globs, so a folder of many files is one path; only a
-    recursive search lists files.
+    recursive search lists files. A named file that is not there is an error; a glob may match nothing.
     """
     base = path.rstrip("/")
     patterns = split_patterns(files)
@@ -68,15 +77,19 @@ def source_paths(
         if _is_absolute(pattern):
             if _exists(spark, pattern):
                 found.append(pattern)
+            elif not GLOB_SIGNS & set(pattern):
+                raise FileNotFoundError(f"no file {pattern}")
         elif GLOB_SIGNS & set(pattern):
             if recursive:
-                found += [r["path"] for r in listing(spark, base, pattern, True).select("path").collect()]
+                found += [literal(r["path"]) for r in listing(spark, base, pattern, True).select("path").collect()]
             elif _exists(spark, f"{base}/{pattern}"):
                 found.append(f"{base}/{pattern}")
         elif _exists(spark, f"{base}/{pattern}"):
             found.append(f"{base}/{pattern}")
         elif _exists(spark, f"{base}/{_any_case(pattern)}"):
             found.append(f"{base}/{_any_case(pattern)}")
+        else:
+            raise FileNotFoundError(f"no file {pattern} below {base}")
     return list(dict.fromkeys(found))
 
 
@@ -91,7 +104,7 @@ def require_paths(spark: SparkSession, path: str, files: str | Sequence[str] | N
 
 def with_file(df: DataFrame, output: str = "_file") -> DataFrame:
     """Add the file each row came from."""
-    return df.select("*", F.col("_metadata.file_path").alias(output))
+    return df.select("*", file_path().alias(output))
 
 
 def union_tables(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import field, named, stripped
-from tablemill.sources.files import require_paths
+from tablemill.sources.files import file_path, require_paths
 
 
 def _blank_to_null(text: Column) -> Column:
@@ -78,7 +78,7 @@ def read_xml(
     shape = _nest(list(wanted.values()))
     rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(shape).load(paths)
     cells = [_blank_to_null(_first(steps, shape)).alias(column) for column, steps in wanted.items()]
-    return rows.select(*cells, *([F.col("_metadata.file_path").alias(file_column)] if file_column else []))
+    return rows.select(*cells, *([file_path().alias(file_column)] if file_column else []))
 
 
 def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -181,5 +181,5 @@ def read_html(spark: SparkSession, path: str, files: str | Sequence[str] | None
               match: str | None = None, recursive: bool = False) -> DataFrame:
     """One table of each HTML file."""
     paths = require_paths(spark, path, files, "*.html", recursive)
-    pages = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    pages = spark.read.text(paths, wholetext=True).select("value", file_path().alias("_file"))
     return html_tables(pages, "value", ["_file"], table_index, match)

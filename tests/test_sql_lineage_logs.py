@@ -71,9 +71,9 @@ def test_lineage_with_a_cycle(frame):
                     "dataset string, column string, transformation string, upstream array<struct<dataset:string,column:string>>")
     edges = lineage.edges(records)
     assert ("c.x", "a.z", "unknown") in bag(edges)
-    up = {(r.node, r.ancestor): r.depth for r in lineage.upstream(edges).collect()}
+    up = {(r.node, r.ancestor): r.depth for r in lineage.upstream(edges, edges.selectExpr('target as node')).collect()}
     assert up[("c.x", "a.w")] == 2 and up[("c.x", "c.x")] == 3 and len(up) == 3 * 4
-    assert lineage.upstream(edges, max_depth=1).count() == 4
+    assert lineage.upstream(edges, edges.selectExpr('target as node'), max_depth=1).count() == 4
     only = lineage.upstream(edges, starts=frame([("b.y",)], "node string"))
     assert {r.node for r in only.collect()} == {"b.y"}
     assert bag(lineage.downstream(edges, frame([("a.w",)], "node string"))) == [("a.w", "b.y")]
@@ -113,3 +113,39 @@ def test_profiles(frame):
     assert {(r.column_name, r.data_type, r.nulls, r.rows, r.has_nulls) for r in profile.column_nulls(df).collect()} == {
         ("a", "int", 1, 3, True), ("b", "string", 2, 3, True)}
     assert bag(profile.table_stats({"x": df, "y": df.where("a = 1")})) == [("x", 3, 2), ("y", 1, 2)]
+
+
+def test_scripts_with_schemas_hints_and_quoted_semicolons(spark, database):
+    script = f"""CREATE TABLE {database}.clean AS SELECT /*+ REPARTITION(2) */ id, ';' AS "x" FROM range(5); -- note; here
+    CREATE TABLE IF NOT EXISTS {database}.clean AS SELECT 1 AS id; CREATE TABLE {database}.total AS SELECT count(*) AS `n;m` FROM {database}.clean"""
+    assert len(sqlsteps.split_statements(script)) == 3 and "/*+ REPARTITION(2) */" in sqlsteps.split_statements(script)[0]
+    results = sqlsteps.run_script(spark, script.replace('"x"', "x"))
+    assert results[f"{database}.total"].head()[0] == 5
+    counts = {r.table: r.row_count for r in sqlsteps.created_counts(results).collect()}
+    assert counts == {f"{database}.clean": 5, f"{database}.total": 1}
+    made = sqlsteps.run_steps(spark, [{"name": "s", "sql": "CREATE TABLE kept AS SELECT 7 AS v", "schema": database, "tables_created": ["kept"]}])
+    assert spark.table(f"{database}.kept").head()[0] == 7 and set(made) == {"kept"}
+
+
+def test_a_stored_table_is_not_left_behind_a_view(spark, frame, database):
+    spark.sql(f"USE {database}")
+    try:
+        spark.sql("CREATE TABLE input USING parquet AS SELECT 1 AS id")
+        assert sqlsteps.sql_over(frame([(5,)], "id int"), "SELECT id FROM input").head()[0] == 5
+        assert not spark.catalog.getTable("input").isTemporary and spark.table("input").head()[0] == 1
+    finally:
+        spark.sql("USE default")
+
+
+def test_transform_outputs_are_written(spark, frame, database):
+    df = frame([(1,), (2,)], "id int")
+    for _ in range(2):
+        made = sqlsteps.run_transform(lambda rows: {"kept": rows, "added": rows, "plain": rows}, {"rows": df}, outputs={"kept": "replace", "added": "append"}, schema=database)
+    assert [made[n].count() for n in ("kept", "added", "plain")] == [2, 4, 2] and spark.table(f"{database}.added").count() == 4
+    with pytest.raises(ValueError):
+        sqlsteps.run_transform(lambda rows: {"a": rows}, {"rows": df}, outputs={"b": "append"})
+
+
+def test_a_column_named_like_a_limit_does_not_lift_the_cap(spark):
+    assert sqlsteps.capped(spark, "SELECT id AS credit_limit FROM range(20)", 5).count() == 5
+    assert sqlsteps.capped(spark, "SELECT id FROM range(20) LIMIT 7", 5).count() == 7
