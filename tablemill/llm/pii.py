@@ -36,7 +36,7 @@ def _digits(c: Column) -> Column:
 
 def _luhn(c: Column) -> Column:
     def worth(d: Column, i: Column) -> Column:
-        n = d.cast("int")
+        n = d.try_cast("int")
         twice = F.when(n * 2 > 9, n * 2 - 9).otherwise(n * 2)
         return F.when(i % 2 == 1, twice).otherwise(n)
 
@@ -46,7 +46,7 @@ def _luhn(c: Column) -> Column:
 
 def _low_parts(c: Column) -> Column:
     short = F.transform(F.split(c, r"\."), lambda p: F.ltrim(p, F.lit("0")))
-    return F.forall(short, lambda p: (F.length(p) <= 3) & (F.coalesce(p.cast("int"), F.lit(0)) <= 255))
+    return F.forall(short, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))  # of zeros, nothing is left
 
 
 def _phone_length(c: Column) -> Column:
