@@ -5,8 +5,9 @@ takes K/2 hash evaluations a shingle. Values are banded; documents that share a
 confirmed on their full shingle sets.
 
 Groups of any size are linked without listing their pairs: equal sets are one class; the classes in a band's bucket are
-compared with the bucket's smallest class; only where that leaves a bucket in several components are the classes outside its
-largest component compared with the rest.
+compared with the one that shares most buckets; only where that leaves a bucket in several components are the classes outside its
+largest component compared with the rest: pair by pair in small buckets, in blocks in large ones, whose tasks give back no more links
+than join the components.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import process_store, staged
@@ -25,7 +27,11 @@ from tablemill.llm.components import connected_components
 ROWS_PER_BAND = 5
 MISS = 1e-8  # most that a pair at the threshold may miss all bands
 SHINGLES_AT_ONCE = 4096
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
+SMALL_BUCKET = 16  # classes; larger buckets are compared in blocks
+BLOCK = 128  # classes of a block
+COLUMNS_AT_ONCE = 4_096
+BLOCK_BITS, FILTER_BLOCKS = 32_768, 1_024  # bits of one of Spark's bitmaps; most blocks of a filter (4 MB)
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -133,6 +139,59 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("u", "v")
 
 
+def _block_links(percent: int):
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between the rows of two blocks (or within one) that join components: a forest, never all pairs."""
+        rows = rows.sort_values("node").drop_duplicates("node")
+        nodes, parts = rows["node"].to_numpy(), rows["component"].to_numpy()
+        sets = rows["shingles"].tolist()
+        lengths = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), lengths)
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts[column] > 1
+        owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = int(column[-1]) + 1 if len(column) else 0
+        for start in range(0, width, COLUMNS_AT_ONCE):
+            lo, hi = np.searchsorted(column, (start, start + COLUMNS_AT_ONCE))
+            held = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+            held[owner[lo:hi], column[lo:hi] - start] = 1
+            common += held @ held.T
+        whole = lengths[:, None] + lengths[None, :] - common
+        a, b = np.nonzero(np.triu(100 * common.astype(np.int64) >= percent * whole.astype(np.int64), 1))
+        root = {p: p for p in parts.tolist()}
+
+        def find(p: int) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        found = []
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = find(parts[i]), find(parts[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((nodes[i], nodes[j]))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return link
+
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components inside large buckets. Blocks of one bucket's largest component do not meet each other."""
+    outer = F.col("component") != F.col("top")
+    counts = members.groupBy("bucket").agg(F.ceil(F.sum(outer.cast("int")) / BLOCK).alias("outer_blocks"), F.ceil(F.sum((~outer).cast("int")) / BLOCK).alias("inner_blocks"))
+    dealt = members.join(counts, "bucket")
+    own = F.when(outer, F.pmod(F.xxhash64("node"), "outer_blocks")).otherwise(F.col("outer_blocks") + F.pmod(F.xxhash64("node"), "inner_blocks"))
+    last = F.when(outer, F.col("outer_blocks") + F.col("inner_blocks") - 1).otherwise(F.col("outer_blocks") - 1)
+    meets = dealt.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    met = meets.select("bucket", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return met.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
@@ -148,26 +207,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes)
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(banded.join(buckets, "bucket"))
 
+    # the class that meets most others is likeliest near the middle of its group
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    pivots = members.select("bucket", "node").join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("top"))
+    stars = members.join(pivots.select("bucket", F.col("top.node").alias("u")), "bucket").where("node <> u")
+    stars = stars.select("u", F.col("node").alias("v"), F.col("n").alias("n_v")).distinct()
     sizes = classes.select(F.col("node").alias("u"), F.col("n").alias("n_u"))
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"), F.col("n").alias("n_v")).distinct()
     stars = staged(stars.join(sizes, "u").where(_near(percent)).select("u", "v"))
     first = staged(_linked(stars, _sets(rows, classes, stars, shingle), percent))
     component = connected_components(first)
 
-    placed = members.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = members.join(component, "node", "left").select("bucket", "size", "node", "n", F.coalesce("component", "node").alias("component"))
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("share"))
     largest = shares.groupBy("bucket").agg(F.max(F.struct("share", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     parted = staged(placed.join(largest.select("bucket", F.col("top.component").alias("top")), "bucket"))
-    outside = parted.where("component <> top").select("bucket", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("part"))
-    inside = parted.select(F.col("bucket").alias("at"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("other"), "top")
+    small, large = parted.where(F.col("size") <= SMALL_BUCKET), parted.where(F.col("size") > SMALL_BUCKET)
+
+    outside = small.where("component <> top").select("bucket", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("part"))
+    inside = small.select(F.col("bucket").alias("at"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("other"), "top")
     once = (F.col("other") == F.col("top")) | (F.col("u") < F.col("v"))
-    met = outside.join(inside, (F.col("bucket") == F.col("at")) & (F.col("part") != F.col("other")) & once & _near(percent))
-    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    pairs = outside.join(inside, (F.col("bucket") == F.col("at")) & (F.col("part") != F.col("other")) & once & _near(percent))
+    rest = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rest = staged(rest)
-    more = staged(_linked(rest, _sets(rows, classes, rest, shingle), percent))
+    more = _linked(rest, _sets(rows, classes, rest, shingle), percent)
+    nodes = large.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    more = staged(more.unionByName(_linked_in_blocks(large, _sets(rows, classes, nodes, shingle), percent)))
     component = component if more.isEmpty() else connected_components(first.unionByName(more))
 
     placed = classes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
@@ -185,9 +252,22 @@ def _near(percent: int):
 
 
 def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the classes in ``pairs``, made anew from the text of each class's smallest id (a row without id: of all such rows)."""
+    """Full sets of the classes in ``pairs``, made anew from the text of each class's smallest id (a row without id: of all such rows).
+
+    Texts are picked where they are by a bitmap of hashed ids, at most FILTER_BLOCKS blocks of 4 KB; what it lets through by
+    accident is dropped by the exact join that follows. So sets are shuffled, and texts are not.
+    """
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = staged(classes.select("node", "rep").join(nodes, "node"))
-    texts = rows.join(wanted.select(F.col("rep").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    blocks = min(FILTER_BLOCKS, 1 + wanted.count() * 16 // BLOCK_BITS)
+
+    def at(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(blocks * BLOCK_BITS)) + 1
+
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(at("rep")).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at("rep"))).alias("bits"))
+    place = F.bitmap_bit_position(at("id"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at("id")) == F.col("block"))
+    texts = held.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).select("text")
     sets = texts.mapInArrow(_set_maker(shingle), "node long, shingles array<long>")
     return staged(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
