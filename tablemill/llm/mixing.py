@@ -18,7 +18,7 @@ from tablemill.llm.common import put_columns
 
 PERIOD = 4_096  # slots of a period; more where there are more than a quarter as many sources
 BLOCK = 16  # documents of a block
-ROWS_PER_BUCKET = 50_000  # rows that are numbered in one task, about
+ROWS_PER_BUCKET = 8_192  # rows that are numbered in one task, about
 TEMPERATURE = 0.5  # default weights: source sizes to this power
 
 
