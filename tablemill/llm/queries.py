@@ -71,10 +71,18 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The archives' index in SQL: what a capture says of its payload, whatever order it was written and merged in.
+ORACLES["op5_warc_captures"] = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+ digests AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads),
+ firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM digests WHERE payload_bytes >= 100 GROUP BY 1)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM digests LEFT JOIN firsts USING (payload_digest)"""
+
+
 @register
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = archive_pages(table(spark, sf_dir, "pages"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "run", "offset", "length")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @register
