@@ -41,8 +41,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    firsts = rows.where(F.col("bytes") >= SMALLEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "digest", "left")
+    # only payloads that occur again need a first holder; while those are few, Spark joins them without moving the payloads
+    firsts = rows.where(F.col("bytes") >= SMALLEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
+    rows = rows.join(staged(firsts.where("times > 1").select("digest", "first")), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     target = F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), r"[\x00-\x20\x7f]", "%20")
