@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import process_store, put_columns, scratch_path
+from tablemill.llm.common import process_store, put_columns, scratch_path, staged
 
 # Places where every version of the byte-level splitting rule cuts: before one blank or line break between two visible characters.
 CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
@@ -110,7 +110,9 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
         distinct = distinct.join(spark.read.parquet(folder).select("digest"), "digest", "left_anti")
     schema = "digest binary, n_tokens long"
     distinct.select("digest", "content").mapInArrow(_encoder(path), schema).write.mode("append").parquet(folder)
-    stored = spark.read.schema(schema).parquet(folder).groupBy("digest").agg(F.min("n_tokens").alias("__count"))  # two calls may have stored one digest
+    stored = spark.read.schema(schema).parquet(folder).withColumnRenamed("n_tokens", "__count")
+    if cache:  # two calls may have stored one digest; once that is settled, the join below can split a digest that very many rows share
+        stored = staged(stored.groupBy("digest").agg(F.min("__count").alias("__count")))
     # the length is taken before the join, so that a caller who drops the text need not shuffle it
     keyed = docs.withColumns({"__digest": digest, "__bytes": F.octet_length(content).cast("long")})
     out = keyed.join(stored.withColumnRenamed("digest", "__digest"), "__digest", "left")
