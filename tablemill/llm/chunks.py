@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.common import put_columns, staged
 
-CUT_BITS = 5  # a cut every 32 bytes on average, after SMALLEST
+CUT_BITS = 4  # a cut every 16 bytes on average, after SMALLEST
 SMALLEST, LARGEST = 4, 256  # bytes of a chunk; a longer one is cut without regard to content
 RUN = 100  # characters; a shorter run of repeated chunks is left alone
 GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 16, 256, dtype=np.uint16)
