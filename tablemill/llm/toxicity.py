@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import staged
 
 FEATURES = 2_000  # features of the model: those that tell the classes apart best
-FIT_ROWS = 40_000  # most labelled rows that the logistic model is fitted on, by smallest hash of the id; features are counted on all of them
+FIT_ROWS = 40_000  # labelled rows that the logistic model is fitted on at most, about: those with the lowest hashes of the id; features are counted on all
 MIN_TOXIC = 4  # labelled toxic documents that a feature must occur in
 PREFIXES = (3, 4, 5, 6, 7)  # lengths of word beginnings
-MEMO_TOKENS = 300_000
-LONGEST_TOKEN = 64  # a longer token is no hidden word and is read as it stands
+MEMO_TOKENS = 100_000
+TEXTS_AT_ONCE = 250  # texts whose features a task holds at a time
+LONGEST_TOKEN = 32  # a longer token is no hidden word and is read as it stands
 
 # The alphabet of the character model (a-z and the lower-case letters of Latin-1), and what look-alikes may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷")
@@ -44,7 +45,8 @@ CODE = {c: i for i, c in enumerate(LETTERS)}
 
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ .\-_*]+){2,}[^\s](?![^\s])")
-TRIPLE = re.compile(r"(.)\1\1")
+JUNK = ".,;:?!%*#&~^<>\"'()[]{}"  # at a token's ends it is no letter
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LAST_BMP = 0x10000
 
 
@@ -87,7 +89,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 # Channel: log odds against reading a character as it stands.
-SUBSTITUTE, DROP, KEEP_NOISE, SQUEEZE = -1.0, -2.0, -9.0, -0.5
+SUBSTITUTE, DROP, DROP_LOOKALIKE, BREAK, DOUBLE, SQUEEZE = -1.0, -2.0, -7.0, -9.0, -3.0, -0.5
 
 
 class Decoder:
@@ -100,14 +102,19 @@ class Decoder:
     def words(self, text: str) -> Counter:
         """Restored words of a text with their counts."""
         text = text.lower()
+        stretched = TRIPLE.search(text) is not None
         found: Counter = Counter()
         for token, n in Counter(text.split()).items():
-            if token.isalpha() and not TRIPLE.search(token):
-                found[token] += n
-                continue
-            core = token.rstrip(".,;:?\"')]}").lstrip("\"'([{")
-            if core.isalpha() and not TRIPLE.search(core):
-                found[core] += n
+            core = token
+            if not token.isalpha():
+                core = token.strip(JUNK)
+                if core.endswith("$$"):
+                    core = core.rstrip("$")
+            if core.isalpha():
+                if not (stretched and TRIPLE.search(core)):
+                    found[core] += n
+                    continue
+            elif not any(map(str.isalpha, core)):
                 continue
             for word in WORD.findall(self.restore(core)):
                 found[word] += n
@@ -129,11 +136,14 @@ class Decoder:
         return known
 
     def viterbi(self, token: str) -> str:
-        """Best path through the lattice. State: the last two symbols written and whether the last input character repeated the one before."""
+        """Best path through the lattice. State: the last two symbols written."""
         model = self.model
         states = {(EDGE, EDGE): (0.0, "")}
-        before = ""
-        for c in token:
+        before, repeats = "", 0
+        for i, c in enumerate(token):
+            repeats = repeats + 1 if c == before else 0
+            # junk comes in runs; a single look-alike is more likely a letter
+            drop = DROP_LOOKALIKE if c in LOOKALIKES and not repeats and token[i + 1 : i + 2] != c else DROP
             after: dict[tuple[int, int], tuple[float, str]] = {}
             readings = [(r, SUBSTITUTE) for r in LOOKALIKES.get(c, "")]
             noise = not c.isalpha()
@@ -146,38 +156,59 @@ class Decoder:
                     if new > after.get((b, code), (-math.inf,))[0]:
                         after[(b, code)] = (new, out + r)
                 if noise:  # a separator or junk: dropped, or the end of a word
-                    new = score + DROP
+                    new = score + drop
                     if new > after.get((a, b), (-math.inf,))[0]:
                         after[(a, b)] = (new, out)
-                    new = score + KEEP_NOISE + model[a][b][EDGE]
+                    new = score + BREAK + model[a][b][EDGE]
                     if new > after.get((EDGE, EDGE), (-math.inf,))[0]:
                         after[(EDGE, EDGE)] = (new, out + " ")
                 elif c == before:  # a repeated letter: dropped
-                    new = score + SQUEEZE
+                    new = score + (DOUBLE if repeats == 1 else SQUEEZE)
                     if new > after.get((a, b), (-math.inf,))[0]:
                         after[(a, b)] = (new, out)
             states, before = after, c
         return max((score + model[a][b][EDGE], out) for (a, b), (score, out) in states.items())[1]
 
 
-def features(words: Counter) -> Counter:
-    """Counts of whole words ('=word') and of word beginnings ('wor*')."""
+def features(words: dict[str, int]) -> Counter:
+    """Counts of whole words ('=word') and of word beginnings ('wor')."""
     found: Counter = Counter()
     for word, n in words.items():
         found["=" + word] += n
         for k in PREFIXES:
             if len(word) > k:
-                found[word[:k] + "*"] += n
+                found[word[:k]] += n
     return found
 
 
+def feature_names(words: dict[str, int]) -> set[str]:
+    """The features that occur at all."""
+    found = {"=" + w for w in words}
+    for k in PREFIXES:
+        found.update({w[:k] for w in words if len(w) > k})
+    return found
+
+
+class Matcher:
+    """Counts the features of a fixed list only. Most words share no beginning with any and are passed over at once."""
+
+    def __init__(self, names: list[str]):
+        self.names = set(names)
+        self.starts = {n.removeprefix("=")[:3] for n in names}
+
+    def __call__(self, words: Counter) -> Counter:
+        starts, names = self.starts, self.names
+        near = {w: n for w, n in words.items() if w[:3] in starts}
+        return Counter({f: n for f, n in features(near).items() if f in names})
+
+
 def _feature_counts(cube: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(cube)
-        for batch in batches:
+        for batch in (whole.slice(start, TEXTS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             by: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by[toxic].update(features(decoder.words(text or "")).keys())
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                by[toxic].update(feature_names(decoder.words(text.as_py() or "")))
             names = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array([by[0][f] for f in names], pa.int64()), pa.array([by[1][f] for f in names], pa.int64())],
@@ -188,13 +219,13 @@ def _feature_counts(cube: np.ndarray):
 
 
 def _vectors(cube: np.ndarray, names: list[str]):
-    index = {f: i for i, f in enumerate(names)}
+    index, match = {f: i for i, f in enumerate(names)}, Matcher(names)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(cube)
         for batch in batches:
-            found = [features(decoder.words(text or "")) for text in batch.column(0).to_pylist()]
-            hits = [sorted(f.keys() & index.keys()) for f in found]
+            found = [match(decoder.words(text.as_py() or "")) for text in batch.column(0)]
+            hits = [sorted(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(1),
@@ -216,15 +247,15 @@ class ToxicityModel:
 
     def scorer(self):
         weight = dict(zip(self.names, self.weights.tolist()))
-        bias, cube = self.bias, self.characters
+        bias, cube, match = self.bias, self.characters, Matcher(self.names)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             decoder = Decoder(cube)
             for batch in batches:
                 scores = []
-                for text in batch.column(batch.num_columns - 1).to_pylist():
-                    found = features(decoder.words(text or ""))
-                    z = bias + sum(weight[f] * math.log1p(found[f]) for f in sorted(found.keys() & weight.keys()))
+                for text in batch.column(batch.num_columns - 1):
+                    found = match(decoder.words(text.as_py() or ""))
+                    z = bias + sum(weight[f] * math.log1p(found[f]) for f in sorted(found))
                     scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
@@ -269,7 +300,8 @@ def train(docs: DataFrame, labelled: DataFrame, text: str = "text") -> ToxicityM
     gap = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     best = counted.withColumn("gap", gap).where("gap > 0").orderBy(F.desc("gap"), "feature").limit(FEATURES)
     names = [r["feature"] for r in best.select("feature").collect()]
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS) if n0 + n1 > FIT_ROWS else known
+    share = min(1.0, FIT_ROWS / (n0 + n1))  # the rows whose ids hash lowest
+    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     fitted = sample.select("text", "toxic").mapInArrow(_vectors(cube, names), "toxic int, at array<int>, value array<float>").toPandas()
     weights, bias = _fit(list(fitted["at"]), list(fitted["value"]), fitted["toxic"].to_numpy(float), len(names))
     return ToxicityModel(cube, names, weights, bias)
@@ -290,4 +322,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", th
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with their labels, without held-out ids. An id with several labels counts as toxic where any says so."""
     known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.hint("merge")  # labels grow with the corpus and are not broadcast at any size
     return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.col("doc_id").alias("id"))
