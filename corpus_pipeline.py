@@ -31,11 +31,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Texts without words have no copies and stay; so do documents
-    without an id, unless their group has one with an id."""
-    found = near_duplicates(docs, shingle=SHINGLE, percent=SIMILAR)
-    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One row of each group of near copies: of those with the group's smallest id, or of all where none has an id. Repeated rows are copies
+    too. Texts without words have no copies and stay. Rows are told apart by id and a hash of all columns; equal rows are counted."""
+    row = F.xxhash64(*[part for c in docs.columns for part in (F.col(c), F.col(c).isNull())])
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": row})
+    found = near_duplicates(keyed, shingle=SHINGLE, percent=SIMILAR, row="__row").where("n_shingles > 0")
+    counted = found.groupBy(F.col("doc_id").alias("id"), F.col("__row").alias("row")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marked = staged(counted.where("not kept or n > 1"))
+    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row"))
+    kept = keyed.join(marked, same, "left_anti")
+    repeated = marked.where("kept")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__id", "__row"]))
+    return kept.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,8 +112,8 @@ def _signer(shingle: int, bands: int, rows: int):
                 sets.append(_node(hashes))
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "node", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "row", "n_shingles", "node", "bands"],
             )
 
     return sign
@@ -192,19 +192,24 @@ def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Data
     return met.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
     Two documents are linked when 100 * common shingles >= percent * all shingles of both. A text with fewer words than ``shingle``
     has its whole word sequence as one shingle. A null or wordless text has none, is linked with nothing, and is kept. Rows that
     repeat an id get a row each, by their own texts. A null id is never a component's id; such a row is kept only where its
     component has no other id. Other columns are not looked at. Shingles are compared as 64-bit hashes, and sets by a 64-bit digest.
+
+    row: a long column that tells rows apart. It comes back as a fifth column, and kept is then true for one row of each component: of the
+    rows with its smallest id (of all its rows, where none has an id) the one with the smallest row key. Rows equal in both are kept together.
     """
     bands = bands_for(percent / 100)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(_signer(shingle, bands, ROWS_PER_BAND), "id long, n_shingles long, node long, bands array<long>"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"))
+    signed = staged(rows.mapInArrow(_signer(shingle, bands, ROWS_PER_BAND), "id long, row long, n_shingles long, node long, bands array<long>"))
 
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least")
+    firsts = [F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *([] if row is None else [least])]
+    classes = signed.where("node is not null").groupBy("node").agg(*firsts)
     classes = staged(classes)
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -237,11 +242,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = staged(more.unionByName(_linked_in_blocks(large, _sets(rows, classes, nodes, shingle), percent)))
     component = component if more.isEmpty() else connected_components(first.unionByName(more))
 
-    placed = classes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(lowest, "component").select("node", "component_id")
-    out = signed.select("id", "n_shingles", "node").join(named, "node", "left")
+    own = [] if row is None else ["least"]
+    placed = classes.select("node", "rep", *own).join(component, "node", "left").select("node", "rep", *own, F.coalesce("component", "node").alias("component"))
+    lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"), *[F.min(c).alias(c) for c in own])
+    named = placed.drop(*own).join(lowest, "component").select("node", "component_id", *own)
+    out = signed.select("id", "row", "n_shingles", "node").join(named, "node", "left")
     found = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    if row is not None:
+        one = F.col("node").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & F.col("row").eqNullSafe(F.col("least.row")))
+        return out.select(F.col("id").alias("doc_id"), "n_shingles", found.alias("component_id"), one.alias("kept"), F.col("row").alias(row))
     kept = F.when(F.col("node").isNull() | found.isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == found, F.lit(False)))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", found.alias("component_id"), kept.alias("kept"))
 

@@ -170,3 +170,17 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             before, current = current, stage(spark, current, str(tmp_path)).cache()
             assert current.columns[:5] == docs.columns and current.count() == before.count()
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [
+        (10, text(0)), (None, text(0)), (None, text(1)), (None, text(2)),  # a: documents without an id that have no copy stay
+        (20, text(3)), (20, text(4)), (5, text(4) + " more"),  # b: an id on a unique text and on a near copy
+        (30, text(5)), (30, text(5)), (30, text(5)), (None, text(6)), (None, text(6)), (None, text(6) + " more"),  # c: repeated rows, copies without ids
+        (40, text(7)), (40, text(7) + " more"), (50, None), (50, None), (None, " "), (None, " "),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, (r.text or " ").split(" ")[0]) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), FOLDER).collect())
+    want = [(10, "w0x0"), (None, "w1x0"), (None, "w2x0"), (20, "w3x0"), (5, "w4x0"), (30, "w5x0"), (None, "w6x0"), (40, "w7x0"), (50, ""), (50, ""), (None, ""), (None, "")]
+    assert got == Counter(want)
