@@ -9,6 +9,7 @@ What the driver holds is bounded: the trigram table by the alphabet, the model b
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import staged
+from tablemill.llm.common import process_store, staged
 
 FEATURES = 2_000  # features of the model: those that tell the classes apart best
 FIT_ROWS = 40_000  # labelled rows that the logistic model is fitted on at most, about: those with the lowest hashes of the id; features are counted on all
@@ -29,7 +30,7 @@ MIN_TOXIC = 4  # labelled toxic documents that a feature must occur in
 PREFIXES = (3, 4, 5, 6, 7)  # lengths of word beginnings
 MEMO_TOKENS = 100_000
 TEXTS_AT_ONCE = 250  # texts whose features a task holds at a time
-LONGEST_TOKEN = 32  # a longer token is no hidden word and is read as it stands
+MEMO_LENGTH = 64  # readings of longer tokens are not remembered
 
 # The alphabet of the character model (a-z and the lower-case letters of Latin-1), and what look-alikes may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷")
@@ -45,7 +46,11 @@ CODE = {c: i for i, c in enumerate(LETTERS)}
 
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ .\-_*]+){2,}[^\s](?![^\s])")
-JUNK = ".,;:?!%*#&~^<>\"'()[]{}"  # at a token's ends it is no letter
+JUNK = ".,;:?!%*#&~^<>\"'()[]{}"  # at a token's ends it is no letter, unless it is a look-alike
+PLAIN_JUNK = "".join(c for c in JUNK if c not in LOOKALIKES)
+SIGNS = "".join(LOOKALIKES)
+ONE_READING = str.maketrans({c: r for c, r in LOOKALIKES.items() if len(r) == 1})
+DOUBLED = re.compile(r"([^\W\d_])\1")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LAST_BMP = 0x10000
 
@@ -90,84 +95,141 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 # Channel: log odds against reading a character as it stands.
 SUBSTITUTE, DROP, DROP_LOOKALIKE, BREAK, DOUBLE, SQUEEZE = -1.0, -2.0, -7.0, -9.0, -3.0, -0.5
+JOINED = -1.0  # the end of a word between the letters of a spaced run
 
 
 class Decoder:
-    """Restores noisy tokens. A clean token (letters, no character three times in a row) stands for itself."""
+    """Restores noisy tokens. A clean token (letters, none twice in a row) stands for itself. Where look-alikes at a token's ends may be letters
+    or junk, or a doubled letter one or two, both readings count. Tokens of any length are read, in time linear in their length."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-        self.memo: dict[str, str] = {}
+        known = process_store("toxicity_decoder")  # of the last model that a task of this process has used
+        mark = hashlib.sha256(np.ascontiguousarray(model).tobytes()).digest()
+        if known.get("mark") != mark:
+            known.update(mark=mark, model=model.tolist(), memo={})
+        self.model, self.memo = known["model"], known["memo"]
 
     def words(self, text: str) -> Counter:
         """Restored words of a text with their counts."""
         text = text.lower()
-        stretched = TRIPLE.search(text) is not None
         found: Counter = Counter()
+        count, doubled = found.get, DOUBLED.search
         for token, n in Counter(text.split()).items():
-            core = token
-            if not token.isalpha():
-                core = token.strip(JUNK)
-                if core.endswith("$$"):
-                    core = core.rstrip("$")
-            if core.isalpha():
-                if not (stretched and TRIPLE.search(core)):
-                    found[core] += n
-                    continue
-            elif not any(map(str.isalpha, core)):
-                continue
-            for word in WORD.findall(self.restore(core)):
-                found[word] += n
-        for run in SPACED.findall(text):  # letters set apart: one word, next to what its letters gave above
+            core = token if token.isalpha() else token.strip(PLAIN_JUNK)
+            if core.isalpha() and not doubled(core):
+                found[core] = count(core, 0) + n
+            elif core:
+                for word in self.readings(core):
+                    found[word] = count(word, 0) + n
+        for run in SPACED.findall(text):  # letters set apart: one word or several, next to what its letters gave above
             letters = re.sub(r"[\s.\-_*]+", "", run)
-            if len(set(letters)) > 2 and len(letters) <= LONGEST_TOKEN:
-                for word in WORD.findall(self.restore(letters)):
+            if len(set(letters)) > 2:
+                for word in self.together([self.restore(letters), self.restore(letters, parted=True)]):
                     found[word] += 1
         return found
 
-    def restore(self, token: str) -> str:
-        if len(token) > LONGEST_TOKEN or not token:
-            return token
+    def readings(self, core: str) -> list[str]:
+        """Words of a token without white space, those of its other readings after them; words that the first reading has are not repeated."""
+        bare = core if core.isalpha() else core.strip(JUNK)
+        if bare.endswith("$$"):
+            bare = bare.rstrip("$")
+        ways, twice = [], DOUBLED.search(bare)
+        if bare.isalpha():
+            stretched = twice and TRIPLE.search(bare)
+            if not stretched:
+                ways.append(bare)
+            if twice:
+                ways.append(self.restore(bare) if stretched or DOUBLED.search(bare, twice.end()) else self.halved(bare, twice.start()))
+        elif any(map(str.isalpha, bare)):
+            ways.append(self.restore(bare))
+        if core[0] in LOOKALIKES or core[-1] in LOOKALIKES:
+            if bare.isalpha() and not twice and all(len(LOOKALIKES.get(c, " ")) == 1 for c in core) and core.strip(SIGNS) == bare:
+                ways.append(core.translate(ONE_READING))  # the only path
+            else:
+                ways.append(self.restore(core, ends=True))
+        return self.together(ways)
+
+    def halved(self, token: str, at: int) -> str:
+        """The better path of a token of letters with one doubled letter, at and at + 1."""
+        a, b, c, d, e = (CODE.get(token[i], OTHER) if 0 <= i < len(token) else EDGE for i in range(at - 1, at + 4))
+        model = self.model
+        both = model[a][b][c] + model[b][c][d] + (model[c][d][e] if at + 2 < len(token) else 0.0)
+        one = model[a][b][d] + (model[b][d][e] if at + 2 < len(token) else 0.0)
+        return token[:at] + token[at + 1 :] if one + DOUBLE > both else token
+
+    @staticmethod
+    def together(ways: list[str]) -> list[str]:
+        found: list[str] = []
+        for way in ways:
+            more = [way] if way.isalpha() else WORD.findall(way)
+            found += [w for w in more if w not in found] if found else more
+        return found
+
+    def restore(self, token: str, ends: bool = False, parted: bool = False) -> str:
+        if not token or len(token) > MEMO_LENGTH:
+            return token and self.viterbi(token, ends, parted)
         if len(self.memo) > MEMO_TOKENS:
             self.memo.clear()
-        known = self.memo.get(token)
+        known = self.memo.get((token, ends, parted))
         if known is None:
-            known = self.memo[token] = self.viterbi(token)
+            known = self.memo[(token, ends, parted)] = self.viterbi(token, ends, parted)
         return known
 
-    def viterbi(self, token: str) -> str:
-        """Best path through the lattice. State: the last two symbols written."""
+    def viterbi(self, token: str, ends: bool = False, parted: bool = False) -> str:
+        """Best path through the lattice. State: the last two symbols written; a path is a chain of pairs (path so far, character).
+
+        ends: the look-alikes at both ends are letters. parted: a word may end between any two characters."""
         model = self.model
-        states = {(EDGE, EDGE): (0.0, "")}
+        first, last = (len(token) - len(token.lstrip(SIGNS)), len(token.rstrip(SIGNS))) if ends else (0, len(token))
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         before, repeats = "", 0
         for i, c in enumerate(token):
             repeats = repeats + 1 if c == before else 0
             # junk comes in runs; a single look-alike is more likely a letter
             drop = DROP_LOOKALIKE if c in LOOKALIKES and not repeats and token[i + 1 : i + 2] != c else DROP
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            readings = [(r, SUBSTITUTE) for r in LOOKALIKES.get(c, "")]
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            readings = [(r, CODE.get(r, OTHER), SUBSTITUTE) for r in LOOKALIKES.get(c, "")]
             noise = not c.isalpha()
+            letter = i < first or i >= last
             if not noise:
-                readings.append((c, 0.0))
-            for (a, b), (score, out) in states.items():
-                for r, cost in readings:
-                    code = CODE.get(r, OTHER)
-                    new = score + cost + model[a][b][code]
-                    if new > after.get((b, code), (-math.inf,))[0]:
-                        after[(b, code)] = (new, out + r)
+                readings.append((c, CODE.get(c, OTHER), 0.0))
+            if parted and i:
+                best = max(((score + JOINED + model[a][b][EDGE], path) for (a, b), (score, path) in states.items()), key=_score)
+                if best[0] > states.get((EDGE, EDGE), NEVER)[0]:
+                    states[(EDGE, EDGE)] = (best[0], (best[1], " "))
+            for (a, b), (score, path) in states.items():
+                row = model[a][b]
+                for r, code, cost in readings:
+                    new = score + cost + row[code]
+                    if new > after.get((b, code), NEVER)[0]:
+                        after[(b, code)] = (new, (path, r))
                 if noise:  # a separator or junk: dropped, or the end of a word
+                    if letter:
+                        continue
                     new = score + drop
-                    if new > after.get((a, b), (-math.inf,))[0]:
-                        after[(a, b)] = (new, out)
-                    new = score + BREAK + model[a][b][EDGE]
-                    if new > after.get((EDGE, EDGE), (-math.inf,))[0]:
-                        after[(EDGE, EDGE)] = (new, out + " ")
+                    if new > after.get((a, b), NEVER)[0]:
+                        after[(a, b)] = (new, path)
+                    new = score + BREAK + row[EDGE]
+                    if new > after.get((EDGE, EDGE), NEVER)[0]:
+                        after[(EDGE, EDGE)] = (new, (path, " "))
                 elif c == before:  # a repeated letter: dropped
                     new = score + (DOUBLE if repeats == 1 else SQUEEZE)
-                    if new > after.get((a, b), (-math.inf,))[0]:
-                        after[(a, b)] = (new, out)
+                    if new > after.get((a, b), NEVER)[0]:
+                        after[(a, b)] = (new, path)
             states, before = after, c
-        return max((score + model[a][b][EDGE], out) for (a, b), (score, out) in states.items())[1]
+        path = max(((score + model[a][b][EDGE], path) for (a, b), (score, path) in states.items()), key=_score)[1]
+        written: list[str] = []
+        while path:
+            path, c = path
+            written.append(c)
+        return "".join(reversed(written))
+
+
+NEVER = (-math.inf, None)
+
+
+def _score(state: tuple) -> float:
+    return state[0]
 
 
 def features(words: dict[str, int]) -> Counter:

@@ -184,3 +184,18 @@ def test_one_row_of_each_group_of_near_copies_stays(spark):
     got = Counter((r.doc_id, (r.text or " ").split(" ")[0]) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), FOLDER).collect())
     want = [(10, "w0x0"), (None, "w1x0"), (None, "w2x0"), (20, "w3x0"), (5, "w4x0"), (30, "w5x0"), (None, "w6x0"), (40, "w7x0"), (50, ""), (50, ""), (None, ""), (None, "")]
     assert got == Counter(want)
+
+
+@pytest.mark.parametrize(
+    ("hidden", "word"),
+    [("!diot", "idiot"), ("a$$", "ass"), ("bada$$", "badass"), ("@$$", "ass"), ("iddiioott", "idiot"), ("(unt", "cunt"), ("gone!", "gone"), ("well", "well"), ("the$$$", "the")]
+    + [("s" * 50 + "tupid", "stupid"), ("s.t.u.p.i.d." * 6, "stupid" * 6), ("y o u a r e a m o r o n", "moron"), ("s t u p i d i d i o t", "idiot")],
+)
+def test_both_readings_of_ends_doubled_letters_and_long_tokens(decoder, hidden, word):
+    assert word in decoder.words(f"so {hidden} then")
+
+
+def test_a_doubled_letter_is_read_as_the_lattice_reads_it(decoder):
+    for word in ("will", "iidiot", "idiiot", "idiott", "aa", "oof", "moroon", "ßßa", "loser", "trassh"):
+        if m := toxicity.DOUBLED.search(word):
+            assert decoder.halved(word, m.start()) == decoder.viterbi(word)
