@@ -1,8 +1,8 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over a text's bytes; a chunk ends where the hash's top bits are zero, so cuts depend on the last 16 bytes only and
-come back in step after an insertion. Chunks are deduplicated by digest: the first holder keeps a chunk, and runs of chunks that
-others hold first are repeats. Chunks travel as digests, never as text.
+come back in step after an insertion. Stretches of several consecutive chunks are deduplicated by digest: the first holder
+keeps a stretch, and runs of stretches that others hold first are repeats. Stretches travel as digests, never as text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from tablemill.llm.common import put_columns, staged
 
 CUT_BITS = 4  # a cut every 16 bytes on average, after SMALLEST
 SMALLEST, LARGEST = 4, 256  # bytes of a chunk; a longer one is cut without regard to content
+TOGETHER, WINDOW = 4, 64  # chunks and bytes of a stretch that is looked up as one, at least: single chunks agree by chance
 RUN = 100  # characters; a shorter run of repeated chunks is left alone
+NO_ID = (1 << 63) - 1  # stands for a null id
 GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 16, 256, dtype=np.uint16)
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -49,8 +51,22 @@ def cut_points(data: np.ndarray) -> list[int]:
     return ends
 
 
+def windows(cuts: list[int]) -> list[tuple[int, int]]:
+    """From each chunk on the shortest stretch of TOGETHER chunks and WINDOW bytes at least, as numbers of its first chunk and of the one
+    after its last; a text that is too short for one is one stretch."""
+    starts, found, last = [0, *cuts[:-1]], [], 0
+    for first, start in enumerate(starts):
+        last = max(last, first + TOGETHER)
+        while last <= len(cuts) and cuts[last - 1] - start < WINDOW:
+            last += 1
+        if last > len(cuts):
+            break
+        found.append((first, last))
+    return found or ([(0, len(cuts))] if cuts else [])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) to a row per chunk: (id, key, digest, span); span packs start and end, in code points."""
+    """(id, key, text) to a row per stretch: (id, key, digest, span); span packs start and end, in code points."""
     import xxhash
 
     digest_of = xxhash.xxh3_64_intdigest
@@ -64,48 +80,49 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cuts = cut_points(data)
                 if not cuts:
                     continue
-                points = np.cumsum((data & 0xC0) != 0x80)[np.array(cuts) - 1]
-                rows += [i] * len(cuts)
-                digests += map(digest_of, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)))
-                starts += [0, *points[:-1].tolist()]
-                ends += points.tolist()
+                points = [0, *np.cumsum((data & 0xC0) != 0x80)[np.array(cuts) - 1].tolist()]
+                edges, found = [0, *cuts], windows(cuts)
+                rows += [i] * len(found)
+                digests += [digest_of(raw[edges[a] : edges[b]]) for a, b in found]
+                starts += [points[a] for a, _ in found]
+                ends += [points[b] for _, b in found]
             keys = [c.take(pa.array(rows, pa.int32())) for c in batch.columns[:-1]]
             spans = (np.array(starts, np.int64) << 32) | np.array(ends, np.int64)
             yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(spans)], names=["id", "key", "digest", "span"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated chunks of each document to runs: those that others hold too, and those that others hold first."""
+    """Shared stretches of each document to runs: those that others hold too, and those that others hold first."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def merged(chunks: list[tuple[int, int]]) -> list[dict]:
         runs: list[list[int]] = []
         for start, end in chunks:
-            if runs and runs[-1][1] == start:
-                runs[-1][1] = end
+            if runs and runs[-1][1] >= start:
+                runs[-1][1] = max(runs[-1][1], end)
             else:
                 runs.append([start, end])
         return [{"start": a, "end": b} for a, b in runs if b - a >= RUN]
 
     for batch in batches:
         shared, repeated = [], []
-        for own, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found = sorted((c["span"] >> 32, c["span"] & 0xFFFFFFFF, c["first"]) for c in held)
+        for key, own, held in zip(*[c.to_pylist() for c in batch.columns]):
+            found = sorted((c["span"] >> 32, c["span"] & 0xFFFFFFFF, c["first"] != own or (own == NO_ID and c["who"] != key)) for c in held)
             shared.append(merged([c[:2] for c in found]))
-            repeated.append(merged([c[:2] for c in found if c[2] != own]))
+            repeated.append(merged([c[:2] for c in found if c[2]]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, kind), pa.array(repeated, kind)], names=["key", "shared", "repeated"])
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, shared, repeated) of the documents with such runs: of chunks that other documents hold too, and of those that a document with a
-    smaller id holds. key is a hash of id and text."""
-    last = F.lit((1 << 63) - 1)  # stands for a null id
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), _key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    """(key, shared, repeated) of the documents with such runs: of stretches that other documents hold too, and of those that a document with a
+    smaller id holds. key is a hash of id and text; it tells documents without an id apart."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), _key(doc_id, text).alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.length("text") >= RUN)
     chunks = rows.mapInArrow(_chunks, "id long, key long, digest long, span long")
-    holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first <> final")
-    holders = staged(holders.select("digest", "first"))
-    held = chunks.join(holders, "digest").groupBy("key").agg(F.collect_list(F.struct("span", "first")).alias("held"))  # one document's chunks
+    who = F.when(F.col("id") == NO_ID, F.col("key"))
+    holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("final"), F.min(who).alias("who"), F.max(who).alias("other"))
+    holders = staged(holders.where("first <> final or who <> other").select("digest", "first", "who"))
+    held = chunks.join(holders, "digest").groupBy("key").agg(F.collect_list(F.struct("span", "first", "who")).alias("held"))  # one document's chunks
     owned = rows.select("key", "id").distinct().join(held, "key").select("key", "id", "held")
     return owned.mapInArrow(_runs, f"key long, shared {SPANS}, repeated {SPANS}").where("size(shared) > 0")
 
@@ -115,11 +132,12 @@ def _key(doc_id: str, text: str):
 
 
 def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with shared_spans and repeated_spans: stretches of at least RUN characters (code points, end exclusive) whose chunks are in
-    documents with another id too, and those of them that are in documents with a smaller id.
+    """``docs`` with shared_spans and repeated_spans: stretches of at least RUN characters (code points, end exclusive) covered by
+    windows of TOGETHER chunks and WINDOW bytes or more that are in documents with another id too, and by those in documents with a smaller id.
 
-    A text without such stretches, or null, has empty lists. A null id counts as larger than all others, and such rows as one document.
-    Rows that repeat an id do not make each other's chunks shared. Chunks are compared by 64-bit digests; a stretch takes several.
+    A text without such stretches, or null, has empty lists. A null id counts as larger than all others, and such rows are told apart by
+    their texts: the one with the smallest hash counts as first. Rows that repeat an id do not make each other's windows shared. Windows are
+    compared by 64-bit digests.
     Input columns named like the new ones give way; other columns and repeated rows stay.
     """
     runs = repeated_runs(docs, doc_id, text).withColumnRenamed("key", "__key")

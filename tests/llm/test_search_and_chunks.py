@@ -187,3 +187,17 @@ def test_query_over_the_documents_marks_what_is_elsewhere(spark):
 def test_items_split_into_question_and_answer(text):
     question, answer = decontamination.question_and_answer(text)
     assert question and answer and question + answer == decontamination.words_of(text)
+
+
+def test_chunks_from_several_places_are_no_repeat(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = " ".join(word() for _ in range(60))
+    cuts = [0, *chunks.cut_points(np.frombuffer(text.encode(), np.uint8))]
+    pieces = [(i, " ".join(word() for _ in range(30)) + " " + text[max(0, a - 16) : b] + " " + " ".join(word() for _ in range(30))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    rows = [(i, t) for i, t in pieces if len(t) < 600] + [(9_000, text), (None, "first " + (lost := " ".join(word() for _ in range(80)))), (None, "second " + lost)]
+    got = chunks.mark_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = next(r for r in got if r.doc_id == 9_000)
+    assert whole.shared_spans == [] and whole.repeated_spans == []  # every chunk is somewhere else, no passage is
+    without = [r for r in got if r.doc_id is None]
+    assert all(r.shared_spans for r in without) and sum(bool(r.repeated_spans) for r in without) == 1
