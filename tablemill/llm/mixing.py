@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source gets a whole number of the slots of one period. Its k-th block of a period is released at slot floor(k * period / slots)
-and due by ceil((k + 1) * period / slots); the earliest deadline goes first. At every slot each source then has had its due share to
-within less than one block, and at the end of the period exactly its share, so the schedule of one period serves for all of them and
-every block finds its slot by arithmetic.
+A source's k-th block is released at slot floor(k / rate) and due by ceil((k + 1) / rate), with rates as exact fractions over the whole
+run; the earliest deadline goes first. At every slot each source then has had its due share to within less than one block. The driver
+walks the slots once and keeps where each period of them begins; tasks make the periods' schedules anew from there.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,25 +44,58 @@ def whole_shares(weights: dict, period: int) -> dict:
     return shares
 
 
-def period_schedule(shares: dict) -> dict[object, list[int]]:
-    """Slot of each source's k-th block of a period, earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    order = sorted(shares, key=lambda s: (s is None, str(s)))
-    coming = [(0, i, 0) for i in range(len(order))]  # release, source, block
+def exact_rates(weights: list) -> list[int]:
+    """Whole numbers in the proportions of the weights, without rounding."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[w.denominator for w in exact])
+    return [int(w * scale) for w in exact]
+
+
+def scheduled(rates: list[int], done: list[int], start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block) of the slots from start to before end, earliest deadline first among released blocks; done: blocks of each source before."""
+    total = sum(rates)
+    coming = [(k * total // rates[i], i, k) for i, k in enumerate(done)]  # release, source, block
     heapq.heapify(coming)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    slots: dict[object, list[int]] = {s: [] for s in order}
-    for now in range(period):
+    for now in range(start, end):
         while coming and coming[0][0] <= now:
             _, i, k = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(k + 1) * period // shares[order[i]]), i, k))
+            heapq.heappush(ready, (-(-(k + 1) * total // rates[i]), i, k))
         _, i, k = heapq.heappop(ready)
+        yield now, i, k
+        heapq.heappush(coming, ((k + 1) * total // rates[i], i, k + 1))
+
+
+def period_schedule(shares: dict) -> dict[object, list[int]]:
+    """Slot of each source's k-th block of a period that holds whole shares."""
+    order = sorted(shares, key=lambda s: (s is None, str(s)))
+    slots: dict[object, list[int]] = {s: [] for s in order}
+    for now, i, _ in scheduled([shares[s] for s in order], [0] * len(order), 0, sum(shares.values())):
         slots[order[i]].append(now)
-        if k + 1 < shares[order[i]]:
-            heapq.heappush(coming, ((k + 1) * period // shares[order[i]], i, k + 1))
     return slots
 
 
+def period_starts(rates: list[int], blocks: list[int], period: int) -> list[tuple[int, list[int]]]:
+    """First slot of each period, and the blocks of each source before it, until all blocks have a slot."""
+    done, start, found = [0] * len(rates), 0, []
+    while any(d < n for d, n in zip(done, blocks)):
+        found.append((start, done[:]))
+        for _, i, k in scheduled(rates, done[:], start, start + period):
+            done[i] = k + 1
+        start += period
+    return found
+
+
+def _slots(rates: list[int], blocks: list[int], period: int):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, done in zip(batch["start"], batch["done"]):
+                found = scheduled(rates, [int(d) for d in done], int(start), int(start) + period)
+                yield pd.DataFrame([(i, k, now) for now, i, k in found if k < blocks[i]], columns=["i", "k", "slot"], dtype="int64")
+
+    return make
+
+
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """``docs`` with mix_block (number of the block in its source), mix_slot (its slot) and mix_offset (place in the block).
 
@@ -68,7 +103,8 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     as the source lasts; the slots of a source that has ended stay empty, which leaves the others' proportions as they are. Every
     row is kept. weights: by source, all of ``docs``'s sources, above zero; by default source sizes to the power TEMPERATURE. Rows without a
     source form one source of their own. Inside a source rows are in the order of a hash of their key, ties in any order. Input
-    columns named like the new ones give way. The number of sources is taken to be small enough for the driver.
+    columns named like the new ones give way. The number of sources is taken to be small enough for the driver, which also walks all slots
+    up to the last block; period: slots that one task schedules at a time.
     """
     spark = docs.sparkSession
     taken = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_block", "mix_slot", "mix_offset")])
@@ -79,24 +115,29 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     if lacking:
         raise ValueError(f"sources without a weight above zero: {lacking[:5]}")
     period = max(period, 4 * len(weights))
-    shares = whole_shares(weights, period) if weights else {}
-    schedule = period_schedule(shares) if shares else {}
+    order = sorted(weights, key=lambda s: (s is None, str(s)))
+    rates = exact_rates([weights[s] for s in order])
+    blocks = [-(-sizes.get(s, 0) // block) for s in order]
+    starting = spark.createDataFrame(period_starts(rates, blocks, period), "start long, done array<long>")
+    slots = starting.mapInPandas(_slots(rates, blocks, period), "i long, k long, slot long")
 
     # rows are numbered inside hash buckets of a source, and the buckets' sizes are summed up: no task gets a whole source
     buckets = max(1, math.ceil(max(sizes.values(), default=0) / ROWS_PER_BUCKET))
     place = F.xxhash64(F.col(key))
     placed = taken.withColumns({"__at": place, "__bucket": F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(buckets)), "__source": F.col(source)})
-    rows = spark.createDataFrame([(s, shares[s], schedule[s]) for s in shares], f"__source {dict(docs.dtypes)[source]}, __share long, __slots array<long>")
+    rows = spark.createDataFrame(list(zip(order, range(len(order)))), f"__own {dict(docs.dtypes)[source]}, __i long")
     counts = placed.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), earlier.alias("__start"))
+    starts = counts.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), earlier.alias("__start"), "n")
+    span = F.sequence(F.expr(f"__start div {block}"), F.expr(f"(__start + n - 1) div {block}"))
+    spans = starts.join(rows, F.col("__s").eqNullSafe(F.col("__own"))).select("__s", "__b", "__start", F.col("__i").alias("i"), F.explode(span).alias("k"))
+    held = spans.join(slots, ["i", "k"]).groupBy("__s", "__b", "__start").agg(F.sort_array(F.collect_list(F.struct("k", "slot"))).alias("held"))
+    starts = held.select("__s", "__b", "__start", F.col("held.slot").alias("__slots"))  # of the blocks that a bucket has rows of
     number = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__at"))
     numbered = placed.withColumn("__number", number)
     numbered = numbered.join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     numbered = numbered.drop("__s", "__b").withColumn("__rank", F.col("__start") + F.col("__number") - 1)
-    joined = numbered.withColumnRenamed("__source", "__own").join(rows, F.col("__own").eqNullSafe(F.col("__source")))
     at = F.expr(f"__rank div {block}")
-    turn = F.expr(f"(__rank div {block}) div __share")
-    slot = turn * period + F.element_at("__slots", (F.expr(f"(__rank div {block}) % __share") + 1).cast("int"))
-    out = put_columns(joined, mix_block=at.cast("long"), mix_slot=slot.cast("long"), mix_offset=(F.col("__rank") % block).cast("int"))
-    return out.drop("__at", "__bucket", "__number", "__start", "__rank", "__own", "__source", "__share", "__slots")
+    slot = F.element_at("__slots", (at - F.expr(f"__start div {block}") + 1).cast("int"))
+    out = put_columns(numbered, mix_block=at.cast("long"), mix_slot=slot.cast("long"), mix_offset=(F.col("__rank") % block).cast("int"))
+    return out.drop("__at", "__bucket", "__number", "__start", "__rank", "__source", "__slots")

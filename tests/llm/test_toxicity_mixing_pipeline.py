@@ -199,3 +199,15 @@ def test_a_doubled_letter_is_read_as_the_lattice_reads_it(decoder):
     for word in ("will", "iidiot", "idiiot", "idiott", "aa", "oof", "moroon", "ßßa", "loser", "trassh"):
         if m := toxicity.DOUBLED.search(word):
             assert decoder.halved(word, m.start()) == decoder.viterbi(word)
+
+
+def test_sources_keep_to_exact_weights_over_many_periods(spark):
+    df = spark.range(8_000).selectExpr("id AS doc_id", "concat('s', id % 20) AS source")
+    weights = {f"s{i}": 1 + (i % 3) * 0.37 for i in range(20)}
+    by_source = defaultdict(list)
+    for r in mixing.mix(df, weights=weights, block=1, period=80).collect():
+        by_source[r.source].append(r.mix_slot)
+    assert len({x for slots in by_source.values() for x in slots}) == 8_000
+    for source, slots in by_source.items():
+        rate = weights[source] / sum(weights.values())
+        assert all(abs(k - rate * x) < 1 and abs(k + 1 - rate * (x + 1)) < 1 for k, x in enumerate(sorted(slots)))
