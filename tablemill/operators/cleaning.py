@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablemill.functions.casting import safe_cast
 from tablemill.functions.text import GAP_TOKENS, is_blank, is_gap, named, without_tokens
-from tablemill.operators.ordered import ROWS_PER_RANGE, running
+from tablemill.operators.ordered import running
 
 
 def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def fill_gaps(
     partition_by: Sequence[str] = (),
     direction: str = "down",
     empty_tokens: Sequence[str] = GAP_TOKENS,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Fill blank cells and placeholder tokens from the previous (``down``) or next (``up``) row with a value."""
     if direction not in ("down", "up"):
@@ -70,5 +70,5 @@ def fill_gaps(
         order_by=order_by,
         fills={c: F.when(~is_gap(named(c), empty_tokens), named(c)) for c in present},
         descending=direction == "up",
-        rows_per_range=rows_per_range,
+        ranges=ranges,
     )

@@ -1,23 +1,21 @@
 """Running values over an order, without sorting a whole group in one task.
 
 A window function puts every row of its partition into one task. When a partition may be most of the table (a
-handful of categories, or no partition key at all) that task does not finish. ``running`` therefore cuts the
-order into ranges of bounded size:
+handful of categories, or no partition key at all) that task does not finish. ``running`` is therefore a prefix scan
+in two passes over Spark's own range exchange:
 
-1. a bounded row sample gives the range bounds, which become a literal array;
-2. every row finds its range with a binary search over that literal, inside generated code;
-3. each (group, range) pair is pre-aggregated map-side into one carry row;
-4. carry rows join the data rows of the next ranges by union, and one window per (group, range) finishes.
+1. rows are dealt into ranges of (group, order) and written with the number of their range; a row number breaks the
+   last ties, so that copies of one row can be cut as well;
+2. each (group, range) is summed up in one row. A range continues at most one group from the range before it, so
+   there is at most one carry per range, whatever the number of rows;
+3. one window per (group, range) runs over the written rows and starts from its carry.
 
-Data rows are shuffled once. Tables of at most ``rows_per_range`` rows take a plain window, which is then bounded.
-
-No range can cut through rows that are copies of each other. When the sample shows a key that fills more than a
-range, copies are collapsed to one row with a count first, which also happens map-side, and unfolded at the end.
+The same steps run at every size; the number of ranges is the session's number of shuffle partitions, which adaptive
+execution lowers for small inputs. The written table freezes the ranges: a lost executor cannot deal them anew.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,16 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import named
-
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 65_536
-SAMPLE_PER_RANGE = 8
-COPIES_PER_TASK = 1_000_000
+from tablemill.session import staged
 
 _RANGE = "__range"
-_KEY = "__key"
-_DATA = "__is_data"
-_COPIES = "__copies"
+_TIE = "__tie"
 
 
 def total_order(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> list[str]:
@@ -53,45 +45,12 @@ def _sorts(names: Sequence[str], descending: bool) -> list[Column]:
     return [named(n).desc() if descending else named(n).asc() for n in names]
 
 
-def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> tuple[list[dict[str, str | None]], bool]:
-    """At most ``ranges - 1`` increasing key values that cut ``df`` into similar shares, and whether one key alone
-    seems to fill more than one share. Runs one sampling job over the key columns.
-    """
-    wanted = ranges * SAMPLE_PER_RANGE
-    sample = df.select(*[named(k) for k in keys])
-    if wanted < rows:
-        sample = sample.sample(fraction=min(1.0, wanted * 1.2 / rows), seed=17)
-    # The sample is bounded, so one task may sort it; only the rows at the cuts reach the driver.
-    whole = Window.partitionBy()
-    numbered = sample.select(
-        *[named(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)],
-        F.row_number().over(whole.orderBy(*_sorts(keys, False))).alias("no"),
-        F.count(F.lit(1)).over(whole).alias("n"),
-    )
-    share = lambda no: F.floor(no * ranges / F.col("n"))
-    at_cut = (share(F.col("no")) > share(F.col("no") - 1)) & (F.col("no") < F.col("n"))
-    cuts = numbered.where(at_cut).orderBy("no").drop("no", "n").collect()
-    distinct = list(dict.fromkeys(cuts))
-    return [row.asDict() for row in distinct], len(distinct) < len(cuts)
-
-
-def with_range(df: DataFrame, keys: Sequence[str], bounds: list[dict[str, str | None]]) -> DataFrame:
-    """Add the range number of each row: how many bounds are at or below its key.
-
-    Each halving step is its own projection so that the whole search stays inside generated code.
-    """
-    texts = T.StructType([T.StructField(f"k{i}", T.StringType()) for i in range(len(keys))])
-    typed = T.StructType([T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)])
-    literal = F.from_json(F.lit(json.dumps(bounds)), T.ArrayType(texts)).cast(T.ArrayType(typed))
-    key = F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    out = df.withColumn(_KEY, key).withColumn(_RANGE, F.lit(0))
-    at = F.col(_RANGE)
-    step = 1 << max(0, len(bounds).bit_length() - 1)
-    while step >= 1:
-        reaches = F.get(literal, at + F.lit(step - 1)) <= F.col(_KEY)
-        out = out.withColumn(_RANGE, F.when(reaches, at + F.lit(step)).otherwise(at))
-        step >>= 1
-    return out.drop(_KEY)
+def in_ranges(df: DataFrame, group_by: Sequence[str], order: Sequence[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """``df`` written in ranges of (group, order): columns __range, which increases with the order, and __tie."""
+    sorts = [*_sorts(group_by, False), *_sorts([*order, _TIE], descending)]
+    tied = df.withColumn(_TIE, F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(ranges, *sorts) if ranges else tied.repartitionByRange(*sorts)
+    return staged(dealt.withColumn(_RANGE, F.spark_partition_id()))
 
 
 def running(
@@ -103,121 +62,67 @@ def running(
     numbers: Sequence[str] = (),
     fills: Mapping[str, Column] | None = None,
     descending: bool = False,
-    rows_per_range: int = ROWS_PER_RANGE,
-    rows: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Add running columns over ``order_by`` within ``group_by``.
+    """Add running columns over ``order_by`` within ``group_by``. Writes the rows once, when called.
 
     ``sums``: output name to the Column to accumulate; null inputs give null and do not change the total.
     ``numbers``: output names for the position 1, 2, 3, ... in the group.
     ``fills``: output name to a Column whose last non-null value so far is taken.
-    Columns beyond ``order_by`` break ties. ``rows`` is an upper bound on the row count when the caller knows one;
-    otherwise the rows are counted.
+    Columns beyond ``order_by`` break ties. ``ranges`` fixes the number of ranges.
     """
     full_order = total_order(df, order_by, group_by)
     sums, fills = dict(sums or {}), dict(fills or {})
     inputs = {
         **{f"__sum_{i}": column for i, column in enumerate(sums.values())},
         **{f"__fill_{i}": column for i, column in enumerate(fills.values())},
-        **({"__one": F.lit(1).cast("long")} if numbers else {}),
     }
-    base = df.select("*", *[column.alias(name) for name, column in inputs.items()])
     sum_types = [f.dataType for f in df.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema.fields] if sums else []
-    groups = [named(g) for g in group_by]
-    sorts = _sorts(full_order, descending)
-    total = df.count() if rows is None else rows
-
-    if total <= rows_per_range:
-        scope = Window.partitionBy(*groups).orderBy(*sorts).rowsBetween(Window.unboundedPreceding, 0)
-        return _finish(base, df.columns, sums, sum_types, numbers, fills, scope)
-
-    keys = list(dict.fromkeys([*group_by, *order_by]))
-    ranges = min(MAX_RANGES, -(-total // rows_per_range))
-    bounds, crowded = range_bounds(base, keys, ranges, total)
-    if crowded and len(full_order) > len(order_by):
-        # Many rows share their order columns: cut through them with the columns that break ties.
-        keys = list(dict.fromkeys([*group_by, *full_order]))
-        bounds, crowded = range_bounds(base, keys, ranges, total)
-    if crowded and set(df.columns) <= set(keys):
-        return _running_over_copies(df, group_by, order_by, sums, sum_types, numbers, fills, descending, rows_per_range, total)
-    ranged = with_range(base, keys, bounds)
-
-    newest = F.min_by if descending else F.max_by
-    place = F.struct(*[named(k) for k in full_order])
-    parts = []
-    for name in inputs:
-        value = F.col(name)
-        if name.startswith("__fill_"):
-            parts.append(newest(value, F.when(value.isNotNull(), place)).alias(name))
-        else:
-            parts.append(F.sum(value).alias(name))
-    # At most one row per range within a group, whatever the number of data rows.
-    before = (
-        Window.partitionBy(*groups)
-        .orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    per_range = ranged.groupBy(*groups, _RANGE).agg(*parts)
-    carry = per_range.select(
-        *groups,
-        _RANGE,
-        F.lit(False).alias(_DATA),
-        *[
-            (F.last(n, ignorenulls=True) if n.startswith("__fill_") else F.sum(n)).over(before).alias(n)
-            for n in inputs
-        ],
-    )
-    merged = ranged.withColumn(_DATA, F.lit(True)).unionByName(carry, allowMissingColumns=True)
+    rows = in_ranges(df.select("*", *[column.alias(name) for name, column in inputs.items()]), group_by, full_order, descending, ranges)
+    carried, same = _carries(rows, list(inputs), bool(numbers), group_by, full_order, descending)
+    merged = rows.join(F.broadcast(carried), same, "left")
+
     scope = (
-        Window.partitionBy(*groups, F.col(_RANGE))
-        .orderBy(F.col(_DATA).asc(), *sorts)
+        Window.partitionBy(*[named(g) for g in group_by], F.col(_RANGE))
+        .orderBy(*_sorts([*full_order, _TIE], descending))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return _finish(merged, df.columns, sums, sum_types, numbers, fills, scope, keep=F.col(_DATA))
-
-
-def _running_over_copies(df, group_by, order_by, sums, sum_types, numbers, fills, descending, rows_per_range, rows) -> DataFrame:
-    """``running`` over distinct rows that stand for ``__copies`` rows each, then one row per copy again."""
-    step = {name: f"__step_{i}" for i, name in enumerate(sums)}
-    place = "__place"
-    distinct = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(_COPIES))
-    totals = running(
-        distinct.withColumns({step[n]: column for n, column in sums.items()}),
-        group_by=group_by,
-        order_by=order_by,
-        sums={**{n: F.col(step[n]) * F.col(_COPIES) for n in sums}, place: F.col(_COPIES)},
-        fills=fills,
-        descending=descending,
-        rows_per_range=rows_per_range,
-        rows=rows,
-    )
-    last_task = ((F.col(_COPIES) - 1) / COPIES_PER_TASK).cast("long")
-    shares = totals.withColumn("__task", F.explode(F.sequence(F.lit(0).cast("long"), last_task)))
-    # A fixed number of partitions: by their size now, before copies unfold, they would all be merged into one.
-    tasks = max(1, min(MAX_RANGES, -(-rows // COPIES_PER_TASK)))
-    share = shares.repartition(tasks, *[named(c) for c in df.columns], F.col("__task"))
-    low = F.col("__task") * COPIES_PER_TASK + 1
-    high = F.least(F.col(_COPIES), (F.col("__task") + 1) * COPIES_PER_TASK)
-    copies = share.withColumn("__copy", F.explode(F.sequence(low, high)))
-    after = F.col(_COPIES) - F.col("__copy")  # copies still to come
-    made = {n: (named(n) - F.col(step[n]) * after).cast(t).alias(n) for n, t in zip(sums, sum_types)}
-    made.update({n: (F.col(place) - after).alias(n) for n in numbers})
-    order = [*df.columns, *[n for n in [*sums, *fills, *numbers] if n not in df.columns]]
-    return copies.select(*[made.get(c, named(c)) for c in order])
-
-
-def _finish(base, columns, sums, sum_types, numbers, fills, scope, keep=None) -> DataFrame:
     made: dict[str, Column] = {}
     for i, (name, data_type) in enumerate(zip(sums, sum_types)):
         value = F.col(f"__sum_{i}")
-        made[name] = F.when(value.isNotNull(), F.sum(value).over(scope)).cast(data_type)
+        here = F.sum(value).over(scope)
+        made[name] = F.when(value.isNotNull(), F.coalesce(F.col(f"__from__sum_{i}") + here, here)).cast(data_type)
     for i, name in enumerate(fills):
-        made[name] = F.last(F.col(f"__fill_{i}"), ignorenulls=True).over(scope)
+        made[name] = F.coalesce(F.last(F.col(f"__fill_{i}"), ignorenulls=True).over(scope), F.col(f"__from__fill_{i}"))
     for name in numbers:
-        made[name] = F.sum("__one").over(scope)
-    kept = [named(c) for c in columns if c not in made] + ([keep.alias(_DATA)] if keep is not None else [])
-    out = base.select(*kept, *[column.alias(name) for name, column in made.items()])
-    if keep is not None:
-        out = out.where(F.col(_DATA)).drop(_DATA)
-    order = [c for c in columns] + [n for n in made if n not in columns]
-    return out.select(*[named(c) for c in order])
+        made[name] = F.row_number().over(scope).cast("long") + F.coalesce(F.col("__from__rows"), F.lit(0))
+    kept = [named(c) for c in df.columns if c not in made]
+    out = merged.select(*kept, *[column.alias(name) for name, column in made.items()])
+    return out.select(*[named(c) for c in [*df.columns, *[n for n in made if n not in df.columns]]])
+
+
+def _carries(rows: DataFrame, inputs: list[str], count: bool, group_by: Sequence[str], order: Sequence[str], descending: bool) -> tuple[DataFrame, Column]:
+    """What the ranges before bring into a range that goes on with their last group: at most one row per range, so
+    that it may be broadcast; and the condition that joins it to the rows."""
+    latest = F.min_by if descending else F.max_by
+    place = F.struct(*[named(k) for k in [*order, _TIE]])
+    parts = [
+        (latest(F.col(n), F.when(F.col(n).isNotNull(), place)) if n.startswith("__fill_") else F.sum(n)).alias(n) for n in inputs
+    ]
+    if count:
+        parts.append(F.count(F.lit(1)).alias("__rows"))
+    groups = [named(g) for g in group_by]
+    per_range = rows.groupBy(*groups, _RANGE).agg(F.lit(1).alias("__here"), *parts)
+    by_range = Window.partitionBy(*groups).orderBy(_RANGE)
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    sources = [*inputs, *(["__rows"] if count else [])]
+    carried = per_range.select(
+        *[g.alias(f"__group_{i}") for i, g in enumerate(groups)],
+        F.col(_RANGE).alias("__at"),
+        F.row_number().over(by_range).alias("__nth"),
+        *[(F.last(n, ignorenulls=True) if n.startswith("__fill_") else F.sum(n)).over(before).alias(f"__from{n}") for n in sources],
+    )
+    same = F.col(_RANGE) == F.col("__at")
+    for i, g in enumerate(groups):
+        same &= g.eqNullSafe(F.col(f"__group_{i}"))
+    return carried.where("__nth > 1").drop("__nth"), same

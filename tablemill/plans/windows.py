@@ -8,7 +8,6 @@ from tablemill.functions.text import named
 from tablemill.operators import windows
 from tablemill.operators.cleaning import drop_empty_rows
 from tablemill.operators.headers import normalize_headers
-from tablemill.operators.ordered import ROWS_PER_RANGE
 from tablemill.plans import fixtures
 from tablemill.plans.registry import query, table
 
@@ -30,14 +29,12 @@ _ENRICHED = f"""SELECT id, c.category, adjusted_value, timestamp, {_RANK.replace
  FROM clean_data c JOIN p ON c.category = p.category LEFT JOIN summary s ON c.category = s.category"""
 
 
-def enriched(spark, folder, rows_per_range: int = ROWS_PER_RANGE):
+def enriched(spark, folder, ranges: int | None = None):
     """Read, clean, summarise, rank, tier and relate every row to its category."""
     sample = normalize_headers(fixtures.sample(spark, folder).toDF("ID", "Category ", "VALUE", "Timestamp"))
     rows = drop_empty_rows(sample).where("value > 0").select(
         "id", F.upper("category").alias("category"), (F.col("value") * 1.1).alias("adjusted_value"), "timestamp")
-    n = sample.count()  # read from the file footers; filters only lower it
-    ranked = windows.rank_average(rows, "adjusted_value", ["category"], "category_rank", rows_per_range, n)
-    placed = windows.with_group_quantile(ranked, "adjusted_value", ["category"], 0.75, "p75_value", rows_per_range, n)
+    placed = windows.rank_with_quantiles(rows, "adjusted_value", ["category"], "category_rank", {"p75_value": 0.75}, ranges)
     value = F.col("adjusted_value")
     return windows.join_groups(placed, fixtures.category_summary(rows), ["category"]).select(
         "id", "category", "adjusted_value", "timestamp", "category_rank", "p75_value",

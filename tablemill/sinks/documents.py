@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import field, named
-from tablemill.operators.ordered import ROWS_PER_RANGE, running
+from tablemill.operators.ordered import running
 
 ROWS_PER_DOCUMENT = 10_000
 _DUMPER = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
@@ -29,12 +29,12 @@ def json_documents(
     order_by: Sequence[str],
     orient: str = "records",
     rows_per_document: int = ROWS_PER_DOCUMENT,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Documents (doc_no, json): a list of row objects (``records``) or an object of value lists (``columns``)."""
     if orient not in ("records", "columns"):
         raise ValueError(f"unknown orient: {orient}")
-    numbered = running(df, order_by=order_by, numbers=["__no"], rows_per_range=rows_per_range)
+    numbered = running(df, order_by=order_by, numbers=["__no"], ranges=ranges)
     doc = F.floor((F.col("__no") - 1) / rows_per_document).cast("long").alias("doc_no")
     row = F.struct(*[named(c) for c in df.columns])
     # Bounded by rows_per_document.
@@ -112,7 +112,7 @@ def nest(
     order_by: Sequence[str],
     name: str,
     max_children: int = ROWS_PER_DOCUMENT,
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Parents with their children as a list ``name``; ``part`` counts from 0.
 
@@ -120,8 +120,7 @@ def nest(
     parent without children comes once with an empty list.
     """
     inner = [c for c in children.columns if c not in on]
-    numbered = running(children, group_by=on, order_by=order_by, numbers=["__no"],
-                       rows_per_range=rows_per_range)
+    numbered = running(children, group_by=on, order_by=order_by, numbers=["__no"], ranges=ranges)
     part = F.floor((F.col("__no") - 1) / max_children).cast("int").alias("__part")
     entry = F.struct("__no", F.struct(*[named(c) for c in inner]).alias("row"))
     lists = numbered.groupBy(*[named(k) for k in on], part).agg(F.array_sort(F.collect_list(entry)).alias("__list"))

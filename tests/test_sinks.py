@@ -36,7 +36,7 @@ def test_jsonl_ascii(df, tmp_path):
 @pytest.mark.parametrize("orient", ["records", "columns"])
 def test_json_documents_hold_every_row_in_order(spark, orient):
     df = spark.range(95).select((94 - F.col("id")).alias("id"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("s")).repartition(4)
-    docs = documents.json_documents(df, ["id"], orient, rows_per_document=20, rows_per_range=30).orderBy("doc_no").collect()
+    docs = documents.json_documents(df, ["id"], orient, rows_per_document=20, ranges=5).orderBy("doc_no").collect()
     parsed = [json.loads(r.json) for r in docs]
     assert [r.doc_no for r in docs] == [0, 1, 2, 3, 4]
     ids = [i for d in parsed for i in (d["id"] if orient == "columns" else [r["id"] for r in d])]
@@ -80,7 +80,7 @@ def test_nested_parts_hold_every_child(spark):
     """One parent has most children; no list is longer than the limit."""
     parents = spark.range(4).select(F.col("id").alias("k"), F.concat(F.lit("p"), "id").alias("name"))
     children = spark.range(200).select(F.when(F.col("id") < 150, 0).otherwise(F.col("id") % 2 + 1).alias("k"), F.col("id").alias("c"))
-    nested = documents.nest(parents, children, ["k"], ["c"], "kids", max_children=40, rows_per_range=30)
+    nested = documents.nest(parents, children, ["k"], ["c"], "kids", max_children=40, ranges=5)
     rows = nested.orderBy("k", "part").collect()
     assert [(r.k, r.part, len(r.kids)) for r in rows] == [(0, 0, 40), (0, 1, 40), (0, 2, 40), (0, 3, 30), (1, 0, 25), (2, 0, 25), (3, 0, 0)]
     assert sorted(k.c for r in rows for k in r.kids) == list(range(200))
