@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.llm.alignment import align_tokens, with_pair_counts
 from tablemill.llm.ann import build_index, nearest, usable
 from tablemill.llm.chunks import mark_repeats
 from tablemill.llm.common import table
@@ -14,6 +15,7 @@ from tablemill.llm.decontamination import find_leaks
 from tablemill.llm.htmltext import main_text
 from tablemill.llm.minhash import near_duplicates
 from tablemill.llm.mixing import mix
+from tablemill.llm.pieces import codec, default_model, encode_pieces
 from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
 from tablemill.llm.tokens import count_tokens
 from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
@@ -113,3 +115,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = with_pair_counts(aligned.withColumn("groups_sha256", digest).drop("groups"), codec(default_model()).size)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+@register
+def op13_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.col("piece_ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("piece_text", 256).alias("decoded_sha256"))
