@@ -9,7 +9,7 @@ from tablemill.operators.headers import dedupe_headers, normalize_headers, pick_
 from tablemill.plans import fixtures
 from tablemill.plans.registry import query, table
 from tablemill.session import scratch_path
-from tablemill.sinks.documents import json_documents, write_documents, yaml_documents
+from tablemill.sinks.documents import json_documents, nest, write_documents, yaml_documents
 from tablemill.sinks.files import html_header, html_row, write_xml
 from tablemill.sources import delimited, documents, markup, tables, workbooks
 
@@ -77,6 +77,34 @@ def src_xml(spark, folder):
         "custkey": "c_custkey", "name": "c_name/text()", "balance": "./c_acctbal", "segment": "c_mktsegment"})
 
 
+_XML_PATHS = """SELECT 'open' AS path, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_totalprice AS VARCHAR) AS total FROM orders WHERE o_orderstatus = 'O'
+ UNION ALL SELECT 'urgent', CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS VARCHAR) FROM orders
+ WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
+ UNION ALL SELECT 'first', CAST(MIN(o_orderkey) AS VARCHAR), CAST(ARG_MIN(o_totalprice, o_orderkey) AS VARCHAR) FROM orders
+ WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
+
+
+@query("src_xml_paths", _XML_PATHS)
+def src_xml_paths(spark, folder):
+    """Orders of the same tag below different elements of their customer, by path, by attribute and by place."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("_id"), F.col("o_orderpriority").alias("_priority"),
+        F.col("o_totalprice").alias("total"), "o_orderstatus")
+    nested = nest(table(spark, folder, "customer").select("c_custkey"), orders, ["c_custkey"], ["_id"], "orders")
+
+    def those(status):
+        kept = F.filter("orders", lambda o: o["o_orderstatus"] == status)
+        return F.struct(F.transform(kept, lambda o: F.struct(o["_id"].alias("_id"), o["_priority"].alias("_priority"), o["total"].alias("total"))).alias("order"))
+
+    path = scratch_path(spark, "xml")
+    customers = nested.select("c_custkey", those("O").alias("open"), those("F").alias("closed"))
+    customers.write.format("xml").option("rootTag", "customers").option("rowTag", "customer").save(path)
+    fields, reads = {"id": "@id", "total": "./total/text()"}, {
+        "open": "./customer/open/order", "urgent": "customer/closed/order[@priority='1-URGENT']", "first": ".//closed/order[1]"}
+    found = [markup.read_xml(spark, path, row_xpath=x, fields=fields).select(F.lit(name).alias("path"), "id", "total") for name, x in reads.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("src_html_table", """SELECT page_id, 0 AS row_no, 'page' AS first_cell, 'address' AS second_cell FROM pages
  UNION ALL SELECT page_id, 1, CAST(page_id AS VARCHAR), url FROM pages""")
 def src_html_table(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,14 +22,88 @@ def _blank_to_null(text: Column) -> Column:
 
 def _steps(xpath: str) -> list[str]:
     """Element names of a relative path; an attribute keeps its ``@``. Prefixes go, names match without them."""
-    parts = [p for p in xpath.strip().removesuffix("/text()").split("/") if p not in ("", ".")]
-    return [("@" if p.startswith("@") else "") + p.lstrip("@").rsplit(":", 1)[-1] for p in parts]
+    if "[" in xpath or "*" in xpath or ".." in xpath or "//" in xpath:
+        raise ValueError(f"a field is a plain relative path, not {xpath!r}")
+    parts = [p for p in xpath.strip().removesuffix("text()").split("/") if p not in ("", ".")]
+    return [("@" if p.startswith("@") else "") + p.lstrip("@").rsplit(":", 1)[-1] for p in parts] or ["_VALUE"]
+
+
+@dataclass(frozen=True)
+class _Test:
+    """One predicate: a place among the elements of that name, or an attribute, child or text that is there or is compared."""
+
+    place: int | None = None  # from 0, or from -1 for the last
+    subject: str = ""  # @attribute, child, or _VALUE for the element's own text
+    operator: str = ""  # "", = or !=
+    value: str = ""
+
+
+@dataclass(frozen=True)
+class _Step:
+    name: str
+    tests: tuple[_Test, ...]
+
+
+_STEP = re.compile(r"""(?P<name>[^/\[\]@*]+)(?P<tests>(?:\[(?:[^\]'"]|'[^']*'|"[^"]*")*\])*)(?:/|$)""")
+_TEST = re.compile(r"""\[\s*(?:(?P<place>\d+)|last\(\)\s*(?:-\s*(?P<back>\d+))?|(?P<subject>@?[^\s=!'"\[\]@/()]+)
+ (?:\s*(?P<operator>=|!=)\s*(?P<quote>['"])(?P<value>.*?)(?P=quote))?)\s*\]""", re.VERBOSE | re.DOTALL)
+
+
+def _row_steps(xpath: str) -> list[_Step]:
+    """The steps of a path to row elements, with their predicates."""
+    rest = re.sub(r"^(?:\.?//|\./|/)", "", xpath.strip())
+    steps, at = [], 0
+    while at < len(rest):
+        found = _STEP.match(rest, at)
+        if found is None or found["name"].strip() in ("", ".", ".."):
+            raise ValueError(f"cannot read rows at {xpath!r}: steps are element names with predicates")
+        tests, end = [], 0
+        for test in _TEST.finditer(found["tests"]):
+            if test.start() != end:
+                break
+            end = test.end()
+            if test["subject"]:
+                name = "_VALUE" if test["subject"] == "." else test["subject"]
+                attribute = "@" if name.startswith("@") else ""
+                tests.append(_Test(None, attribute + name.lstrip("@").rsplit(":", 1)[-1], test["operator"] or "", test["value"] or ""))
+            elif test["place"]:
+                tests.append(_Test(int(test["place"]) - 1))
+            else:
+                tests.append(_Test(-1 - int(test["back"] or 0)))
+        if end != len(found["tests"]):
+            raise ValueError(f"unknown predicate in {xpath!r}: {found['tests'][end:]}")
+        steps.append(_Step(found["name"].strip().rsplit(":", 1)[-1], tuple(tests)))
+        at = found.end()
+    if not steps or rest.endswith("/"):
+        raise ValueError(f"no row element in {xpath!r}")
+    if any(t.place is not None for t in steps[0].tests):
+        raise ValueError(f"the outermost element of {xpath!r} has no place: its neighbours are other rows")
+    return steps
+
+
+def _holds(test: _Test, row: Column, shape: T.StructType) -> Column:
+    """Whether an element passes a predicate that looks into it."""
+    if test.subject.startswith("@") or test.subject == "_VALUE":
+        value = row["_" + test.subject[1:]] if test.subject.startswith("@") else row["_VALUE"]
+        return value.isNotNull() if not test.operator else F.coalesce(value == test.value if test.operator == "=" else value != test.value, F.lit(False))
+    children, inner = row[test.subject], shape[test.subject].dataType.elementType
+    if not test.operator:
+        return F.coalesce(F.size(children) > 0, F.lit(False))
+
+    def compared(child: Column) -> Column:
+        text = F.coalesce(child["_VALUE"] if isinstance(inner, T.StructType) else child, F.lit(""))
+        return text == test.value if test.operator == "=" else text != test.value
+
+    return F.coalesce(F.exists(children, compared), F.lit(False))
 
 
 def _nest(paths: Sequence[list[str]]) -> T.StructType:
     """The row type that holds all paths; every element may repeat, so all elements are lists."""
     fields = []
     for head in dict.fromkeys(p[0] for p in paths):
+        if head == "_VALUE":
+            fields.append(T.StructField("_VALUE", T.StringType()))
+            continue
         if head.startswith("@"):
             fields.append(T.StructField("_" + head[1:], T.StringType()))
             continue
@@ -36,7 +111,7 @@ def _nest(paths: Sequence[list[str]]) -> T.StructType:
         inner = T.StringType()
         if below:
             inner = _nest(below)
-            if [head] in paths:  # text and attributes or children of one element
+            if [head] in paths and "_VALUE" not in inner.fieldNames():  # text and attributes or children of one element
                 inner = T.StructType([*inner.fields, T.StructField("_VALUE", T.StringType())])
         fields.append(T.StructField(head, T.ArrayType(inner)))
     return T.StructType(fields)
@@ -46,6 +121,8 @@ def _first(steps: list[str], row: T.StructType) -> Column:
     """The first element on the path, over all its parents."""
     if steps[0].startswith("@"):
         return named("_" + steps[0][1:])
+    if steps[0] == "_VALUE":
+        return named("_VALUE")
     value, inner = named(steps[0]), row[steps[0]].dataType.elementType
     for step in steps[1:]:
         if step.startswith("@"):
@@ -69,16 +146,35 @@ def read_xml(
 ) -> DataFrame:
     """One row per element that ``row_xpath`` names, one string column per ``{column: relative path}``.
 
-    A path is ``@attribute``, ``a/b`` or ``a/b/text()``. Text is stripped and blank text is null. Rows are found by
-    their tag, so a file is read in parallel and no schema inference runs.
+    ``row_xpath`` is a path of element names with predicates ``[n]``, ``[last()]``, ``[@a]``, ``[@a='v']``, ``[b]``, ``[b='v']`` and
+    ``[.='v']`` (and ``!=``). Its first element is found at any depth, so that a file is read in parallel; the others are children
+    of it. Any other path is an error. A field is ``.``, ``@attribute``, ``a/b`` or ``a/b/text()``. Text is stripped, blank text is
+    null, and no schema inference runs.
     """
     paths = require_paths(spark, path, files, "*.xml", recursive)
     wanted = {column: _steps(xpath) for column, xpath in fields.items()}
-    row_tag = _steps(row_xpath)[-1]
-    shape = _nest(list(wanted.values()))
-    rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(shape).load(paths)
-    cells = [_blank_to_null(_first(steps, shape)).alias(column) for column, steps in wanted.items()]
-    return rows.select(*cells, *([file_path().alias(file_column)] if file_column else []))
+    steps = _row_steps(row_xpath)
+    shapes, below = [], list(wanted.values())  # the type of each step's element, from the innermost
+    for depth in range(len(steps) - 1, -1, -1):
+        below = below + [[t.subject] for t in steps[depth].tests if t.subject]
+        shapes.insert(0, _nest(below))
+        below = [[steps[depth].name, *p] for p in below]
+    rows = spark.read.format("xml").option("rowTag", steps[0].name).option("ignoreNamespace", True).schema(shapes[0]).load(paths)
+    row = F.struct(*[named(f) for f in shapes[0].fieldNames()])
+    rows = rows.select(row.alias("__row"), *([file_path().alias("__file")] if file_column else []))
+    rest = ["__file"] if file_column else []
+    for depth, step in enumerate(steps):
+        if depth:
+            inside = F.col("__row")[step.name]
+            rows = rows.select(F.size(inside).alias("__size"), F.posexplode(inside).alias("__at", "__row"), *rest)
+        for test in step.tests:
+            if test.place is None:
+                rows = rows.where(_holds(test, F.col("__row"), shapes[depth]))
+            else:
+                rows = rows.where(F.col("__at") == (test.place if test.place >= 0 else F.col("__size") + test.place))
+    cells = [_blank_to_null(_first(path, shapes[-1])).alias(column) for column, path in wanted.items()]
+    flat = rows.select("__row.*", *rest)
+    return flat.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
 
 
 def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:

@@ -193,3 +193,34 @@ def test_types_come_from_all_rows_and_cells_may_break_lines(spark, tmp_path):
     assert [(r.k, r.t) for r in rows] == [(1, "two\nlines"), (2, "one")]
     with pytest.raises(ValueError):
         delimited.read_csv(spark, str(tmp_path), "broken.csv", multi_line=True, skip_rows=1)
+
+
+PATHS_XML = """<?xml version="1.0"?><root xmlns:x="urn:x"><active><item k="1"><id>a</id><tag>red</tag></item><item k="2"><id>b</id><tag>blue</tag><tag>red</tag></item>
+<other><item k="9"><id>no</id></item></other><item><id>c</id></item></active><archive><item k="1"><id>d</id></item><x:item k="3">text <id> e </id></x:item></archive>
+<active><item k="2"><id>f</id><tag/></item></active><active/></root>"""
+
+
+@pytest.mark.parametrize("path,ids", [
+    ("./active/item", ["a", "b", "c", "f"]), ("archive/item", ["d", "e"]), ("active/item[@k='1']", ["a"]), ('active/item[@k="2"]', ["b", "f"]),
+    ("active/item[@k!='2']", ["a"]), ("active/item[@k]", ["a", "b", "f"]), ("active/item[tag]", ["a", "b", "f"]), ("active/item[tag='red']", ["a", "b"]),
+    ("active/item[1]", ["a", "f"]), ("active/item[last()]", ["c", "f"]), ("active/item[last()-1]", ["b"]), ("active/item[tag='red'][2]", ["b"]),
+    ("archive[item]/item", ["d", "e"]), ("active[other]/item[id='a']", ["a"]), (".//other/item", ["no"]), ("active/other/item[@k='9']", ["no"]),
+    ("archive/x:item[2]", ["e"]), ("active/missing", []), ("other[item]/item", ["no"]),
+])
+def test_xml_row_paths(spark, tmp_path, path, ids):
+    (tmp_path / "a.xml").write_text(PATHS_XML)
+    got = markup.read_xml(spark, str(tmp_path), row_xpath=path, fields={"id": "id", "k": "@k"}, file_column="f").collect()
+    assert sorted(r.id for r in got) == ids and all(r.f.endswith("a.xml") for r in got)
+
+
+def test_xml_own_text_and_paths_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><s><v u='m'>1</v><v>2</v><v> </v></s></r>")
+    got = markup.read_xml(spark, str(tmp_path), row_xpath="s/v", fields={"value": ".", "unit": "@u"}).collect()
+    assert sorted(map(tuple, got), key=repr) == [("1", "m"), ("2", None), (None, None)]
+    got = markup.read_xml(spark, str(tmp_path), row_xpath="s/v[.='2']", fields={"value": "text()"}).collect()
+    assert [r.value for r in got] == ["2"]
+    for bad in ("", "./", "s/*", "s/..", "s//v", "v[1]", "s/v[position()<2]", "s/v[@u='m'", "s/v[@u=m]"):
+        with pytest.raises(ValueError):
+            markup.read_xml(spark, str(tmp_path), row_xpath=bad, fields={"value": "."})
+    with pytest.raises(ValueError):
+        markup.read_xml(spark, str(tmp_path), row_xpath="s", fields={"value": "v[1]"})
