@@ -19,6 +19,7 @@ from tablemill.llm.pieces import codec, default_model, encode_pieces
 from tablemill.llm.pii import KINDS, kind_count, sanitise, span_list
 from tablemill.llm.tokens import count_tokens
 from tablemill.llm.toxicity import held_out, labelled_rows, score_toxicity, train
+from tablemill.llm.trie import prefix_trie, rebuilt, turn_digests
 from tablemill.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(turn_digests(table(spark, sf_dir, "conversations"))))
+
+
 @register
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
