@@ -43,23 +43,29 @@ def upstream(edge_rows: DataFrame, starts: DataFrame, max_depth: int | None = No
     """All ancestors of the nodes in ``starts`` (one column ``node``), as (node, ancestor, depth) with the smallest depth. Cycles end
     by themselves.
 
-    Each round extends only the pairs found in the round before, and is written so that neither the plan nor a lost
-    executor's work grows with the depth.
+    Paths double in length with each round: what the starts reach is joined with the pairs that are as many steps apart, and these are
+    joined with themselves, so that the rounds grow with the logarithm of the depth. Both are written in each round, so that neither the
+    plan nor a lost executor's work grows.
     """
-    steps = staged(edge_rows.select("source", "target").distinct())
-    first = steps.join(starts.select(F.col("node").alias("target")).distinct(), "target", "left_semi")
-    fresh = first.select(F.col("target").alias("node"), F.col("source").alias("ancestor"))
-    found = fresh.withColumn("depth", F.lit(1))
-    depth = 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reach = (
-            fresh.join(steps, F.col("ancestor") == F.col("target"))
-            .select("node", F.col("source").alias("ancestor")).distinct()
-            .join(found, ["node", "ancestor"], "left_anti")
-        )
-        fresh = staged(reach)
-        if fresh.isEmpty():
+    step = edge_rows.select(F.col("target").alias("node"), F.col("source").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
+    jumps = staged(step)
+    found = staged(jumps.join(starts.select("node").distinct(), "node", "left_semi"))
+    reached, length = found.count(), 1
+    while reached and (max_depth is None or length < max_depth):
+        found = staged(_doubled(found, jumps, max_depth))
+        before, reached = reached, found.count()
+        if reached == before:  # no path is longer
             break
-        found = found.unionByName(fresh.withColumn("depth", F.lit(depth)))
+        length *= 2
+        if max_depth is None or length < max_depth:
+            jumps = staged(_doubled(jumps, jumps, max_depth))
     return found
+
+
+def _doubled(paths: DataFrame, jumps: DataFrame, max_depth: int | None) -> DataFrame:
+    """The paths and those that a jump makes longer; of each pair the shortest."""
+    onward = jumps.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+    longer = paths.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+    if max_depth is not None:
+        longer = longer.where(F.col("depth") <= max_depth)
+    return paths.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.casting import parse_date
 from tablemill.functions.text import snake_case
 from tablemill.operators import sqlsteps
+from tablemill.operators.membership import not_in
 from tablemill.plans import fixtures
 from tablemill.plans.registry import query, table
 
@@ -178,7 +179,7 @@ def semi_anti(spark, folder):
     suppliers = table(spark, folder, "supplier")
     owner = F.col("o_custkey") == F.col("c_custkey")
     idle = customers.join(orders, owner, "left_anti")
-    calm = customers.join(orders.where("o_orderpriority = '1-URGENT'"), owner, "left_anti")
+    calm = not_in(customers, orders.where("o_orderpriority = '1-URGENT'"), ["c_custkey"], ["o_custkey"])
     pair = (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))
     both = customers.join(suppliers, pair, "left_semi")
     tagged = [df.select(F.lit(kind).alias("kind"), "c_custkey") for kind, df in
@@ -186,6 +187,35 @@ def semi_anti(spark, folder):
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+_NULL_KEYS = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS k,
+ CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS n FROM customer),
+ s AS (SELECT CASE WHEN s_acctbal > -900 THEN s_suppkey END AS k, CASE WHEN s_suppkey % 4 <> 1 THEN s_nationkey END AS n FROM supplier
+ WHERE s_acctbal > -900 OR s_suppkey % 4 <> 1)"""
+
+
+@query("not_in_nulls", f"""{_NULL_KEYS} SELECT 'keys' AS kind, c_custkey FROM c WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+ UNION ALL SELECT 'null in list', c_custkey FROM c WHERE k NOT IN (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END FROM orders)
+ UNION ALL SELECT 'empty list', c_custkey FROM c WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)
+ UNION ALL SELECT 'pairs', c_custkey FROM c WHERE NOT EXISTS (SELECT 1 FROM s
+ WHERE (s.k = c.k OR s.k IS NULL OR c.k IS NULL) AND (s.n = c.n OR s.n IS NULL OR c.n IS NULL))""")
+def not_in_nulls(spark, folder):
+    """Nulls on both sides, a list without rows, and pairs, in which nulls leave some pairs undecided."""
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("n"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_custkey").alias("k"))
+    paid, named = F.col("s_acctbal") > -900, F.col("s_suppkey") % 4 != 1
+    suppliers = table(spark, folder, "supplier").where(paid | named).select(
+        F.when(paid, F.col("s_suppkey")).alias("k"), F.when(named, F.col("s_nationkey")).alias("n"))
+    found = {
+        "keys": not_in(customers, orders.where("o_orderpriority = '1-URGENT'"), ["k"]),
+        "null in list": not_in(customers, orders.withColumn("k", F.when(F.col("o_orderkey") % 3 != 0, F.col("k"))), ["k"]),
+        "empty list": not_in(customers, orders.where("o_totalprice < 0"), ["k"]),
+        "pairs": not_in(customers, suppliers, ["k", "n"]),
+    }
+    tagged = [df.select(F.lit(kind).alias("kind"), "c_custkey") for kind, df in found.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
+
+
 @query("set_ops", """SELECT 'union' AS kind, k FROM (SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer) u
  UNION ALL SELECT 'both', k FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') i
  UNION ALL SELECT 'minus', k FROM (SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders) e""")

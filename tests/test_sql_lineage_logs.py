@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from conftest import bag
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import snake_case, table_identifier
-from tablemill.operators import lineage, mining, profile, sqlsteps
+from tablemill.operators import lineage, membership, mining, profile, sqlsteps
 
 
 def test_statements_split_outside_quotes():
@@ -149,3 +151,46 @@ def test_transform_outputs_are_written(spark, frame, database):
 def test_a_column_named_like_a_limit_does_not_lift_the_cap(spark):
     assert sqlsteps.capped(spark, "SELECT id AS credit_limit FROM range(20)", 5).count() == 5
     assert sqlsteps.capped(spark, "SELECT id FROM range(20) LIMIT 7", 5).count() == 7
+
+
+def test_a_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    """A chain of 1,000 with a way back and a short cut: each doubling is one round."""
+    edges = spark.range(1000).selectExpr("cast(id as string) as source", "cast(id + 1 as string) as target").unionByName(
+        spark.createDataFrame([("1000", "900"), ("10", "500")], "source string, target string"))
+    rounds = []
+    doubled = lineage._doubled
+    monkeypatch.setattr(lineage, "_doubled", lambda paths, jumps, most: rounds.append(paths is jumps) or doubled(paths, jumps, most))
+    got = {r.ancestor: r.depth for r in lineage.upstream(edges, spark.createDataFrame([("600",)], "node string")).collect()}
+    assert rounds.count(False) <= 11
+    assert got["599"] == 1 and got["500"] == 100 and got["10"] == 101 and got["0"] == 111 and got["499"] == 101 and got["11"] == 589
+    assert set(got) == {str(i) for i in range(600)}
+    near = lineage.upstream(edges, spark.createDataFrame([("950",), ("x",)], "node string"), max_depth=60).collect()
+    assert max(r.depth for r in near) == 60 and {r.ancestor for r in near} == {str(i) for i in [*range(890, 950), *range(991, 1001)]}
+
+
+def sql_not_in(rows, listed):
+    def might(a, b):
+        return all(x is None or y is None or x == y for x, y in zip(a, b))
+
+    return sorted((r for r in rows if not any(might(r[:-1], b) for b in listed)), key=repr)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_not_in_with_nulls(spark, width):
+    rng = random.Random(width)
+    schema = ", ".join(f"c{i} int" for i in range(width))
+
+    def some(n, odds):
+        return [tuple(None if rng.random() < odds else rng.randrange(4) for _ in range(width)) for _ in range(n)]
+
+    rows = [(*r, i) for i, r in enumerate(some(60, 0.2))] + [(*[None] * width, 99)] * 2
+    for listed in ([], some(6, 0.0), some(5, 0.25), some(3, 0.5), [tuple([None] * width)], some(40, 0.1)):
+        df, others = spark.createDataFrame(rows, schema + ", id int"), spark.createDataFrame(listed, schema.replace("c", "o"))
+        got = membership.not_in(df, others, [f"c{i}" for i in range(width)], [f"o{i}" for i in range(width)])
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect()), key=repr) == sql_not_in(rows, listed)
+
+
+def test_not_in_needs_columns(frame):
+    with pytest.raises(ValueError):
+        membership.not_in(frame([(1,)], "a int"), frame([(1,)], "a int"), [])
