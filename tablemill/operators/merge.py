@@ -28,7 +28,8 @@ def dedupe_last(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     return batch.withColumn("__no", F.row_number().over(place)).where(F.col("__no") == 1).drop("__no")
 
 
-def _semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def keyed_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys; a null key is a key like any other."""
     # Distinct keys collapse map-side, and the join uses the same partitioning: many copies of a key cost nothing.
     probe = right.select(*[named(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
     on = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(probe[f"__k{i}"]) for i, k in enumerate(keys)])
@@ -87,7 +88,7 @@ def merge_parts(
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "ignore":
-        return target.withColumn(HIT, F.lit(False)), aligned(_semi(batch, target, keys, "left_anti"), target)
+        return target.withColumn(HIT, F.lit(False)), aligned(keyed_semi(batch, target, keys, "left_anti"), target)
     update = [c for c in target.columns if c in batch.columns and c not in keys] if strategy == "update" else []
     news = batch.select(
         *[named(k).alias(f"__k{i}") for i, k in enumerate(keys)],
@@ -106,7 +107,7 @@ def merge_parts(
     )
     if strategy == "delete_insert":
         return held, aligned(batch, target)
-    return held, aligned(_semi(batch, target, keys, "left_anti"), target)
+    return held, aligned(keyed_semi(batch, target, keys, "left_anti"), target)
 
 
 def after_merge(held: DataFrame, strategy: str) -> DataFrame:
@@ -126,7 +127,7 @@ def unseen_rows(target: DataFrame, batch: DataFrame, output: str = HASH_COLUMN)
     """
     hashed = with_row_hash(batch, output=output)
     known = target if output in target.columns else with_row_hash(target, batch.columns, output)
-    return _semi(hashed, known, [output], "left_anti")
+    return keyed_semi(hashed, known, [output], "left_anti")
 
 
 def incremental(target: DataFrame, batch: DataFrame, output: str = HASH_COLUMN) -> DataFrame:

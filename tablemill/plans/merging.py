@@ -131,6 +131,20 @@ def sink_merge_partitioned(spark, folder):
     return spark.table(name)
 
 
+@query("sink_merge_touched", """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 1 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders
+ UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 1""")
+def sink_merge_touched(spark, folder):
+    """One customer's orders, changed and added; the table lies in files by customer, all but one of which stay."""
+    name = f"{_catalog(spark)}.orders"
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    write_idempotent(orders.repartitionByRange(8, "o_custkey"), name, "append")
+    mine = orders.where("o_custkey = 1")
+    added = mine.withColumn("o_orderkey", -F.col("o_orderkey"))
+    changed = mine.withColumn("o_totalprice", F.lit(0.0))
+    write_idempotent(changed.unionByName(added), name, "merge", keys=["o_orderkey"], order_by=["o_totalprice"])
+    return spark.table(name)
+
+
 @query("sink_incremental", f"""SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_TARGET}) t UNION ALL SELECT * FROM
  (SELECT *, {_NAMED_HASH} AS _row_hash FROM ({_INC_BATCH}) b) h WHERE _row_hash NOT IN (SELECT {_NAMED_HASH} FROM ({_INC_TARGET}) t)""")
 def sink_incremental(spark, folder):

@@ -1,8 +1,9 @@
 """Idempotent writes to catalog tables.
 
-Plain Parquet tables know no MERGE and cannot be overwritten while they are read. A merge therefore writes its result to a new
-folder and points the table there, or, for a partitioned table, replaces only the partitions it touches. Readers see the old
-contents or the new ones, and the table keeps its properties and comments.
+Plain Parquet tables know no MERGE. A merge finds the files that hold a key of the batch, writes their rows anew beside them and then
+puts the new files in their place; all other files stay as they are. A merge whose keys include the partition columns replaces the
+partitions of the batch. Other replacements write a new folder and point the table there; the old files stay for one more replacement,
+so that readers that have listed them can finish. Tables keep their properties and comments.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tablemill.operators.merge import (
     aligned,
     dedupe_last,
     duplicate_batch_keys,
+    keyed_semi,
     merge_parts,
     unseen_rows,
     with_row_hash,
@@ -31,6 +33,8 @@ from tablemill.session import staged, unstage
 from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
+WORK = "_merge-"  # begins the names of folders of merges under way; readers pass over names with an underscore
+SUPERSEDED = "tablemill.superseded"  # table property: the folder before the last replacement
 
 
 def _stats(mode: str, inserted: int, updated: int = 0, deleted: int = 0) -> dict[str, object]:
@@ -51,9 +55,33 @@ def _location(spark: SparkSession, table: str) -> str:
     return rows[0]["data_type"]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def _property(spark: SparkSession, table: str, name: str) -> str | None:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}.get(name)
+
+
+def _path(spark: SparkSession, place: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _plain(spark: SparkSession, uri: str) -> str:
+    """The path of a file that Spark names as a URI, in which some signs are escaped."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+
+
+def _remove_files(spark: SparkSession, files: Sequence[str]) -> None:
+    """Delete the files named, and nothing else."""
+    for name in files:
+        path, system = _path(spark, name)
+        system.delete(path, False)
+
+
+def _data_files(spark: SparkSession, folder: str) -> list[str]:
+    path, system = _path(spark, folder)
+    if not system.exists(path):
+        return []
+    return [_plain(spark, f) for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).inputFiles()]
 
 
 def _same_columns(df: DataFrame, table: str) -> bool:
@@ -65,7 +93,7 @@ def _same_columns(df: DataFrame, table: str) -> bool:
 def replace_contents(df: DataFrame, table: str) -> None:
     """Replace the contents of a table with a frame that may read that table and may have further columns.
 
-    A plain table is pointed at a new folder beside the old one, which then goes. Catalogs keep the folder of every partition, so a
+    A plain table is pointed at a new folder beside the old one, whose data files go with the next replacement. Catalogs keep the folder of every partition, so a
     partitioned table is overwritten from a written copy of the frame; if that is cut off, the copy in the scratch folder is
     complete. A frame with other columns or types than the table's makes a new table of that name.
     """
@@ -86,9 +114,12 @@ def replace_contents(df: DataFrame, table: str) -> None:
         df.write.parquet(new)
         known = set(spark.table(table).columns)
         _add_columns(spark, table, [f for f in df.schema.fields if f.name not in known])
+        superseded = _property(spark, table, SUPERSEDED)
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{SUPERSEDED}' = '{old}')")
         spark.catalog.refreshTable(table)
-        _remove(spark, old)
+        if superseded and superseded not in (old, new):
+            _remove_files(spark, _data_files(spark, superseded))
     else:
         copy = staged(df) if exists else df
         spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -132,7 +163,8 @@ def write_idempotent(
 
     With keys and ``order_by`` the batch is first reduced to the last row of each key. ``merge`` needs keys;
     ``incremental`` appends the rows whose hash the table does not hold. ``partition_by`` partitions a table that
-    is created; a merge whose keys include those columns rewrites only the partitions of the batch.
+    is created; a merge whose keys include those columns rewrites only the partitions of the batch, any other only the
+    files that hold a key of the batch.
 
     Rows are counted by observers in the stage that writes them, which counts every task once even if executors
     are lost, so the statistics cost no pass of their own.
@@ -187,19 +219,77 @@ def _counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, Obse
 
 def _merge(df: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str) -> dict[str, object]:
     parts = _partition_columns(df.sparkSession, table)
-    by_partition = bool(parts) and set(parts) <= set(keys)
-    held, added = merge_parts(_touched(target, df, parts) if by_partition else target, df, keys, strategy)
+    if not parts or not set(parts) <= set(keys):
+        return _merge_files(df, target, table, keys, strategy, parts)
+    held, added = merge_parts(_touched(target, df, parts), df, keys, strategy)
     held, hits = _counted(held, F.col(HIT))
     added, new = _counted(added)
-    result = after_merge(held, strategy).unionByName(added)
-    if by_partition:
-        copy = staged(result)  # read before it is overwritten
-        _overwrite(copy, table, "dynamic")
-        unstage(copy)
-    else:
-        replace_contents(result, table)
-    matched = hits.get["n"]
-    return _stats("merge", new.get["n"], matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
+    copy = staged(after_merge(held, strategy).unionByName(added))  # read before it is overwritten
+    _overwrite(copy, table, "dynamic")
+    unstage(copy)
+    return _merge_stats(strategy, hits.get["n"], new.get["n"])
+
+
+def _merge_stats(strategy: str, matched: int, new: int) -> dict[str, object]:
+    return _stats("merge", new, matched if strategy == "update" else 0, matched if strategy == "delete_insert" else 0)
+
+
+def touched_files(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The files of the target that hold a key of the batch. Only key columns are read; as many names reach the driver as files are rewritten."""
+    held = target.select(*[named(k) for k in keys], F.col("_metadata.file_path").alias("__file"))
+    return [_plain(target.sparkSession, r["__file"]) for r in keyed_semi(held, batch, keys, "left_semi").select("__file").distinct().collect()]
+
+
+def _merge_files(batch: DataFrame, target: DataFrame, table: str, keys: Sequence[str], strategy: str, parts: Sequence[str]) -> dict[str, object]:
+    """Merge by rewriting the files that hold a key of the batch; new keys come as further files.
+
+    The new files are written into a folder that readers do not see, together with the list of the files they replace, then moved
+    in, and then the old ones go. What is cut off in between is finished before the next merge of the table reads it.
+    """
+    spark = batch.sparkSession
+    folder = _location(spark, table)
+    if _finish_merges(spark, folder):
+        spark.catalog.refreshTable(table)
+        target = spark.table(table)
+    files = touched_files(target, batch, keys) if strategy != "ignore" else []
+    held = spark.read.schema(target.schema).option("basePath", folder).parquet(*files) if files else target.where("false")
+    held = merge_parts(held, batch, keys, strategy)[0]
+    added = merge_parts(target, batch, keys, strategy)[1]
+    held, hits = _counted(held, F.col(HIT))
+    added, new = _counted(added)
+    work = f"{folder.rstrip('/')}/{WORK}{uuid.uuid4().hex[:12]}"
+    result = spread(after_merge(held, strategy).unionByName(added), parts)
+    (result.write.partitionBy(*parts) if parts else result.write).parquet(f"{work}/new")
+    spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.text(f"{work}/old")
+    _finish_merges(spark, folder)
+    if parts:
+        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+    spark.catalog.refreshTable(table)
+    return _merge_stats(strategy, hits.get["n"], new.get["n"])
+
+
+def _finish_merges(spark: SparkSession, folder: str) -> bool:
+    """Move in the files of merges that are completely written and delete those they replace; drop what is incomplete."""
+    place, system = _path(spark, folder)
+    waiting = [s.getPath() for s in system.listStatus(place) if s.getPath().getName().startswith(WORK)] if system.exists(place) else []
+    for work in waiting:
+        if system.exists(_path(spark, f"{work.toString()}/old/_SUCCESS")[0]):  # written last
+            moved = system.listFiles(_path(spark, f"{work.toString()}/new")[0], True)
+            while moved.hasNext():
+                source = moved.next().getPath()
+                if source.getName().endswith(".parquet"):
+                    inside = source.toString().split("/new/", 1)[1]
+                    goal = _path(spark, f"{folder.rstrip('/')}/{inside}")[0]
+                    system.mkdirs(goal.getParent())
+                    system.rename(source, goal)
+            old = [r["value"] for r in spark.read.text(f"{work.toString()}/old").collect()]
+            _remove_files(spark, old)
+            for parent in {_path(spark, f)[0].getParent().toString() for f in old}:  # partitions without a file left
+                left = _path(spark, parent)[0]
+                if not left.equals(system.makeQualified(place)) and system.exists(left) and not len(system.listStatus(left)):
+                    system.delete(left, False)
+        system.delete(work, True)
+    return bool(waiting)
 
 
 def _touched(target: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:

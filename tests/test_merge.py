@@ -206,3 +206,69 @@ def test_row_hashes_tell_cells_apart(frame):
     rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("-", "x"), ("1:a", ""), ("1", ":a"), (None, None)]
     df = frame(rows, "p string, q string")
     assert df.select(row_hash(["p", "q"]).alias("h")).distinct().count() == len(rows)
+
+
+def files_of(spark, name):
+    import os
+
+    return {f: os.path.getmtime(f.replace("file://", "")) for f in spark.table(name).inputFiles()}
+
+
+def test_a_merge_leaves_files_without_its_keys_alone(frame, database, spark):
+    name = f"{database}.t"
+    rows = spark.range(1000).selectExpr("cast(id as int) as a", "concat('v', id) as b")
+    write_idempotent(rows.repartitionByRange(10, "a"), name)
+    before = files_of(spark, name)
+    assert len(before) == 10
+    for _ in range(2):  # a replay changes nothing
+        stats = write_idempotent(frame([(7, "new"), (2000, "more")], "a int, b string"), name, "merge", keys=["a"])
+        assert len(before.items() - files_of(spark, name).items()) == 1
+        expected = {i: f"v{i}" for i in range(1000)} | {7: "new", 2000: "more"}
+        assert {r.a: r.b for r in spark.table(name).collect()} == expected and spark.table(name).count() == 1001
+    assert stats == {"mode": "merge", "rows_inserted": 0, "rows_updated": 2, "rows_deleted": 0}
+    held = files_of(spark, name)
+    write_idempotent(frame([(8, "x"), (3000, "y")], "a int, b string"), name, "merge", keys=["a"], strategy="ignore")
+    assert held.items() <= files_of(spark, name).items() and spark.table(name).where("b = 'v8'").count() == 1
+    stats = write_idempotent(frame([(8, "x"), (8000, "y")], "a int, b string"), name, "merge", keys=["a"], strategy="delete_insert")
+    assert (stats["rows_inserted"], stats["rows_deleted"]) == (2, 1) and spark.table(name).count() == 1003
+
+
+def test_a_merge_that_was_cut_off_is_finished(frame, database, spark, monkeypatch):
+    from tablemill.sinks import tables
+
+    name = f"{database}.t"
+    write_idempotent(frame([(1, "x"), (2, "y")], "a int, b string").repartitionByRange(2, "a"), name)
+    finish = tables._finish_merges
+    calls = []
+
+    def stop(session, folder):
+        calls.append(folder)
+        if len(calls) == 2:
+            raise RuntimeError("cut off")
+        return finish(session, folder)
+
+    monkeypatch.setattr(tables, "_finish_merges", stop)
+    with pytest.raises(RuntimeError):
+        write_idempotent(frame([(1, "X")], "a int, b string"), name, "merge", keys=["a"])
+    assert bag(spark.table(name)) == [(1, "x"), (2, "y")]
+    write_idempotent(frame([(3, "z")], "a int, b string"), name, "merge", keys=["a"])
+    assert bag(spark.table(name)) == [(1, "X"), (2, "y"), (3, "z")]
+
+
+def test_files_of_a_replaced_table_outlive_one_replacement(frame, database, spark, tmp_path):
+    name, folder = f"{database}.t", tmp_path / "outside"
+    frame([(1,)], "a int").write.option("path", str(folder)).saveAsTable(name)
+    (folder / "_notes.md").write_text("mine")
+    first = spark.table(name)
+    first.inputFiles()
+    write_table(frame([(2,)], "a int"), name, "replace")
+    assert bag(spark.read.parquet(str(folder))) == [(1,)] and bag(spark.table(name)) == [(2,)]
+    write_table(frame([(3,)], "a int"), name, "replace")
+    assert not list(folder.glob("*.parquet")) and (folder / "_notes.md").read_text() == "mine" and bag(spark.table(name)) == [(3,)]
+
+
+def test_partition_values_with_odd_signs(frame, database, spark):
+    name = f"{database}.t"
+    write_idempotent(frame([(1, "x", "a b"), (2, "y", "c%d/e"), (3, "z", "k")], "a int, b string, p string"), name, partition_by=["p"])
+    write_idempotent(frame([(1, "X", "c%d/e"), (2, "Y", "c%d/e"), (4, "n", "ü ü")], "a int, b string, p string"), name, "merge", keys=["a"])
+    assert bag(spark.table(name)) == [(1, "X", "c%d/e"), (2, "Y", "c%d/e"), (3, "z", "k"), (4, "n", "ü ü")]
