@@ -11,14 +11,14 @@ from tablemill.operators.membership import not_in
 from tablemill.plans import fixtures
 from tablemill.plans.registry import query, table
 
-# How large an order is, from its value with tax.
+# How large an order is, by its net price.
 SIZES = ((400_000, "bulk"), (200_000, "large"), (80_000, "usual"))
-SIZES_SQL = f"""SELECT timestamp, id, CASE {' '.join(f"WHEN adjusted_value >= {low} THEN '{name}'" for low, name in SIZES)} ELSE 'small' END
- AS order_size, category, adjusted_value FROM {{source}} WHERE category IS NOT NULL"""
+SIZES_SQL = f"""SELECT placed, order_id, CASE {' '.join(f"WHEN net_price >= {low} THEN '{name}'" for low, name in SIZES)} ELSE 'small' END
+ AS order_size, urgency, net_price FROM {{source}} WHERE urgency IS NOT NULL"""
 
 
 def _with_clean(sql: str) -> str:
-    return f"WITH clean_rows AS ({fixtures.CLEAN}) {sql}"
+    return f"WITH settled_orders AS ({fixtures.SETTLED}) {sql}"
 
 
 @query("stage_tables", """SELECT c_mktsegment AS segment, COUNT(*) AS customers, COUNT(DISTINCT n_regionkey) AS regions
@@ -32,83 +32,82 @@ def stage_tables(spark, folder):
 
 
 _SCRIPT = f"""
--- a comment; with a semicolon
-CREATE OR REPLACE TABLE tm_clean AS
-SELECT id, UPPER(category) AS category, value * 1.1 AS adjusted_value, timestamp FROM tm_sample WHERE value > 0;
-/* the summary */
-CREATE OR REPLACE TABLE tm_summary AS
-SELECT category, COUNT(*) AS record_count, ROUND(AVG(adjusted_value), 4) AS avg_value,
- ROUND(SUM(adjusted_value), 4) AS total_value FROM tm_clean GROUP BY category;
+-- what orders bring in; open ones are booked at a tenth less
+CREATE OR REPLACE TABLE tm_settled AS {fixtures.SETTLED.replace("FROM orders", "FROM tm_orders")};
+/* by urgency; the dearest first */
+CREATE OR REPLACE TABLE tm_turnover AS
+SELECT urgency, ROUND(SUM(net_price), 4) AS turnover, COUNT(*) AS orders_n, ROUND(AVG(net_price), 4) AS mean_price
+ FROM tm_settled GROUP BY urgency;
 """
 
 
 def _script(spark, folder):
-    fixtures.sample(spark, folder).createOrReplaceTempView("tm_sample")
+    table(spark, folder, "orders").createOrReplaceTempView("tm_orders")
     return sqlsteps.run_script(spark, _SCRIPT)
 
 
-@query("sql_clean_data", fixtures.CLEAN)
+@query("sql_clean_data", fixtures.SETTLED)
 def sql_clean_data(spark, folder):
-    return _script(spark, folder)["tm_clean"]
+    return _script(spark, folder)["tm_settled"]
 
 
-@query("sql_category_summary", f"""SELECT category, record_count, ROUND(avg_value, 4) AS avg_value,
- ROUND(total_value, 4) AS total_value FROM ({fixtures.SUMMARY}) s""")
+@query("sql_category_summary", f"""SELECT urgency, orders_n, ROUND(mean_price, 4) AS mean_price,
+ ROUND(turnover, 4) AS turnover FROM ({fixtures.TURNOVER}) s""")
 def sql_category_summary(spark, folder):
-    return _script(spark, folder)["tm_summary"]
+    return _script(spark, folder)["tm_turnover"]
 
 
-_DETAILED = """SELECT cs.category, cs.record_count, ROUND(cs.avg_value, 4) AS avg_value,
- ROUND(cs.total_value, 4) AS total_value, COUNT(DISTINCT cd.id) AS distinct_ids,
- ROUND(STDDEV(cd.adjusted_value), 4) AS stddev_value, MIN(cd.adjusted_value) AS min_value,
- MAX(cd.adjusted_value) AS max_value FROM {summary} cs LEFT JOIN {rows} cd ON cs.category = cd.category
- GROUP BY cs.category, cs.record_count, cs.avg_value, cs.total_value"""
+# Per urgency, the orders above its mean price: on how many days, how many, how far apart, from where to where.
+_ABOVE_MEAN = """SELECT t.urgency, t.orders_n, COUNT(DISTINCT o.placed) AS days_above, COUNT(o.order_id) AS orders_above,
+ ROUND(STDDEV(o.net_price), 4) AS spread_above, MIN(o.net_price) AS least_above, MAX(o.net_price) AS most_above
+ FROM {summary} t LEFT JOIN {rows} o ON t.urgency = o.urgency AND o.net_price > t.mean_price GROUP BY t.urgency, t.orders_n"""
 
 
-@query("sql_steps", _with_clean(f"""SELECT order_size, MAX(adjusted_value) AS largest, COUNT(*) AS orders
- FROM ({SIZES_SQL.format(source='clean_rows')}) t GROUP BY order_size"""))
+@query("sql_steps", _with_clean(f"""SELECT order_size, MAX(net_price) AS largest, COUNT(*) AS orders
+ FROM ({SIZES_SQL.format(source='settled_orders')}) t GROUP BY order_size"""))
 def sql_steps(spark, folder):
-    fixtures.clean(spark, folder).createOrReplaceTempView("clean_rows")
+    fixtures.clean(spark, folder).createOrReplaceTempView("settled_orders")
     made = sqlsteps.run_steps(spark, [
-        {"name": "sizes", "sql": f"CREATE OR REPLACE TABLE tm_sizes AS {SIZES_SQL.format(source='clean_rows')}",
-         "tables_created": ["tm_sizes"], "depends_on": ["clean_rows"], "tags": ["sizes"]},
-        {"name": "report", "sql": """CREATE TABLE tm_report AS SELECT order_size, MAX(adjusted_value) AS largest,
+        {"name": "sizes", "sql": f"CREATE OR REPLACE TABLE tm_sizes AS {SIZES_SQL.format(source='settled_orders')}",
+         "tables_created": ["tm_sizes"], "depends_on": ["settled_orders"], "tags": ["sizes"]},
+        {"name": "report", "sql": """CREATE TABLE tm_report AS SELECT order_size, MAX(net_price) AS largest,
             COUNT(*) AS orders FROM tm_sizes GROUP BY order_size""", "tables_created": ["tm_report"], "depends_on": ["tm_sizes"]},
     ])
     return made["tm_report"]
 
 
-@query("value_tiers", _with_clean(SIZES_SQL.format(source="clean_rows")))
+@query("value_tiers", _with_clean(SIZES_SQL.format(source="settled_orders")))
 def value_tiers(spark, folder):
     size = F.lit("small")
     for low, name in reversed(SIZES):
-        size = F.when(F.col("adjusted_value") >= low, name).otherwise(size)
-    return fixtures.clean(spark, folder).where("category is not null").withColumn("order_size", size)
+        size = F.when(F.col("net_price") >= low, name).otherwise(size)
+    return fixtures.clean(spark, folder).where("urgency is not null").withColumn("order_size", size)
 
 
-@query("category_metrics", f"""SELECT category, COUNT(*) AS total_records, ROUND(AVG(adjusted_value), 4) AS avg_adjusted_value,
- MIN(adjusted_value) AS min_value, MAX(adjusted_value) AS max_value, ROUND(SUM(adjusted_value), 4) AS total_value
- FROM ({fixtures.CLEAN}) c GROUP BY category ORDER BY total_value DESC""")
+@query("category_metrics", f"""SELECT urgency, COUNT(*) AS total_records, ROUND(AVG(net_price), 4) AS avg_adjusted_value,
+ MIN(net_price) AS min_value, MAX(net_price) AS max_value, ROUND(SUM(net_price), 4) AS turnover
+ FROM ({fixtures.SETTLED}) c GROUP BY urgency ORDER BY turnover DESC""")
 def category_metrics(spark, folder):
-    value = F.col("adjusted_value")
-    return fixtures.clean(spark, folder).groupBy("category").agg(
+    value = F.col("net_price")
+    return fixtures.clean(spark, folder).groupBy("urgency").agg(
         F.count(F.lit(1)).alias("total_records"), F.round(F.avg(value), 4).alias("avg_adjusted_value"),
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.round(F.sum(value), 4).alias("total_value"),
-    ).orderBy(F.desc("total_value"))
+        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.round(F.sum(value), 4).alias("turnover"),
+    ).orderBy(F.desc("turnover"))
 
 
-@query("category_metrics_detailed", _DETAILED.format(summary=f"({fixtures.SUMMARY})", rows=f"({fixtures.CLEAN})"))
+@query("category_metrics_detailed", _ABOVE_MEAN.format(summary=f"({fixtures.TURNOVER})", rows=f"({fixtures.SETTLED})"))
 def category_metrics_detailed(spark, folder):
-    """Every row is aggregated once before the join, so a category with a third of all rows is joined as one row."""
+    """The few rows of the summary meet every order; what is above the mean is aggregated map-side."""
     rows = fixtures.clean(spark, folder)
-    value = F.col("adjusted_value")
-    summary = fixtures.category_summary(rows)
-    detail = rows.groupBy("category").agg(
-        F.count_distinct("id").alias("distinct_ids"), F.round(F.stddev_samp(value), 4).alias("stddev_value"),
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"))
-    return summary.join(detail, "category", "left").select(
-        "category", "record_count", F.round("avg_value", 4).alias("avg_value"), F.round("total_value", 4).alias("total_value"),
-        F.coalesce("distinct_ids", F.lit(0)).alias("distinct_ids"), "stddev_value", "min_value", "max_value")
+    summary = fixtures.turnover(rows).select("urgency", "orders_n", "mean_price")
+    price = F.col("net_price")
+    above = rows.join(summary, "urgency").where(price > F.col("mean_price")).groupBy("urgency").agg(
+        F.count_distinct("placed").alias("days_above"), F.count("order_id").alias("orders_above"),
+        F.round(F.stddev_samp(price), 4).alias("spread_above"), F.min(price).alias("least_above"), F.max(price).alias("most_above"))
+    none = F.lit(0).cast("long")
+    return summary.join(above, "urgency", "left").select(
+        "urgency", "orders_n", F.coalesce("days_above", none).alias("days_above"), F.coalesce("orders_above", none).alias("orders_above"),
+        "spread_above", "least_above", "most_above")
 
 
 @query("having_model", f"""SELECT c_mktsegment AS column_a, c_nationkey AS column_b, COUNT(*) AS record_count,

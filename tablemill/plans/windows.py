@@ -11,36 +11,36 @@ from tablemill.operators.headers import normalize_headers
 from tablemill.plans import fixtures
 from tablemill.plans.registry import query, table
 
-_RANK = """RANK() OVER (PARTITION BY category ORDER BY adjusted_value)
- + (COUNT(*) OVER (PARTITION BY category, adjusted_value) - 1) / 2.0"""
-_P75 = """SELECT category, MAX(CASE WHEN rn = CAST(ROUND(0.75 * (n - 1)) AS BIGINT) + 1 THEN adjusted_value END) AS p75_value
- FROM (SELECT category, adjusted_value, ROW_NUMBER() OVER (PARTITION BY category ORDER BY adjusted_value) AS rn,
- COUNT(*) OVER (PARTITION BY category) AS n FROM clean_data) q GROUP BY category"""
-_TIER = "CASE WHEN adjusted_value > p75_value THEN 'high' WHEN adjusted_value > p75_value * 0.5 THEN 'medium' ELSE 'low' END"
+_RANK = """RANK() OVER (PARTITION BY urgency ORDER BY net_price)
+ + (COUNT(*) OVER (PARTITION BY urgency, net_price) - 1) / 2.0"""
+_P75 = """SELECT urgency, MAX(CASE WHEN rn = CAST(ROUND(0.75 * (n - 1)) AS BIGINT) + 1 THEN net_price END) AS p75_value
+ FROM (SELECT urgency, net_price, ROW_NUMBER() OVER (PARTITION BY urgency ORDER BY net_price) AS rn,
+ COUNT(*) OVER (PARTITION BY urgency) AS n FROM settled) q GROUP BY urgency"""
+_TIER = "CASE WHEN net_price > p75_value THEN 'high' WHEN net_price > p75_value * 0.5 THEN 'medium' ELSE 'low' END"
 
 
 def _clean(sql: str) -> str:
-    return f"WITH clean_data AS ({fixtures.CLEAN}), summary AS ({fixtures.SUMMARY}), p AS ({_P75}) {sql}"
+    return f"WITH settled AS ({fixtures.SETTLED}), summary AS ({fixtures.TURNOVER}), p AS ({_P75}) {sql}"
 
 
-_ENRICHED = f"""SELECT id, c.category, adjusted_value, timestamp, {_RANK.replace('category', 'c.category')} AS category_rank,
- p75_value, {_TIER} AS value_tier, record_count, ROUND(avg_value, 4) AS avg_value, ROUND(total_value, 4) AS total_value,
- ROUND(adjusted_value / total_value * 100, 2) AS pct_of_category
- FROM clean_data c JOIN p ON c.category = p.category LEFT JOIN summary s ON c.category = s.category"""
+_ENRICHED = f"""SELECT order_id, c.urgency, net_price, placed, {_RANK.replace('urgency', 'c.urgency')} AS category_rank,
+ p75_value, {_TIER} AS value_tier, orders_n, ROUND(mean_price, 4) AS mean_price, ROUND(turnover, 4) AS turnover,
+ ROUND(net_price / turnover * 100, 2) AS pct_of_category
+ FROM settled c JOIN p ON c.urgency = p.urgency LEFT JOIN summary s ON c.urgency = s.urgency"""
 
 
 def enriched(spark, folder, ranges: int | None = None):
-    """Read, clean, summarise, rank, tier and relate every row to its category."""
-    sample = normalize_headers(fixtures.sample(spark, folder).toDF("ID", "Category ", "VALUE", "Timestamp"))
-    rows = drop_empty_rows(sample).where("value > 0").select(
-        "id", F.upper("category").alias("category"), (F.col("value") * 1.1).alias("adjusted_value"), "timestamp")
-    placed = windows.rank_with_quantiles(rows, "adjusted_value", ["category"], "category_rank", {"p75_value": 0.75}, ranges)
-    value = F.col("adjusted_value")
-    return windows.join_groups(placed, fixtures.category_summary(rows), ["category"]).select(
-        "id", "category", "adjusted_value", "timestamp", "category_rank", "p75_value",
-        windows.quantile_tier(value, F.col("p75_value")).alias("value_tier"), "record_count",
-        F.round("avg_value", 4).alias("avg_value"), F.round("total_value", 4).alias("total_value"),
-        windows.percent_of(value, F.col("total_value")).alias("pct_of_category"))
+    """Read orders under headers as people type them, price them, rank and tier them, and relate each to its urgency."""
+    typed = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").toDF(
+        "O OrderKey", "O OrderStatus ", "O-TotalPrice", "o orderdate", "O.OrderPriority")
+    rows = fixtures.settled(drop_empty_rows(normalize_headers(typed)).toDF("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    placed = windows.rank_with_quantiles(rows, "net_price", ["urgency"], "category_rank", {"p75_value": 0.75}, ranges)
+    value = F.col("net_price")
+    return windows.join_groups(placed, fixtures.turnover(rows), ["urgency"]).select(
+        "order_id", "urgency", "net_price", "placed", "category_rank", "p75_value",
+        windows.quantile_tier(value, F.col("p75_value")).alias("value_tier"), "orders_n",
+        F.round("mean_price", 4).alias("mean_price"), F.round("turnover", 4).alias("turnover"),
+        windows.percent_of(value, F.col("turnover")).alias("pct_of_category"))
 
 
 @query("enriched_data", _clean(_ENRICHED))
@@ -48,10 +48,10 @@ def enriched_data(spark, folder):
     return enriched(spark, folder)
 
 
-@query("rank_avg", _clean(f"SELECT id, category, adjusted_value, {_RANK} AS category_rank FROM clean_data"))
+@query("rank_avg", _clean(f"SELECT order_id, urgency, net_price, {_RANK} AS category_rank FROM settled"))
 def rank_avg(spark, folder):
-    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value")
-    return windows.rank_average(rows, "adjusted_value", ["category"], "category_rank")
+    rows = fixtures.clean(spark, folder).select("order_id", "urgency", "net_price")
+    return windows.rank_average(rows, "net_price", ["urgency"], "category_rank")
 
 
 _RANK_NULLS = """SELECT l_orderkey, l_linenumber, l_returnflag, q, CASE WHEN q IS NOT NULL THEN
@@ -67,70 +67,70 @@ def rank_ties(spark, folder):
     return windows.rank_average(rows, "q", ["l_returnflag"], "quantity_rank")
 
 
-@query("p75_nearest", _clean("SELECT id, c.category, adjusted_value, p75_value FROM clean_data c JOIN p ON c.category = p.category"))
+@query("p75_nearest", _clean("SELECT order_id, c.urgency, net_price, p75_value FROM settled c JOIN p ON c.urgency = p.urgency"))
 def p75_nearest(spark, folder):
-    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value")
-    return windows.with_group_quantile(rows, "adjusted_value", ["category"], 0.75, "p75_value")
+    rows = fixtures.clean(spark, folder).select("order_id", "urgency", "net_price")
+    return windows.with_group_quantile(rows, "net_price", ["urgency"], 0.75, "p75_value")
 
 
-@query("value_tier", _clean(f"SELECT id, c.category, {_TIER} AS value_tier FROM clean_data c JOIN p ON c.category = p.category"))
+@query("value_tier", _clean(f"SELECT order_id, c.urgency, {_TIER} AS value_tier FROM settled c JOIN p ON c.urgency = p.urgency"))
 def value_tier(spark, folder):
-    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value")
-    placed = windows.with_group_quantile(rows, "adjusted_value", ["category"], 0.75, "p75_value")
-    return placed.select("id", "category", windows.quantile_tier(F.col("adjusted_value"), F.col("p75_value")).alias("value_tier"))
+    rows = fixtures.clean(spark, folder).select("order_id", "urgency", "net_price")
+    placed = windows.with_group_quantile(rows, "net_price", ["urgency"], 0.75, "p75_value")
+    return placed.select("order_id", "urgency", windows.quantile_tier(F.col("net_price"), F.col("p75_value")).alias("value_tier"))
 
 
-@query("pct_of_category", _clean("""SELECT id, c.category, ROUND(adjusted_value / total_value * 100, 2) AS pct_of_category
- FROM clean_data c LEFT JOIN summary s ON c.category = s.category"""))
+@query("pct_of_category", _clean("""SELECT order_id, c.urgency, ROUND(net_price / turnover * 100, 2) AS pct_of_category
+ FROM settled c LEFT JOIN summary s ON c.urgency = s.urgency"""))
 def pct_of_category(spark, folder):
     rows = fixtures.clean(spark, folder)
-    joined = windows.join_groups(rows, fixtures.category_summary(rows), ["category"])
-    return joined.select("id", "category", windows.percent_of(F.col("adjusted_value"), F.col("total_value")).alias("pct_of_category"))
+    joined = windows.join_groups(rows, fixtures.turnover(rows), ["urgency"])
+    return joined.select("order_id", "urgency", windows.percent_of(F.col("net_price"), F.col("turnover")).alias("pct_of_category"))
 
 
-@query("pct_vs_avg", _clean(f"""SELECT id, c.category, ROUND((adjusted_value - avg_value) / avg_value * 100, 2) AS pct_vs_category_avg,
+@query("pct_vs_avg", _clean(f"""SELECT order_id, c.urgency, ROUND((net_price - mean_price) / mean_price * 100, 2) AS pct_vs_category_avg,
  CASE {_TIER} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS tier_score
- FROM clean_data c JOIN p ON c.category = p.category LEFT JOIN summary s ON c.category = s.category"""))
+ FROM settled c JOIN p ON c.urgency = p.urgency LEFT JOIN summary s ON c.urgency = s.urgency"""))
 def pct_vs_avg(spark, folder):
     rows = fixtures.clean(spark, folder)
-    quantiles = windows.group_quantiles(rows, "adjusted_value", ["category"], {"p75_value": 0.75})
-    groups = fixtures.category_summary(rows).join(quantiles, "category")
-    value, tier = F.col("adjusted_value"), windows.quantile_tier(F.col("adjusted_value"), F.col("p75_value"))
-    return windows.join_groups(rows, groups, ["category"]).select(
-        "id", "category", windows.percent_above(value, F.col("avg_value")).alias("pct_vs_category_avg"),
+    quantiles = windows.group_quantiles(rows, "net_price", ["urgency"], {"p75_value": 0.75})
+    groups = fixtures.turnover(rows).join(quantiles, "urgency")
+    value, tier = F.col("net_price"), windows.quantile_tier(F.col("net_price"), F.col("p75_value"))
+    return windows.join_groups(rows, groups, ["urgency"]).select(
+        "order_id", "urgency", windows.percent_above(value, F.col("mean_price")).alias("pct_vs_category_avg"),
         windows.tier_score(tier).alias("tier_score"))
 
 
-@query("cum_sum", _clean("""SELECT id, category, adjusted_value, CAST(SUM(CAST(adjusted_value AS DECIMAL(18, 3))) OVER
- (PARTITION BY category ORDER BY id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative_value FROM clean_data"""))
+@query("cum_sum", _clean("""SELECT order_id, urgency, net_price, CAST(SUM(CAST(net_price AS DECIMAL(18, 3))) OVER
+ (PARTITION BY urgency ORDER BY order_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative_value FROM settled"""))
 def cum_sum(spark, folder):
     """In decimals, which are exact whatever the order of the additions."""
-    rows = fixtures.clean(spark, folder).select("id", "category", "adjusted_value",
-                                                F.col("adjusted_value").cast("decimal(18,3)").alias("exact"))
-    summed = windows.cumulative_sum(rows, "exact", ["category"], ["id"], "cumulative_value")
+    rows = fixtures.clean(spark, folder).select("order_id", "urgency", "net_price",
+                                                F.col("net_price").cast("decimal(18,3)").alias("exact"))
+    summed = windows.cumulative_sum(rows, "exact", ["urgency"], ["order_id"], "cumulative_value")
     return summed.withColumn("cumulative_value", F.col("cumulative_value").cast("double")).drop("exact")
 
 
-@query("seq_in_group", _clean("SELECT id, category, ROW_NUMBER() OVER (PARTITION BY category ORDER BY id) AS record_sequence FROM clean_data"))
+@query("seq_in_group", _clean("SELECT order_id, urgency, ROW_NUMBER() OVER (PARTITION BY urgency ORDER BY order_id) AS record_sequence FROM settled"))
 def seq_in_group(spark, folder):
-    rows = fixtures.clean(spark, folder).select("id", "category")
-    return windows.sequence_number(rows, ["category"], ["id"], "record_sequence")
+    rows = fixtures.clean(spark, folder).select("order_id", "urgency")
+    return windows.sequence_number(rows, ["urgency"], ["order_id"], "record_sequence")
 
 
-@query("group_stats", _clean("""SELECT category, COUNT(*) AS total_records, ROUND(AVG(adjusted_value), 4) AS mean_value,
- ROUND(MEDIAN(adjusted_value), 4) AS median_value, ROUND(STDDEV_SAMP(adjusted_value), 4) AS std_value,
- MIN(adjusted_value) AS min_value, MAX(adjusted_value) AS max_value FROM clean_data GROUP BY category"""))
+@query("group_stats", _clean("""SELECT urgency, COUNT(*) AS total_records, ROUND(AVG(net_price), 4) AS mean_value,
+ ROUND(MEDIAN(net_price), 4) AS median_value, ROUND(STDDEV_SAMP(net_price), 4) AS std_value,
+ MIN(net_price) AS min_value, MAX(net_price) AS max_value FROM settled GROUP BY urgency"""))
 def group_stats(spark, folder):
-    stats = windows.group_stats(fixtures.clean(spark, folder), "adjusted_value", ["category"])
+    stats = windows.group_stats(fixtures.clean(spark, folder), "net_price", ["urgency"])
     return stats.withColumns({c: F.round(named(c), 4) for c in ("mean_value", "median_value", "std_value")})
 
 
-@query("tier_distribution", _clean(f"""SELECT category, value_tier, COUNT(*) AS n FROM (SELECT c.category, {_TIER} AS value_tier
- FROM clean_data c JOIN p ON c.category = p.category) t GROUP BY category, value_tier"""))
+@query("tier_distribution", _clean(f"""SELECT urgency, value_tier, COUNT(*) AS n FROM (SELECT c.urgency, {_TIER} AS value_tier
+ FROM settled c JOIN p ON c.urgency = p.urgency) t GROUP BY urgency, value_tier"""))
 def tier_distribution(spark, folder):
-    """Counted, listed per category in bounded lists, and unfolded again for comparison."""
-    lists = windows.value_distribution_lists(value_tier(spark, folder), "value_tier", ["category"])
-    return lists.select("category", F.inline("counts")).select("category", F.col("value").alias("value_tier"), "n")
+    """Counted, listed per urgency in bounded lists, and unfolded again for comparison."""
+    lists = windows.value_distribution_lists(value_tier(spark, folder), "value_tier", ["urgency"])
+    return lists.select("urgency", F.inline("counts")).select("urgency", F.col("value").alias("value_tier"), "n")
 
 
 @query("customer_tiers", """SELECT c_custkey, c_name, total_spent, order_count, last_order_date,
