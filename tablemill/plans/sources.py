@@ -25,6 +25,31 @@ def src_csv(spark, folder):
     return delimited.read_csv(spark, path)
 
 
+@query("src_csv_late_type", """SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT MAX(o_orderkey) FROM orders) THEN 'unknown'
+ ELSE CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey = (SELECT MAX(o_orderkey) FROM orders) THEN 0.5
+ ELSE CAST(o_shippriority AS DOUBLE) END AS priority FROM (SELECT *, o_orderkey % 3 AS o_shippriority FROM orders) o""")
+def src_csv_late_type(spark, folder):
+    """Numbers in every row but the last, which makes one column text and another one fractional."""
+    path = scratch_path(spark, "csv")
+    orders = table(spark, folder, "orders")
+    last = F.col("o_orderkey") == F.lit(orders.agg(F.max("o_orderkey")).head()[0])
+    orders.select(
+        "o_orderkey", F.when(last, "unknown").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(last, "0.5").otherwise((F.col("o_orderkey") % 3).cast("string")).alias("priority"),
+    ).orderBy("o_orderkey").write.csv(path, header=True)
+    return delimited.read_csv(spark, path)
+
+
+@query("src_csv_multiline", """SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '", ' || chr(10) || CAST(c_nationkey AS VARCHAR) AS note,
+ c_acctbal FROM customer""")
+def src_csv_multiline(spark, folder):
+    """Quoted cells with line breaks, quotes and separators inside."""
+    path = scratch_path(spark, "csv")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", \n'), F.col("c_nationkey").cast("string"))
+    table(spark, folder, "customer").select("c_custkey", note.alias("note"), "c_acctbal").write.option("escape", '"').csv(path, header=True)
+    return delimited.read_csv(spark, path, delimiter=",", multi_line=True)
+
+
 @query("src_csv_layouts", """SELECT 'orders' AS kind, o_orderkey AS id, o_custkey AS customer, NULL AS name FROM orders
  UNION ALL SELECT 'customers', c_custkey, NULL, c_name FROM customer""")
 def src_csv_layouts(spark, folder):

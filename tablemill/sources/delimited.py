@@ -8,13 +8,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.text import CSV_NULL_TOKENS, named
 from tablemill.operators.cleaning import null_tokens
 from tablemill.operators.headers import unique_headers
+from tablemill.session import staged
 from tablemill.sources.files import file_path, literal, require_paths, union_tables
 
 # Separators that are tried, in order of preference on a tie, and the size of the two samples.
@@ -43,22 +44,33 @@ def sniff_separator(lines: Sequence[str]) -> str:
     return best if steadiness(best)[0] else ","
 
 
-def _guess_types(sample: DataFrame) -> dict[str, T.DataType]:
-    """The narrowest type that every non-null sample value has, per column."""
-    tests = []
-    for i, column in enumerate(sample.columns):
-        value = named(column)
-        tests.append(F.count(value).alias(f"c{i}"))
-        for j, (name, data_type) in enumerate(_GUESSES):
-            # Spark also casts y, n, t, f, 1 and 0 to boolean; only the two words make a column of booleans.
-            fits = F.when(F.lower(value).isin("true", "false"), True) if name == "boolean" else value.try_cast(data_type)
-            tests.append(F.count(fits).alias(f"c{i}_{j}"))
-    row = sample.agg(*tests).head()
-    types: dict[str, T.DataType] = {}
-    for i, column in enumerate(sample.columns):
-        fitting = [t for j, (_, t) in enumerate(_GUESSES) if row[f"c{i}"] and row[f"c{i}_{j}"] == row[f"c{i}"]]
-        if fitting:
-            types[column] = fitting[0]
+def _kind(value: Column) -> Column:
+    """The first kind of _GUESSES that the value has, or text; later casts run only where earlier ones fail."""
+    kind = F.lit("text")
+    for name, data_type in reversed(_GUESSES):
+        # Spark also casts y, n, t, f, 1 and 0 to boolean; only the two words make a column of booleans.
+        fits = F.lower(value).isin("true", "false") if name == "boolean" else value.try_cast(data_type).isNotNull()
+        kind = F.when(fits, name).otherwise(kind)
+    return F.when(value.isNotNull(), kind)
+
+
+def _guess_types(rows: DataFrame) -> dict[str, T.DataType]:
+    """The narrowest type that every non-null value has, per column, from one vote of all rows."""
+    if not rows.columns:
+        return {}
+    votes = rows.agg(*[F.sort_array(F.collect_set(_kind(named(c)))).alias(f"c{i}") for i, c in enumerate(rows.columns)]).head()
+    known, types, doubtful = dict(_GUESSES), {}, []
+    for i, column in enumerate(rows.columns):
+        kinds = set(votes[f"c{i}"])
+        if kinds == {"long", "double"}:
+            types[column] = known["double"]
+        elif len(kinds) == 1 and kinds <= set(known):
+            types[column] = known[kinds.pop()]
+        elif "date" in kinds and kinds <= {"long", "date"}:
+            doubtful.append(column)  # a whole number may be a year
+    if doubtful:
+        misses = rows.agg(*[F.count_if(named(c).isNotNull() & named(c).try_cast("date").isNull()).alias(f"c{i}") for i, c in enumerate(doubtful)]).head()
+        types.update({c: known["date"] for i, c in enumerate(doubtful) if not misses[f"c{i}"]})
     return types
 
 
@@ -98,7 +110,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV files of one layout as one table; ``read_csv_layouts`` takes files with different headers.
 
-    The separator comes from a few lines at the head unless it is given; column types come from all rows, in one pass.
+    The separator comes from a few lines at the head unless it is given. Column types come from all rows: the text is parsed once into
+    a written table of strings, which votes on the types and is cast. With a schema, or without inference, nothing is written.
     Surplus cells of a ragged line are dropped. Repeated headers get a suffix. ``multi_line`` reads quoted cells with line
     breaks, for which a file is one task; it cannot be combined with ``skip_rows``.
     """
@@ -116,23 +129,28 @@ def _read_paths(spark, paths, delimiter=None, schema=None, infer=True, has_heade
     first = next(csv.reader(head[:1], delimiter=separator), [])
     names = unique_headers(first) if has_header else [f"column_{i}" for i in range(1, len(first) + 1)]
     plain = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    tagged = ["__file"] if file_column else []
     if skip_rows:
         lines = spark.read.option("encoding", encoding).text(paths)
         kept = _without_head(lines, skip_rows + int(has_header))
         row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"'})
-        raw = kept.select(row.alias("r"), F.col("file").alias("__file")).select("r.*", "__file")
+        raw = kept.select(row.alias("r"), F.col("file").alias("__file")).select("r.*", *tagged)
     else:
         raw = (
             spark.read.schema(plain).option("sep", separator).option("header", has_header).option("escape", '"')
             .option("encoding", encoding).option("enforceSchema", names != first or not has_header).option("multiLine", multi_line)
-            .csv(paths).select("*", file_path().alias("__file"))
+            .csv(paths)
         )
-    table = null_tokens(raw, null_values, names)
+        raw = raw.select("*", file_path().alias("__file")) if file_column else raw
+    rows = null_tokens(raw, null_values, names)
     types = dict(schema or {})
     if not types and infer:
-        types = _guess_types(table.select(*[named(n) for n in names]))
+        # numbered, since a header may be no name for a stored column
+        stored = staged(rows.toDF(*[f"c{i}" for i in range(len(names))], *tagged))
+        rows = stored.toDF(*names, *tagged)
+        types = _guess_types(rows.select(*[named(n) for n in names]))
     cells = [named(n).cast(types[n]).alias(n) if n in types else named(n) for n in names]
-    return table.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
+    return rows.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
 
 
 def read_csv_layouts(spark: SparkSession, path: str, files: str | Sequence[str] | None = None, *,

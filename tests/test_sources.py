@@ -224,3 +224,11 @@ def test_xml_own_text_and_paths_that_cannot_be_read(spark, tmp_path):
             markup.read_xml(spark, str(tmp_path), row_xpath=bad, fields={"value": "."})
     with pytest.raises(ValueError):
         markup.read_xml(spark, str(tmp_path), row_xpath="s", fields={"value": "v[1]"})
+
+
+def test_csv_types_by_a_vote_of_all_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,x,d,y,b,e,t,m\n1,1,2024-01-01,2024,true,,a,2024\n2,2.5,2024-02-01,2023-05-01,FALSE,,1,x\n-3,1e3,NA,2022-01-01,true,,2,2024-01-01\n")
+    got = delimited.read_csv(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"n": "bigint", "x": "double", "d": "date", "y": "date", "b": "boolean", "e": "string", "t": "string", "m": "string"}
+    assert [str(r.y) for r in got.orderBy("y").collect()] == ["2022-01-01", "2023-05-01", "2024-01-01"]
+    assert "input_file" not in got._jdf.queryExecution().optimizedPlan().toString() and "_metadata" not in got._jdf.queryExecution().optimizedPlan().toString()
