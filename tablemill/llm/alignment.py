@@ -26,6 +26,7 @@ from tablemill.llm.tokens import default_tokenizer
 
 # Where every version of the byte-level splitting rule cuts, and no piece of the other vocabulary reaches across.
 CUT = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
+VISIBLE = frozenset(map(chr, [*range(ord("!"), ord("~") + 1), *range(ord("À"), ord("ɏ") + 1)]))
 MEMO_WORDS, TEXTS_PER_BATCH, CHARS_PER_CALL = 200_000, 64, 200_000
 COLUMNS = {
     "n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "n_overlaps": T.LongType(), "n_links": T.LongType(),
@@ -61,6 +62,9 @@ class Aligner:
         before = self.a.pre_tokenizer
         plain = type(before).__name__ == "ByteLevel" and self.a.normalizer is None and not before.add_prefix_space
         self.by_word = plain and self.b.by_word
+        #: ids as text with the sign after them: A followed by A, A by B, B by B, the last of a group
+        self.sizes = (len(self.a_bytes), 2 * len(self.a_bytes), self.b.size)
+        self.spelled = [f"{i}{sign}" for size, signs in ((len(self.a_bytes), ",|"), (self.b.size, ",;")) for sign in signs for i in range(size)]
         self.memo: dict[str, tuple[bytes, str, bytes] | None] = {}
 
     def parts(self, text: str) -> list[str] | None:
@@ -71,41 +75,56 @@ class Aligner:
         return CUT.split(spaced) if self.by_word else [spaced]
 
     def learn(self, parts: list[str]) -> None:
-        """Put the alignment of each part into the memo: its counts, its groups as text and its links; None where bytes differ."""
-        a_all = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b_all = [self.b.normalised_ids(p.replace(" ", BLANK)) for p in parts]
-        good: list[int] = []
-        for i, (part, a, b) in enumerate(zip(parts, a_all, b_all)):
-            raw = part.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b.surface.__getitem__, b)):
-                good.append(i)
-            else:
-                self.memo[part] = None
-        if not good:
-            return
-        a = np.array([t for i in good for t in a_all[i]], dtype=np.int64)
-        b = np.array([t for i in good for t in b_all[i]], dtype=np.int64)
+        """Put the alignment of each part into the memo: its counts, its groups as text and its links; None where bytes differ.
+
+        Parts that begin with one blank and end visibly are encoded as one text, since tokens end between them.
+        """
+        chained = [p for p in parts if self.by_word and len(p) > 1 and p[0] == " " and p[1] in VISIBLE and p[-1] in VISIBLE]
+        if chained:
+            text = "".join(chained)
+            a = self.a.encode(text, add_special_tokens=False).ids
+            if not self.keep(chained, a, self.b.model.encode(text[1:], num_threads=1)):
+                chained = []
+        known = set(chained)
+        for part in parts:
+            if part not in known:
+                a = self.a.encode(part, add_special_tokens=False).ids
+                if not self.keep([part], a, self.b.normalised_ids(part.replace(" ", BLANK))):
+                    self.memo[part] = None
+
+    def keep(self, parts: list[str], a_ids: list[int], b_ids: list[int]) -> bool:
+        """Remember the alignment of parts whose tokens are given one after the other; False where bytes differ or no token ends."""
+        raw = [p.encode() for p in parts]
+        whole = b"".join(raw)
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b.surface.__getitem__, b_ids)) != whole:
+            return False
+        a, b = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
         a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         a_start, b_start = a_end - self.a_length[a], b_end - self.b_length[b]
+        part_end = np.cumsum([len(r) for r in raw])
+        a_cut, b_cut = np.searchsorted(a_end, part_end, "right"), np.searchsorted(b_end, part_end, "right")
+        if (a_end[a_cut - 1] != part_end).any() or (b_end[b_cut - 1] != part_end).any():
+            return False
         first_a, first_b = groups_of(a_start, a_end, b_start, b_end)
         link_a, link_b, ends = overlaps(a_start, a_end, b_start, b_end)
-        codes = a[link_a] * self.b.size + b[link_b]
-        part_end = np.cumsum([sum(map(len, map(self.a_bytes.__getitem__, a_all[i]))) for i in good])
-        # bounds of each part among its groups, its overlaps and its links
-        group_cut = np.searchsorted(a_start[first_a[:-1]], part_end, "left").tolist()
-        overlap_cut = np.searchsorted(a_start[link_a], part_end, "left")
-        codes, kept = codes[ends], np.concatenate([[0], np.cumsum(ends)])
-        link_cut = kept[overlap_cut].tolist()
-        overlap_cut = overlap_cut.tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        fa, fb = first_a.tolist(), first_b.tolist()
-        texts = [",".join(a_text[fa[g] : fa[g + 1]]) + "|" + ",".join(b_text[fb[g] : fb[g + 1]]) for g in range(len(fa) - 1)]
-        g0 = o0 = l0 = 0
-        for n, i in enumerate(good):
-            g1, o1, l1 = group_cut[n], overlap_cut[n], link_cut[n]
-            counts = np.array([len(a_all[i]), len(b_all[i]), g1 - g0, o1 - o0, l1 - l0], dtype=np.int64)
-            self.memo[parts[i]] = (counts.tobytes(), ";".join(texts[g0:g1]), codes[l0:l1].tobytes())
-            g0, o0, l0 = g1, o1, l1
+        # what each part has, from the running numbers at its end
+        group_cut = np.searchsorted(first_a, a_cut, "left")
+        overlap_cut = np.searchsorted(link_a, a_cut, "left")
+        link_cut = np.concatenate([[0], np.cumsum(ends)])[overlap_cut]
+        ran = np.stack([a_cut, b_cut, group_cut, overlap_cut, link_cut], axis=1).astype(np.int64)
+        counts = np.diff(ran, axis=0, prepend=0).tobytes()
+        codes = (a[link_a[ends]] * self.b.size + b[link_b[ends]]).tobytes()
+        # groups in one row of tokens, each with the sign that follows it
+        places = np.empty(len(a) + len(b), dtype=np.int64)
+        places[np.arange(len(a)) + np.repeat(first_b[:-1], np.diff(first_a))] = a + np.where(np.isin(np.arange(1, len(a) + 1), first_a), self.sizes[0], 0)
+        b_sign = b + self.sizes[1] + np.where(np.isin(np.arange(1, len(b) + 1), first_b), self.sizes[2], 0)
+        places[np.arange(len(b)) + np.repeat(first_a[1:], np.diff(first_b))] = b_sign
+        spelled = [self.spelled[i] for i in places.tolist()]
+        t0 = l0 = 0
+        for n, (part, t1, l1) in enumerate(zip(parts, (a_cut + b_cut).tolist(), (link_cut * 8).tolist())):
+            self.memo[part] = (counts[n * 40 : n * 40 + 40], "".join(spelled[t0:t1]), codes[l0:l1])
+            t0, l0 = t1, l1
+        return True
 
     def align(self, texts: list[str]) -> list[tuple]:
         """Values of COLUMNS for each text; no tokens where a text is empty or bytes differ."""
@@ -128,7 +147,7 @@ class Aligner:
                 continue
             counts = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int64).reshape(-1, 5).sum(axis=0)
             pairs, times = np.unique(np.frombuffer(b"".join([f[2] for f in found]), dtype=np.int64), return_counts=True)
-            rows.append((*counts.tolist(), ";".join([f[1] for f in found]), pairs, times))
+            rows.append((*counts.tolist(), "".join([f[1] for f in found])[:-1], pairs, times))
         return rows
 
 
