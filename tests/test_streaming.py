@@ -1,9 +1,13 @@
+import datetime
+
+import pytest
 from conftest import bag
 from pyspark.sql import functions as F
 
 from tablemill.operators import mining
 from tablemill.operators.quality import Expectation
 from tablemill.streaming.batches import incremental_batches, merge_batches, quarantine_batches
+from tablemill.streaming.keyed import first_of_each, with_repeats
 
 
 def stream(spark, df, folder):
@@ -73,3 +77,71 @@ def test_stateless_operators_accept_streams(spark, tmp_path):
             "checkpointLocation", str(tmp_path / name)).start().awaitTermination()
     assert [tuple(r) for r in spark.table("t_clean").collect()] == [(1, " A ", 5)]
     assert [(r.id, r._quality_check) for r in spark.table("t_caught").collect()] == [(2, "v")]
+
+
+TIMED = "id int, k string, j int, t timestamp, v double"
+
+
+def at(minutes):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes, microseconds=7)
+
+
+def through(spark, tmp_path, batches, change):
+    """Each batch is a run of its own, which starts from the checkpoint of the one before."""
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in batches:
+        spark.createDataFrame(rows, TIMED).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(TIMED).parquet(folder)
+        change(source).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_a_key_that_comes_again_in_a_later_batch(spark, tmp_path):
+    batches = [
+        [(1, "a", 1, at(0), 1.5), (2, "b", 1, at(1), None), (3, None, 1, at(1), 2.0), (4, "n", None, at(1), 2.0), (5, "t", 1, None, 0.1)],
+        [(6, "a", 1, at(5), float("nan")), (7, "c", 1, at(5), 1.0), (8, None, 1, at(5), 2.0), (9, "a", 2, at(5), 0.0)],
+        [(10, "a", 1, at(6), 0.0), (11, "d", 1, at(6), 0.0), (12, "d", 1, at(6), 0.0), (13, "d", 1, at(7), 0.0)],
+        [(99, "end", 0, at(10_000), 0.0)], [(100, "end", 1, at(20_000), 0.0)],
+    ]
+    got = through(spark, tmp_path, batches, lambda s: with_repeats(s, ["k", "j"], "t", "30 minutes")).where("id < 99").collect()
+    assert {r.id: r.repeated for r in got} == {i: i in (1, 6, 10, 11, 12, 13) for i in range(1, 14)} and len(got) == 13
+    first = next(r for r in got if r.id == 1)
+    assert (first.k, first.j, first.t, first.v) == ("a", 1, at(0), 1.5)
+
+
+def test_keys_are_forgotten_when_the_span_is_over(spark, tmp_path):
+    batches = [[(1, "a", 1, at(0), 0.0)], [(2, "z", 1, at(200), 0.0)], [(3, "a", 1, at(201), 0.0)], [(4, "y", 1, at(900), 0.0)], [(5, "x", 1, at(1900), 0.0)]]
+    got = through(spark, tmp_path, batches, lambda s: with_repeats(s, ["k"], "t", "1 hour")).collect()
+    assert {r.id: r.repeated for r in got} == {1: False, 2: False, 3: False, 4: False}
+    with pytest.raises(ValueError):
+        with_repeats(spark.createDataFrame([], TIMED), ["k"], "t", "a while")
+
+
+def test_first_of_each_key_over_batches(spark, tmp_path):
+    batches = [[(1, "a", 1, at(0), 0.0), (2, "b", 1, at(0), 0.0)], [(3, "a", 1, at(1), 0.0), (4, None, 1, at(1), 0.0)], [(5, "b", 1, at(2), 0.0), (6, None, 1, at(2), 0.0)]]
+    got = through(spark, tmp_path, batches, lambda s: first_of_each(s, ["k"], "t", "1 hour"))
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4]
+
+
+def test_only_new_files_are_taken(spark, tmp_path):
+    from tablemill.streaming.incoming import take_new_files
+
+    seen, folder = [], tmp_path / "in"
+
+    def take(fail=False):
+        def keep(batch, epoch):
+            if fail:
+                raise RuntimeError("cut off")
+            seen.extend((r.a, r.f.rsplit("/", 1)[-1]) for r in batch.collect())
+
+        return take_new_files(spark, str(folder), str(tmp_path / "state"), keep, schema="a long", pattern="*.json", recursive=True, file_column="f", files_per_batch=1)
+
+    for name, text in (("one.json", '{"a": 1}'), ("deep/two.json", '{"a": 2}'), ("other.txt", "x")):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    assert take() == 2 and sorted(seen) == [(1, "one.json"), (2, "two.json")]
+    assert take() == 0
+    (folder / "deep/three.json").write_text('{"a": 3}')
+    with pytest.raises(Exception, match="cut off"):
+        take(fail=True)
+    assert take() == 1 and seen[2:] == [(3, "three.json")]
