@@ -97,6 +97,29 @@ def xml_nested(spark, folder):
                         elements.cast("string").alias("orders"))
 
 
+@query("xml_nested_range", """SELECT s_suppkey AS supplier, COALESCE(n // 5, 0) AS part, CAST(MIN(c_custkey) AS VARCHAR) AS first_customer,
+ COUNT(c_custkey) AS customers, COALESCE(CAST(SUM(orders) AS BIGINT), 0) AS orders FROM (SELECT s_suppkey, c_custkey, orders,
+ ROW_NUMBER() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) - 1 AS n FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey, c_acctbal,
+ COUNT(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) c
+ ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 900 AND s_acctbal + 100) g GROUP BY s_suppkey, COALESCE(n // 5, 0)""")
+def xml_nested_range(spark, folder):
+    """Suppliers with the customers of their nation whose balance is near theirs, and these with their orders: two levels, the first by condition."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("_id"), F.col("o_orderkey").alias("_key"), F.col("o_totalprice").alias("price"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("_id"), "c_nationkey", "c_acctbal")
+    clients = documents.nest(customers, orders, ["_id"], ["_key"], "order").drop("part")
+    suppliers = table(spark, folder, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_acctbal") - 900).alias("low"), (F.col("s_acctbal") + 100).alias("high"))
+    nested = documents.nest_between(suppliers, clients, "low", "high", "c_acctbal", ["_id"], "customer", on=["c_nationkey"], max_children=5)
+    docs = documents.xml_documents(nested.drop("low", "high"), "supplier", ["s_suppkey", "part"], attributes=["s_suppkey", "part"])
+    facts = xml_fields(docs, "xml", {"first_customer": "customer/@id"}, ["s_suppkey", "part", "xml"])
+
+    def elements(tag):
+        return (F.size(F.split("xml", f"<{tag} ")) - 1).cast("long")
+
+    return facts.select(F.col("s_suppkey").alias("supplier"), F.col("part").cast("long").alias("part"), "first_customer",
+                        elements("customer").alias("customers"), elements("order").alias("orders"))
+
+
 @query("sink_yaml", fixtures.duck(fixtures.DIRTY))
 def sink_yaml(spark, folder):
     path = scratch_path(spark, "yaml")
