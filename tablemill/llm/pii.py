@@ -135,9 +135,9 @@ def disclosing_terms(docs: DataFrame, text: str = "text", discloses: float = DIS
     near = once.groupBy("term", "entity", "kind").agg(F.sum("times").alias("both"), F.count("*").alias("different"))
     near = staged(near.where(F.col("different") >= SUPPORT).select("term", "entity", "kind", "both"))
 
-    # Spark broadcasts the wanted terms only below its size threshold; beyond it the words meet them by a shuffle
-    wanted = staged(near.select("term").distinct())
-    held = lines.select(F.explode(_terms(line)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before they meet the wanted terms: a row per word leaves a task, not one per occurrence
+    words = lines.select(F.explode(_terms(line)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    held = words.join(near.select("term").distinct(), "term")
     entities = found.select("times", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(line, s)))).alias("entity"))
     entities = entities.groupBy("entity").agg(F.sum("times").alias("n_entity"))
 
@@ -184,7 +184,8 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None, text: str = "text"
     content = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(content)  # texts that share a key by accident share terms that only one of them holds: no match, no harm
     held = docs.select(key.alias("__key"), F.explode(_terms(content)).alias("term")).join(terms, "term")
-    held = held.groupBy("__key").agg(F.collect_set(F.struct("term", "label")).alias("__terms"))  # bounded by the words of one text
+    # bounded by the words of one text; written first, so that Spark knows its size and need not shuffle the texts to meet a few rows
+    held = staged(held.groupBy("__key").agg(F.collect_set(F.struct("term", "label")).alias("__terms")))
     found = docs.withColumn("__key", key).join(held, "__key", "left").withColumn("__base", base_spans(content))
     labels = F.map_from_entries("__terms")
     words = F.array_join(F.array_sort(F.transform("__terms", lambda t: t["term"])), "|")
