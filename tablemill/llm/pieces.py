@@ -6,7 +6,8 @@ position the longest token that an Aho-Corasick automaton found there is tried f
 if it is compatible with the one before. Positions from which nothing fits are kept in a bitfield and never tried again, so that
 the work grows with the length of the text.
 
-No token reaches from a letter into the blank after it, so words are encoded one by one and common words are remembered.
+No token reaches from a letter into the blank after it, or into a sign that no piece has after a letter. Words are therefore encoded one
+by one, and common words are remembered.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 from tablemill.llm.common import process_store, put_columns
 
 BLANK = "▁"  # stands for a blank inside pieces
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+SIGNS = ".,;:!?)|"
 MEMO_WORDS, MEMO_PAIRS, LONGEST_MEMO = 300_000, 1_000_000, 64
 TEXTS_PER_BATCH = 64
 BROKEN = "tablemill.each"  # error handler: one replacement character for each byte that is not UTF-8
@@ -74,9 +77,13 @@ class PieceCodec:
         self.shorter = [-1] * len(self.piece)
         for piece, i in ids.items():
             self.shorter[i] = next((ids[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in ids), -1)
-        #: no piece goes on with a blank after a letter, so a token ends before every blank that follows a letter
+        #: no piece goes on with a blank after another character, so a token ends before every blank that follows one
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.score)
-        self.words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if self.by_word else "(?s).+")
+        beside = {pair for p in self.score for pair in zip(p, p[1:])}
+        #: signs that no piece has right after a letter: a token ends there as well
+        signs = "".join(x for x in SIGNS if not any((letter, x) in beside for letter in LETTERS))
+        at_sign = f"|(?<=[{re.escape(LETTERS)}])(?=[{re.escape(signs)}])" if signs else ""
+        self.cuts = re.compile(f"(?<=[^{BLANK}])(?={BLANK}){at_sign}") if self.by_word else None
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -164,7 +171,7 @@ class PieceCodec:
         """Ids of a normalised text, or of a part of one between sure token ends."""
         ids: list[int] = []
         get, word = self.memo.get, self.word
-        for part in self.words.findall(text):
+        for part in self.cuts.split(text) if self.cuts else [text]:
             known = get(part)
             ids += known if known is not None else word(part)
         return ids
