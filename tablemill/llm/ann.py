@@ -156,12 +156,15 @@ class Graph:
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, vector, dim) of the rows that take part, as doubles: no null, empty, zero or non-finite vectors and no null ids. A row that
-    repeats another's id and vector counts once."""
+    repeats another's id and vector counts once. Vectors whose squares leave the range of doubles are scaled by their largest component,
+    which changes no cosine."""
     vector = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), vector.alias("vector")).where("id is not null and size(vector) > 0")
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall("vector", lambda x: x == 0)
-    return rows.where(~odd).where(~zero).distinct().withColumn("dim", F.size("vector"))
+    largest = F.array_max(F.transform("vector", F.abs))
+    scaled = F.when(largest.between(1e-100, 1e100), F.col("vector")).otherwise(F.transform("vector", lambda x: x / largest))
+    return rows.where(~odd).where(~zero).distinct().select("id", scaled.alias("vector"), F.size("vector").alias("dim"))
 
 
 def _builder(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -29,7 +29,6 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # share of a part's own score that a passage must reach
 SHINGLE = 5
 OVERLAP = 0.8  # share of the question's and of the answer's shingles that must be in the text around the passage
-SHORTEST = 8  # words; a shorter item says too little to be called leaked and is not searched
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,36 +47,60 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def item_shingles(question: list[str], answer: list[str]) -> tuple[set, set]:
-    """Shingles of the question and of the answer; a part with fewer words takes what it lacks from the other, as they follow each other."""
-    lack = SHINGLE - min(SHINGLE, len(question)), SHINGLE - min(SHINGLE, len(answer))
-    return shingles(question + answer[: lack[0]]), shingles(question[max(0, len(question) - lack[1]) :] + answer if answer else [])
+def item_shingles(question: list[str], answer: list[str]) -> tuple[int, set, set]:
+    """Shingles of the question and of the answer, and their size; a part with fewer words takes what it lacks from the other, as they
+    follow each other. An item of fewer words than a shingle is one shingle as a whole."""
+    size = min(SHINGLE, len(question) + len(answer))
+    lack = size - min(size, len(question)), size - min(size, len(answer))
+    return size, shingles(question + answer[: lack[0]], size), shingles(question[max(0, len(question) - lack[1]) :] + answer if answer else [], size)
+
+
+def item_parts(words: list[str]) -> list[Counter]:
+    """Term counts of the parts of an item."""
+    count = math.ceil(len(words) / PART_WORDS)
+    size = math.ceil(len(words) / max(1, count))
+    return [Counter(words[start : start + size]) for start in range(0, len(words), max(1, size))]
+
+
+class Statistics:
+    """Over the parts of all items: their number, their words and in how many each term occurs. Grows with the benchmark's vocabulary."""
+
+    def __init__(self) -> None:
+        self.parts = self.words = 0
+        self.held: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        for part in item_parts(words_of(text)):
+            self.parts += 1
+            self.words += sum(part.values())
+            self.held.update(part.keys())
 
 
 class Index:
     """Postings of one shard, by block: terms, parts and shares of the part's own score; and of each term its maxima by block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        if statistics is None:
+            statistics = Statistics()
+            for _, text in items:
+                statistics.add(text)
         parts, self.item_of = [], []
         self.items = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < SHORTEST:
+            if not words:
                 continue
             self.items.append((item_id, len(words), *item_shingles(*question_and_answer(text))))
-            count = math.ceil(len(words) / PART_WORDS)
-            size = math.ceil(len(words) / count)
-            for start in range(0, len(words), size):
-                parts.append(Counter(words[start : start + size]))
+            for part in item_parts(words):
+                parts.append(part)
                 self.item_of.append(len(self.items) - 1)
         lengths = [sum(p.values()) for p in parts]
-        mean = sum(lengths) / len(parts) if parts else 1
-        held = Counter(t for p in parts for t in p)
-        idf = {t: math.log1p((len(parts) - n + 0.5) / (n + 0.5)) for t, n in held.items()}
+        mean = statistics.words / statistics.parts if statistics.parts else 1
+        idf = {t: math.log1p((statistics.parts - n + 0.5) / (n + 0.5)) for t, n in ((t, statistics.held[t]) for t in {t for p in parts for t in p})}
         postings = defaultdict(list)
         for i, (p, length) in enumerate(zip(parts, lengths)):
             worth = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in p.items()}
@@ -124,13 +147,13 @@ class Index:
         """Items whose question and answer are both in the text, near a passage that retrieved them."""
         words = words_of(text)
         found: dict[int, tuple] = {}
-        around: dict[tuple[int, int], set] = {}
+        around: dict[tuple[int, int, int], set] = {}
         for passage, item, score in self.retrieve(words, threshold):
-            item_id, length, question, answer = self.items[item]
+            item_id, length, size, question, answer = self.items[item]
             start, stop = max(0, passage * PART_WORDS - length), (passage + 2) * PART_WORDS + length
-            near = around.get((start, stop))
+            near = around.get((start, stop, size))
             if near is None:
-                near = around[(start, stop)] = shingles(words[start:stop])
+                near = around[(start, stop, size)] = shingles(words[start:stop], size)
             of_question = len(question & near) / len(question)
             of_answer = len(answer & near) / len(answer) if answer else 1.0
             if of_question >= overlap and of_answer >= overlap:
@@ -159,17 +182,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
     """``docs`` with leaks: the benchmark items (item_id, text) found in each text, by item_id, with the best passage's score and the shares
     of the question's and the answer's five-word shingles that are there.
 
-    Null and empty texts have no leaks; items that are null or shorter than SHORTEST words are not searched; items that repeat an id are
-    searched each. Repeated rows and other columns stay; an input column named leaks gives way. Each shard of items takes one pass
-    over the texts.
+    Null and empty texts have no leaks; items without words are not searched, and of items below five words the whole sequence must be
+    there; items that repeat an id are searched each. Repeated rows and other columns stay; an input column named leaks gives way. Term
+    weights are those over all items, which the driver reads shard by shard. Each shard of items takes one pass over the texts.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     shards = max(1, math.ceil(items.count() / ITEMS_PER_SHARD))
     found = docs.drop(*[c for c in docs.columns if c.lower() == "leaks"])
     found = found.withColumn("leaks", F.array().cast(LEAKS))
-    for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
-        index = Index([(r["item_id"], r["text"]) for r in rows])
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text") for shard in range(shards)]
+    statistics = Statistics()
+    for part in parts:
+        for row in part.collect():
+            statistics.add(row["text"])
+    for part in parts:
+        index = Index([(r["item_id"], r["text"]) for r in part.collect()], statistics)
         ready = found.withColumnRenamed("leaks", "__before").withColumn("__text", F.col(text))
         fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields[:-1])
         found = ready.mapInArrow(_matcher(index, threshold, overlap), f"{fields}leaks {LEAKS}")

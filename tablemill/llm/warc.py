@@ -21,7 +21,8 @@ from tablemill.llm.common import scratch_path, staged
 SMALLEST_REVISIT = 100  # payload bytes
 RECORDS_PER_ARCHIVE = 8_192
 ENTRIES_PER_RANGE = 200_000
-FIRST_CAPTURE = 1_577_836_800  # seconds; a page without a capture time gets this plus its id
+FIRST_CAPTURE = 1_577_836_800  # seconds; a page without a capture time gets this plus its id, which starts over at CLOCK
+CLOCK = 1 << 32
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,7 +48,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     target = F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), r"[\x00-\x20\x7f]", "%20")
-    seconds = F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0)))
+    seconds = F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CLOCK)))
     when = F.date_format(F.to_utc_timestamp(seconds, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     refers = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">\r\n"))
