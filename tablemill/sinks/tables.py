@@ -26,10 +26,10 @@ from tablemill.operators.merge import (
     duplicate_batch_keys,
     keyed_semi,
     merge_parts,
-    unseen_rows,
     with_row_hash,
 )
 from tablemill.session import staged, unstage
+from tablemill.sinks import hashindex
 from tablemill.sinks.files import spread
 
 MODES = ("append", "overwrite", "merge", "incremental")
@@ -158,11 +158,13 @@ def write_idempotent(
     create_if_missing: bool = True,
     partition_by: Sequence[str] = (),
     hash_column: str = HASH_COLUMN,
+    hash_buckets: int = hashindex.BUCKETS,
 ) -> dict[str, object]:
     """Write a batch and return its statistics.
 
     With keys and ``order_by`` the batch is first reduced to the last row of each key. ``merge`` needs keys;
-    ``incremental`` appends the rows whose hash the table does not hold. ``partition_by`` partitions a table that
+    ``incremental`` appends the rows whose hash the table does not hold; its hashes are kept in ``hash_buckets`` buckets beside it (see
+    ``hashindex``). ``partition_by`` partitions a table that
     is created; a merge whose keys include those columns rewrites only the partitions of the batch, any other only the
     files that hold a key of the batch.
 
@@ -201,7 +203,7 @@ def write_idempotent(
         if hash_column not in target.columns:
             replace_contents(with_row_hash(target, df.columns, hash_column), table)
             target = spark.table(table)
-        df = unseen_rows(target, df, hash_column)
+        df = staged(hashindex.unseen(table, with_row_hash(df, output=hash_column), hash_column, hash_buckets))
     counted, rows = _counted(aligned(df, target))
     if mode == "overwrite":  # of the whole table, whatever the session says of partitions, and also from a frame that reads it
         copy = staged(counted)
@@ -209,6 +211,9 @@ def write_idempotent(
         unstage(copy)
     else:
         counted.write.insertInto(table)
+    if mode == "incremental":
+        hashindex.remember(table, df, hash_column, hash_buckets)
+        unstage(df)
     return _stats(mode, rows.get["n"])
 
 

@@ -272,3 +272,38 @@ def test_partition_values_with_odd_signs(frame, database, spark):
     write_idempotent(frame([(1, "x", "a b"), (2, "y", "c%d/e"), (3, "z", "k")], "a int, b string, p string"), name, partition_by=["p"])
     write_idempotent(frame([(1, "X", "c%d/e"), (2, "Y", "c%d/e"), (4, "n", "ü ü")], "a int, b string, p string"), name, "merge", keys=["a"])
     assert bag(spark.table(name)) == [(1, "X", "c%d/e"), (2, "Y", "c%d/e"), (3, "z", "k"), (4, "n", "ü ü")]
+
+
+def test_incremental_batches_read_their_buckets_only(database, spark, frame):
+    from tablemill.sinks import hashindex
+
+    name = f"{database}.t"
+    rows = spark.range(3000).selectExpr("id", "concat('v', id) as b")
+    write_idempotent(rows.where("id < 2000"), name, "incremental")
+    assert write_idempotent(rows.where("id between 1000 and 2499"), name, "incremental")["rows_inserted"] == 500
+    small = rows.where("id in (7, 2800)")
+    hashed = merge.with_row_hash(small)
+    plan = hashindex.unseen(name, hashed, "_row_hash")._jdf.queryExecution().executedPlan().toString()
+    hit = hashindex._placed(hashed.where("id = 7"), "_row_hash", hashindex.BUCKETS).head()["__bucket"]
+    assert "bucket#" in plan and f"IN ({hit})" in plan.replace(f"= {hit})", f"IN ({hit}))").replace("INSET", "IN")
+    assert write_idempotent(small, name, "incremental")["rows_inserted"] == 1
+    assert spark.table(name).count() == 2501 and spark.table(hashindex.hash_table(name)).count() == 2501
+    write_idempotent(frame([(9000, "x")], "id long, b string"), name, "append")  # behind the index's back, without a hash
+    assert write_idempotent(rows, name, "incremental")["rows_inserted"] == 499
+    assert write_idempotent(rows, name, "incremental", hash_buckets=3)["rows_inserted"] == 0
+
+
+def test_an_append_that_was_not_remembered_is_not_repeated(database, spark, monkeypatch):
+    from tablemill.sinks import hashindex
+
+    name, rows = f"{database}.t", spark.range(50)
+    write_idempotent(rows.where("id < 20"), name, "incremental")
+
+    def fail(*_):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(hashindex, "remember", fail)
+        with pytest.raises(RuntimeError):
+            write_idempotent(rows, name, "incremental")
+    assert write_idempotent(rows, name, "incremental")["rows_inserted"] == 0 and spark.table(name).count() == 50
