@@ -117,13 +117,16 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(key, shared, repeated) of the documents with such runs: of stretches that other documents hold too, and of those that a document with a
     smaller id holds. key is a hash of id and text; it tells documents without an id apart."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), _key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    rows = rows.where(F.length("text") >= RUN)
+    rows = rows.where(F.octet_length("text") >= WINDOW)  # a shorter text holds no whole window
+    # rows that repeat id and text would give each of their windows many times; the few keys are written first, so that Spark knows their number
+    again = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    rows = rows.join(again, "key", "left_anti").unionByName(rows.join(again, "key", "left_semi").dropDuplicates(["key"])).select("id", "key", "text")
     chunks = rows.mapInArrow(_chunks, "id long, key long, digest long, span long")
     who = F.when(F.col("id") == NO_ID, F.col("key"))
     holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("final"), F.min(who).alias("who"), F.max(who).alias("other"))
     holders = staged(holders.where("first <> final or who <> other").select("digest", "first", "who"))
     held = chunks.join(holders, "digest").groupBy("key").agg(F.collect_list(F.struct("span", "first", "who")).alias("held"))  # one document's chunks
-    owned = rows.select("key", "id").distinct().join(held, "key").select("key", "id", "held")
+    owned = rows.select("key", "id").join(held, "key").select("key", "id", "held")
     return owned.mapInArrow(_runs, f"key long, shared {SPANS}, repeated {SPANS}").where("size(shared) > 0")
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tablemill.llm import ann, warc
+from tablemill.llm import ann, chunks, warc
 from tablemill.llm.decontamination import Index, Statistics, find_leaks, item_shingles
 
 
@@ -42,3 +42,25 @@ def test_scores_do_not_depend_on_the_number_of_shards():
     whole = {leak["item_id"]: leak["score"] for _, text in items for leak in Index(items).leaks(text)}
     parted = {leak["item_id"]: leak["score"] for part in (items[:13], items[13:]) for _, text in part for leak in Index(part, statistics).leaks(text)}
     assert whole.keys() == parted.keys() == set(range(40)) and all(parted[i] == pytest.approx(whole[i]) for i in whole)
+
+
+def test_rows_that_repeat_and_texts_shorter_than_a_run(spark):
+    """One row repeated a thousand times gives its windows once; a text too short for a run of its own holds windows for others."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    long, short = " ".join(words[:60]), " ".join(words[100:113])
+    assert chunks.WINDOW < len(short) < chunks.RUN
+    other = f"{' '.join(words[200:240])} {short} {' '.join(words[240:280])}"
+    rows = [(1, long)] * 1000 + [(None, long)] * 500 + [(3, short), (4, other), (5, f"{long} {' '.join(words[300:330])}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = chunks.repeated_runs(df).collect()
+    assert len(held) == len({r.key for r in held}) and all(len(r.shared) <= 3 for r in held)
+    got = chunks.mark_repeats(df)
+    assert got.count() == len(rows)
+    five = got.where("doc_id = 5").head()
+    assert five.repeated_spans and five.repeated_spans[0].end - five.repeated_spans[0].start > 0.8 * len(long)
+    assert got.where("doc_id = 1 and size(repeated_spans) > 0").isEmpty() and got.where("doc_id is null and size(repeated_spans) = 0").isEmpty()
+    chunk_rows = chunks.windows(chunks.cut_points(__import__("numpy").frombuffer(short.encode(), "uint8")))
+    assert chunk_rows
