@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ FEATURES = 2_000  # features of the model: those that tell the classes apart bes
 FIT_ROWS = 40_000  # labelled rows that the logistic model is fitted on at most, about: those with the lowest hashes of the id; features are counted on all
 MIN_TOXIC = 4  # labelled toxic documents that a feature must occur in
 PREFIXES = (3, 4, 5, 6, 7)  # lengths of word beginnings
-MEMO_TOKENS = 100_000
+MEMO_TOKENS, MEMO_WHOLE = 100_000, 300_000
 TEXTS_AT_ONCE = 250  # texts whose features a task holds at a time
 MEMO_LENGTH = 64  # readings of longer tokens are not remembered
 
@@ -106,28 +106,44 @@ class Decoder:
         known = process_store("toxicity_decoder")  # of the last model that a task of this process has used
         mark = hashlib.sha256(np.ascontiguousarray(model).tobytes()).digest()
         if known.get("mark") != mark:
-            known.update(mark=mark, model=model.tolist(), memo={})
-        self.model, self.memo = known["model"], known["memo"]
+            known.update(mark=mark, model=model.tolist(), memo={}, tokens={})
+        self.model, self.memo, self.tokens = known["model"], known["memo"], known["tokens"]
 
     def words(self, text: str) -> Counter:
         """Restored words of a text with their counts."""
         text = text.lower()
         found: Counter = Counter()
-        count, doubled = found.get, DOUBLED.search
+        count, known = found.get, self.tokens.get
         for token, n in Counter(text.split()).items():
-            core = token if token.isalpha() else token.strip(PLAIN_JUNK)
-            if core.isalpha() and not doubled(core):
-                found[core] = count(core, 0) + n
-            elif core:
-                for word in self.readings(core):
-                    found[word] = count(word, 0) + n
-        for run in SPACED.findall(text):  # letters set apart: one word or several, next to what its letters gave above
-            letters = re.sub(r"[\s.\-_*]+", "", run)
-            if len(set(letters)) > 2:
-                for word in self.together([self.restore(letters), self.restore(letters, parted=True)]):
-                    found[word] += 1
+            words = known(token)
+            for word in self.token_words(token) if words is None else words:
+                found[word] = count(word, 0) + n
+        for word in self.spaced_words(text):
+            found[word] += 1
         return found
 
+    def spaced_words(self, text: str) -> Iterator[str]:
+        """Words of letters set apart in a lower-case text: one word or several, next to what the letters gave as tokens."""
+        for run in SPACED.findall(text):
+            letters = re.sub(r"[\s.\-_*]+", "", run)
+            if len(set(letters)) > 1:
+                yield from self.together([self.restore(letters), self.restore(letters, parted=True)])
+
+    def token_words(self, token: str) -> tuple[str, ...]:
+        """Words of a token without white space. Those of tokens that are not too long are remembered."""
+        words = self.read(token)
+        if len(token) <= MEMO_LENGTH:
+            if len(self.tokens) >= MEMO_WHOLE:
+                self.tokens.clear()
+            self.tokens[token] = words
+        return words
+
+    def read(self, token: str) -> tuple[str, ...]:
+        core = token if token.isalpha() else token.strip(PLAIN_JUNK)
+        if core.isalpha() and not DOUBLED.search(core):
+            return (core,)
+        return tuple(self.readings(core)) if core else ()
+
     def readings(self, core: str) -> list[str]:
         """Words of a token without white space, those of its other readings after them; words that the first reading has are not repeated."""
         bare = core if core.isalpha() else core.strip(JUNK)
@@ -252,16 +268,42 @@ def feature_names(words: dict[str, int]) -> set[str]:
 
 
 class Matcher:
-    """Counts the features of a fixed list only. Most words share no beginning with any and are passed over at once."""
+    """Counts the features of a fixed list in texts. What a token has of them is remembered; most have none."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], decoder: Decoder):
         self.names = set(names)
         self.starts = {n.removeprefix("=")[:3] for n in names}
+        self.decoder = decoder
+        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def of_words(self, words: Iterable[str]) -> tuple[str, ...]:
+        found: list[str] = []
+        for word in words:
+            if word[:3] in self.starts:
+                found += [f for f in ("=" + word, *[word[:k] for k in PREFIXES if len(word) > k]) if f in self.names]
+        return tuple(found)
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        found = self.of_words(self.decoder.read(token))
+        if len(token) <= MEMO_LENGTH:
+            if len(self.tokens) >= MEMO_WHOLE:
+                self.tokens.clear()
+            self.tokens[token] = found
+        return found
 
-    def __call__(self, words: Counter) -> Counter:
-        starts, names = self.starts, self.names
-        near = {w: n for w, n in words.items() if w[:3] in starts}
-        return Counter({f: n for f, n in features(near).items() if f in names})
+    def __call__(self, text: str) -> dict[str, int]:
+        text = text.lower()
+        found: dict[str, int] = {}
+        known = self.tokens.get
+        for token, n in Counter(text.split()).items():
+            here = known(token)
+            if here is None:
+                here = self.of_token(token)
+            for f in here:
+                found[f] = found.get(f, 0) + n
+        for f in self.of_words(self.decoder.spaced_words(text)):
+            found[f] = found.get(f, 0) + 1
+        return found
 
 
 def _feature_counts(cube: np.ndarray):
@@ -281,12 +323,12 @@ def _feature_counts(cube: np.ndarray):
 
 
 def _vectors(cube: np.ndarray, names: list[str]):
-    index, match = {f: i for i, f in enumerate(names)}, Matcher(names)
+    index = {f: i for i, f in enumerate(names)}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(cube)
+        match = Matcher(names, Decoder(cube))
         for batch in batches:
-            found = [match(decoder.words(text.as_py() or "")) for text in batch.column(0)]
+            found = [match(text.as_py() or "") for text in batch.column(0)]
             hits = [sorted(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -309,14 +351,14 @@ class ToxicityModel:
 
     def scorer(self):
         weight = dict(zip(self.names, self.weights.tolist()))
-        bias, cube, match = self.bias, self.characters, Matcher(self.names)
+        bias, cube, names = self.bias, self.characters, self.names
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decoder = Decoder(cube)
+            match = Matcher(names, Decoder(cube))
             for batch in batches:
                 scores = []
                 for text in batch.column(batch.num_columns - 1):
-                    found = match(decoder.words(text.as_py() or ""))
+                    found = match(text.as_py() or "")
                     z = bias + sum(weight[f] * math.log1p(found[f]) for f in sorted(found))
                     scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
