@@ -159,7 +159,7 @@ def test_a_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
         spark.createDataFrame([("1000", "900"), ("10", "500")], "source string, target string"))
     rounds = []
     doubled = lineage._doubled
-    monkeypatch.setattr(lineage, "_doubled", lambda paths, jumps, most: rounds.append(paths is jumps) or doubled(paths, jumps, most))
+    monkeypatch.setattr(lineage, "_doubled", lambda paths, jumps, *rest: rounds.append(paths is jumps) or doubled(paths, jumps, *rest))
     got = {r.ancestor: r.depth for r in lineage.upstream(edges, spark.createDataFrame([("600",)], "node string")).collect()}
     assert rounds.count(False) <= 11
     assert got["599"] == 1 and got["500"] == 100 and got["10"] == 101 and got["0"] == 111 and got["499"] == 101 and got["11"] == 589
