@@ -174,6 +174,8 @@ def _matcher(index: Index, threshold: float, overlap: float):
         for batch in batches:
             found = [index.leaks(text.as_py(), threshold, overlap) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], "leaks"])
+            del batch, found
+            pa.default_memory_pool().release_unused()
 
     return match
 

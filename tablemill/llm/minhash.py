@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import process_store, staged
+from tablemill.llm.common import staged
 from tablemill.llm.components import connected_components
 
 ROWS_PER_BAND = 5
 MISS = 1e-8  # most that a pair at the threshold may miss all bands
 SHINGLES_AT_ONCE = 4096
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 SMALL_BUCKET = 16  # classes; larger buckets are compared in blocks
 BLOCK = 128  # classes of a block
 COLUMNS_AT_ONCE = 4_096
@@ -62,7 +62,7 @@ class Shingler:
         import xxhash
 
         self.size, self.digest = words, xxhash.xxh3_64_intdigest
-        self.memo: dict[bytes, int] = process_store("word_hashes")
+        self.memo: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -106,8 +106,9 @@ class Decoder:
         known = process_store("toxicity_decoder")  # of the last model that a task of this process has used
         mark = hashlib.sha256(np.ascontiguousarray(model).tobytes()).digest()
         if known.get("mark") != mark:
-            known.update(mark=mark, model=model.tolist(), memo={}, tokens={})
-        self.model, self.memo, self.tokens = known["model"], known["memo"], known["tokens"]
+            known.update(mark=mark, model=model.tolist())
+        # what a task has read goes with it: the worker process lives on into stages that need the memory
+        self.model, self.memo, self.tokens = known["model"], {}, {}
 
     def words(self, text: str) -> Counter:
         """Restored words of a text with their counts."""
@@ -362,6 +363,7 @@ class ToxicityModel:
                     z = bias + sum(weight[f] * math.log1p(found[f]) for f in sorted(found))
                     scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            pa.default_memory_pool().release_unused()
 
         return score
 
