@@ -25,6 +25,7 @@ WORD = re.compile(r"\w+")
 PART_WORDS = 32  # longest part; passages are twice as long and start every PART_WORDS words, so that each stretch of a part's length lies in one
 ITEMS_PER_SHARD = 512
 BLOCK = 8  # parts of a block
+TEXTS_AT_ONCE = 256  # rows of a batch that a task gives back
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # share of a part's own score that a passage must reach
 SHINGLE = 5
@@ -167,15 +168,15 @@ class Index:
 LEAKS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
 
 
-def _matcher(index: Index, threshold: float, overlap: float):
+def _matcher(index: Index, place: int, threshold: float, overlap: float):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [index.leaks(text.as_py(), threshold, overlap) for text in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], "leaks"])
-            del batch, found
-            pa.default_memory_pool().release_unused()
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):  # rows go back in small batches, which take little memory on both sides
+                batch = whole.slice(start, TEXTS_AT_ONCE)
+                found = [index.leaks(text.as_py(), threshold, overlap) for text in batch.column(place)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "leaks"])
 
     return match
 
@@ -199,8 +200,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
             statistics.add(row["text"])
     for part in parts:
         index = Index([(r["item_id"], r["text"]) for r in part.collect()], statistics)
-        ready = found.withColumnRenamed("leaks", "__before").withColumn("__text", F.col(text))
-        fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields[:-1])
-        found = ready.mapInArrow(_matcher(index, threshold, overlap), f"{fields}leaks {LEAKS}")
+        ready = found.withColumnRenamed("leaks", "__before")
+        place = [c.lower() for c in ready.columns].index(text.lower())
+        fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields)
+        found = ready.mapInArrow(_matcher(index, place, threshold, overlap), f"{fields}leaks {LEAKS}")
         found = found.withColumn("leaks", F.sort_array(F.concat("__before", "leaks"))).drop("__before")
     return found
