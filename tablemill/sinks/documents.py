@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tablemill.functions.text import field, named
 from tablemill.operators.ordered import running
-from tablemill.operators.ranges import join_between
+from tablemill.operators.ranges import lists_between
 from tablemill.session import staged
 
 ROWS_PER_DOCUMENT = 10_000
@@ -149,9 +149,7 @@ def nest_between(
     """``nest`` with a condition: the children whose ``at`` lies between the parent's ``low`` and ``high``, both included, and whose
     columns ``on`` are the parent's. A child may have several parents. Parents are written once, so that repeated rows stay apart."""
     known = staged(parents.withColumn("__parent", F.monotonically_increasing_id()))
-    bounds = known.select("__parent", named(low).alias("__low"), named(high).alias("__high"), *[named(c) for c in on])
-    pairs = join_between(bounds, children, "__low", "__high", at, on).select("__parent", *[named(c) for c in children.columns if c not in on])
-    return nest(known, pairs, ["__parent"], order_by, name, max_children, ranges).drop("__parent")
+    return lists_between(known, children, low, high, at, on, "__parent", order_by, max_children, name, ranges).drop("__parent")
 
 
 def xml_documents(nested: DataFrame, row_tag: str, keep: Sequence[str], attributes: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators.ranges import join_between
+from tablemill.operators.ranges import join_between, lists_between
 from tablemill.sinks import documents
 
 
@@ -60,3 +60,51 @@ def test_children_between_bounds(spark):
     found = sorted((r.k, r.part, tuple(x["at"] for x in r.kids)) for r in rows)
     one = [(1, 0, tuple(range(8))), (1, 1, (8, 9))]
     assert found == sorted(one * 2 + [(2, 0, tuple(range(5, 13))), (2, 1, tuple(range(13, 21))), (2, 2, tuple(range(21, 26))), (3, 0, ()), (4, 0, ())])
+
+
+def in_lists(parents, children, size):
+    """A nested loop: (k, part, children in the order of c)."""
+    out = []
+    for k, g, lo, hi in parents:
+        kids = sorted(c for h, at, c in children if None not in (g, h, lo, hi, at) and g == h and lo <= at <= hi)
+        out += [(k, p, tuple(kids[p * size:(p + 1) * size])) for p in range(max(1, -(-len(kids) // size)))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block,share,size", [(3, 2, 5), (7, 100, 3), (4_096, 1, 8), (1, 1, 1)])
+def test_lists_over_the_ends_of_blocks(spark, block, share, size):
+    rng = random.Random(block)
+    parents = [(k, rng.choice(["a", "b", None]), rng.choice([None, lo, lo, lo]), lo + rng.choice([-1, 0, 0.5, 30, 64, 500]))
+               for k, lo in enumerate(rng.uniform(-99, 99) for _ in range(50))]
+    children = [(rng.choice("abbc"), rng.choice([None, float("nan"), *[rng.uniform(-120, 120)] * 9]), c) for c in range(150)]
+    children += [("a", lo, 200 + k) for k, _, lo, _ in parents] + [("b", hi, 300 + k) for k, _, _, hi in parents] + [("b", 1.5, 400)] * 9
+    got = lists_between(spark.createDataFrame(parents, "k int, g string, lo double, hi double"), spark.createDataFrame(children, "g string, at double, c int"),
+                        "lo", "hi", "at", ["g"], "k", ["c"], size, "kids", block=block, share=share)
+    assert got.columns == ["k", "g", "lo", "hi", "part", "kids"] and got.schema["part"].dataType.simpleString() == "int"
+    real = [c for c in children if c[1] == c[1]]
+    assert sorted((r.k, r.part, tuple(x["c"] for x in r.kids)) for r in got.collect()) == in_lists(parents, real, size)
+
+
+def test_an_interval_a_hair_wider_than_its_power_of_two(spark):
+    a = spark.createDataFrame([(1, -1e-20, 1.0)], "k int, lo double, hi double")
+    b = spark.createDataFrame([(-1e-20,), (0.5,), (1.0,)], "at double")
+    assert [len(r.kids) for r in lists_between(a, b, "lo", "hi", "at", [], "k", ["at"], 9, "kids").collect()] == [3]
+
+
+def test_pairs_are_not_written(spark, monkeypatch):
+    """40 parents of all 900 children: rows written grow with the rows, not with the pairs."""
+    from tablemill.operators import ordered, ranges
+
+    written = []
+
+    def counted(df, write=ordered.staged):
+        written.append((out := write(df)).count())
+        return out
+
+    for module in (ordered, ranges, documents):
+        if hasattr(module, "staged"):
+            monkeypatch.setattr(module, "staged", counted)
+    parents = spark.range(40).selectExpr("id as k", "-1L as lo", "2000L as hi")
+    rows = documents.nest_between(parents, spark.range(900).selectExpr("id as at"), "lo", "hi", "at", ["at"], "kids", max_children=100).collect()
+    assert len(rows) == 360 and all([x["at"] for x in r.kids] == list(range(r.part * 100, r.part * 100 + 100)) for r in rows)
+    assert sum(written) < 40 * 900 / 3
