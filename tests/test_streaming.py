@@ -145,3 +145,34 @@ def test_only_new_files_are_taken(spark, tmp_path):
     with pytest.raises(Exception, match="cut off"):
         take(fail=True)
     assert take() == 1 and seen[2:] == [(3, "three.json")]
+
+
+def test_many_keys_share_states(spark, tmp_path):
+    """6,000 keys, each in a state of its own before; every third comes again, in the same micro-batch or a later one."""
+    from tablemill.streaming.keyed import BUCKETS
+
+    rows = spark.range(6_000).selectExpr("cast(id as int) id", "cast(id as string) k", "1 j", "timestamp_seconds(1700000000 + id % 50) t", "cast(id as double) v")
+    again = rows.where("id % 3 = 0").selectExpr("id + 10000 id", "k", "j", "t", "v")
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    seen = []
+    ends = spark.createDataFrame([(-1, "end", 1, at(10_000_000), 0.0), (-2, "end", 2, at(20_000_000), 0.0)], TIMED)
+    for part in (rows.union(again.where("id % 2 = 0")), again.where("id % 2 = 1"), ends.where("id = -1"), ends.where("id = -2")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        run = with_repeats(spark.readStream.schema(TIMED).parquet(folder), ["k", "j"], "t", "30 minutes").writeStream.format("parquet").option(
+            "checkpointLocation", state).trigger(availableNow=True).start(out)
+        run.awaitTermination()
+        seen += [s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]]
+    got = {r.id: r.repeated for r in spark.read.parquet(out).where("id >= 0").collect()}
+    assert got == {i: i >= 10_000 or i % 3 == 0 for i in [*range(6_000), *range(10_000, 16_000, 3)] if i < 6_000 or (i - 10_000) % 3 == 0}
+    assert 0 < max(seen) <= BUCKETS
+
+
+def test_keys_of_one_state_keep_their_own_time(spark, tmp_path):
+    batches = [
+        [(1, "a", 1, at(0), 0.0), (2, "b", 1, at(50), -0.0)], [(3, "z", 1, at(100), 5.0)], [(4, "a", 1, at(101), 0.0), (5, "b", 1, at(101), 0.0)],
+        [(6, "c", 1, at(900), float("nan"))], [(7, "c", 1, at(910), float("nan"))], [(8, "y", 1, at(2000), 0.0)], [(9, "x", 1, at(4000), 0.0)], [(10, "w", 1, at(6000), 0.0)],
+    ]
+    got = through(spark, tmp_path, batches, lambda s: with_repeats(s, ["k", "v"], "t", "40 minutes", buckets=1)).collect()
+    marks = {r.id: r.repeated for r in got}
+    assert len(got) == len(marks) and {i: marks[i] for i in (1, 3, 4, 8)} == {1: False, 3: False, 4: False, 8: False}
+    assert marks[2] and marks[5] and marks[6] and marks[7]
