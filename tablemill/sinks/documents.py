@@ -102,9 +102,10 @@ def yaml_documents(documents: DataFrame, wrap: str | None = None, sort_keys: boo
     return documents.select("doc_no", "json").mapInPandas(dump, "doc_no long, yaml string")
 
 
-def write_yaml(df: DataFrame, path: str, sort_keys: bool = False, mode: str = "errorifexists") -> None:
-    """YAML lists, one per output file."""
-    yaml_rows(df, sort_keys).write.mode(mode).text(path)
+def write_yaml(df: DataFrame, path: str, sort_keys: bool = False, mode: str = "errorifexists",
+               rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
+    """YAML lists, one per output file, of at most ``rows_per_document`` rows: a reader parses each as a whole."""
+    yaml_rows(df, sort_keys).write.mode(mode).option("maxRecordsPerFile", rows_per_document).text(path)
 
 
 def nest(

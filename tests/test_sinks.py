@@ -61,6 +61,14 @@ def test_yaml(df, tmp_path):
     assert [k.strip().split(":")[0] for k in keys] == ["d", "id", "s"]
 
 
+def test_yaml_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    """One partition of 25,000 rows was one list, which a reader parses in one piece."""
+    documents.write_yaml(spark.range(25_000).coalesce(1), str(tmp_path / "y"))
+    files_of = [yaml.load(p.read_text(), Loader=yaml.CSafeLoader) for p in (tmp_path / "y").glob("part-*")]
+    assert sorted(map(len, files_of)) == [5_000, 10_000, 10_000]
+    assert sorted(r["id"] for rows in files_of for r in rows) == list(range(25_000))
+
+
 def test_xml_nulls(df, tmp_path):
     files.write_xml(df.orderBy("id").coalesce(1), str(tmp_path / "e"), root="r", row="x")
     assert "<s/>" in text_of(tmp_path / "e").replace("<s></s>", "<s/>")
