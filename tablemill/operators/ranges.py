@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,10 +73,11 @@ def join_between(intervals: DataFrame, points: DataFrame, low: str, high: str, a
 
 def lists_between(
     intervals: DataFrame, points: DataFrame, low: str, high: str, at: str, on: Sequence[str], key: str, order_by: Sequence[str],
-    size: int, name: str, ranges: int | None = None, block: int = BLOCK, share: int = SHARE,
+    size: int, name: str, ranges: int | None = None, block: int = BLOCK, share: int = SHARE, held_as: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The interval rows with the points that ``join_between`` finds for them as a list ``name``, in their order and at most ``size`` to a
     list; ``part`` counts an interval's lists from 0. Without points it comes once, with an empty list. ``key`` tells intervals apart.
+    A list holds points as structs, or what ``held_as`` makes of the struct, once for all intervals of a bin.
 
     There are far more pairs than rows, so pairs are neither written nor shuffled. The points of a bin are numbered and held in blocks of
     ``block`` rows; an interval, which lies in one bin, meets the blocks of its bin one by one and cuts its lists out of them. Its
@@ -107,7 +108,9 @@ def lists_between(
     spots = spots.join(starts, cell, "left_semi")
     order = [stored[c] for c in total_order(points, order_by, on)]
     rows = running(spots, group_by=cell, order_by=order, numbers=["__no"], ranges=ranges)
-    rows = staged(rows.withColumn("__block", F.floor((F.col("__no") - 1) / block).cast("int")))
+    entry = F.struct(*[F.col(stored[c]).alias(c) for c in inner])
+    rows = staged(rows.select(*cell, "__no", F.floor((F.col("__no") - 1) / block).cast("int").alias("__block"), F.col(stored[at]).alias("__at"),
+                              (held_as(entry) if held_as else entry).alias("__row")))
 
     cells = rows.groupBy(*cell).agg(F.max("__block").alias("__last")).join(starts, cell)
     asked = wide.join(cells, cell).withColumn("__share", F.pmod(F.xxhash64("__key"), F.col("__shares")).cast("int")).withColumn(
@@ -118,32 +121,43 @@ def lists_between(
     def inside(value: Column) -> Column:
         return (value >= F.col("__low")) & (value <= F.col("__high"))
 
-    counted = asked.drop("__shares", "__last").repartition(tasks, *place).join(dealt, place).where(inside(F.col(stored[at])))
+    counted = asked.drop("__shares", "__last").repartition(tasks, *place).join(dealt, place).where(inside(F.col("__at")))
     counted = staged(counted.groupBy(*place, "__key", "__low", "__high").agg(F.count(F.lit(1)).alias("__n")))
     whole = Window.partitionBy("__key")
     numbered = counted.withColumn("__of", F.sum("__n").over(whole)).withColumn(
         "__from", F.sum("__n").over(whole.orderBy("__block")) - F.col("__n"))
 
     # bounded by the rows of a block
-    entry = F.struct("__no", F.col(stored[at]).alias("at"), F.struct(*[F.col(stored[c]).alias(c) for c in inner]).alias("row"))
-    held = dealt.groupBy(*place).agg(F.array_sort(F.collect_list(entry)).alias("__held"))
-    owners = intervals.select(named(key).alias("__key"), F.struct(*[named(c) for c in intervals.columns]).alias("__owner"))
-    found = numbered.join(owners, "__key").repartition(tasks, *place).join(held, place).withColumn(
-        "__found", F.explode(F.array(F.filter("__held", lambda e: inside(e["at"])))))
+    held = dealt.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("__no", "__at", "__row"))).alias("__held"))
+    # as columns of their own: Spark loses fields of a struct that passes an explode when some of them are dropped later
+    owner = [F.col(f"__o{i}").alias(c) for i, c in enumerate(intervals.columns)]
+    owners = intervals.select(named(key).alias("__key"), *[named(c).alias(f"__o{i}") for i, c in enumerate(intervals.columns)])
     begun, ended = F.col("__from"), F.col("__from") + F.col("__n")
+    first, last = F.floor(begun / size), F.floor((ended - 1) / size)
+
+    def ends(part: Column) -> tuple[Column, Column]:
+        return F.greatest(part * size, begun), F.least((part + 1) * size, ended)
+
+    def whole_in_block(part: Column) -> Column:
+        start, end = ends(part)
+        return end - start == F.least(F.lit(size), F.col("__of") - part * size)
 
     def cut(part: Column) -> Column:
-        start, end = F.greatest(part * size, begun), F.least((part + 1) * size, ended)
+        start, end = ends(part)
         piece = F.slice("__found", (start - begun + 1).cast("int"), (end - start).cast("int"))
-        return F.struct(part.cast("int").alias("part"), F.transform(piece, lambda e: e["row"]).alias("list"))
-
-    parts = F.sequence(F.floor(begun / size), F.floor((ended - 1) / size))
-    pieces = found.select("__key", "__owner", "__block", "__of", "__n", F.explode(F.transform(parts, cut)).alias("__piece")).select(
-        "__key", "__owner", "__block", "__of", "__n", F.col("__piece.part").alias("part"), F.col("__piece.list").alias(name))
-    full = F.size(named(name)) == F.least(F.lit(size), F.col("__of") - F.col("part").cast("long") * size)
-    split = pieces.where((F.col("__of") > F.col("__n")) & ~full).groupBy("__key", "part").agg(F.array_sort(F.collect_list(
-        F.struct("__block", named(name).alias("list")))).alias("__pieces"))
-    split = split.join(owners, "__key").select("__owner.*", "part", F.flatten(F.transform("__pieces", lambda e: e["list"])).alias(name))
-    empty = F.array().cast(T.ArrayType(T.StructType([points.schema[c] for c in inner])))
-    alone = owners.join(counted, "__key", "left_anti").select("__owner.*", F.lit(0).alias("part"), empty.alias(name))
-    return pieces.where(full).select("__owner.*", "part", named(name)).unionByName(split).unionByName(alone)
+        return F.struct(part.cast("int").alias("part"), F.transform(piece, lambda e: e["__row"]).alias("list"))
+
+    def pieces(parts: Column) -> DataFrame:
+        found = numbered.where(F.size(parts) > 0).join(owners, "__key").repartition(tasks, *place).join(held, place).withColumn(
+            "__found", F.explode(F.array(F.filter("__held", lambda e: inside(e["__at"])))))
+        cuts = found.select(*owners.columns, "__block", F.explode(F.transform(parts, cut)).alias("__piece"))
+        return cuts.select(*owners.columns, "__block", F.col("__piece.part").alias("part"), F.col("__piece.list").alias(name))
+
+    full = pieces(F.filter(F.sequence(first, last), whole_in_block)).select(*owner, "part", named(name))
+    # only the first and the last list in a block may go on in another
+    split = pieces(F.filter(F.array_distinct(F.array(first, last)), lambda part: ~whole_in_block(part))).groupBy("__key", "part").agg(
+        F.array_sort(F.collect_list(F.struct("__block", named(name).alias("list")))).alias("__pieces"))
+    split = split.join(owners, "__key").select(*owner, "part", F.flatten(F.transform("__pieces", lambda e: e["list"])).alias(name))
+    empty = F.array().cast(T.ArrayType(rows.schema["__row"].dataType))
+    alone = owners.join(counted, "__key", "left_anti").select(*owner, F.lit(0).alias("part"), empty.alias(name))
+    return full.unionByName(split).unionByName(alone)

@@ -109,15 +109,11 @@ def xml_nested_range(spark, folder):
     clients = documents.nest(customers, orders, ["_id"], ["_key"], "order").drop("part")
     suppliers = table(spark, folder, "supplier").select(
         "s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_acctbal") - 900).alias("low"), (F.col("s_acctbal") + 100).alias("high"))
-    nested = documents.nest_between(suppliers, clients, "low", "high", "c_acctbal", ["_id"], "customer", on=["c_nationkey"], max_children=5)
-    docs = documents.xml_documents(nested.drop("low", "high"), "supplier", ["s_suppkey", "part"], attributes=["s_suppkey", "part"])
-    facts = xml_fields(docs, "xml", {"first_customer": "customer/@id"}, ["s_suppkey", "part", "xml"])
-
-    def elements(tag):
-        return (F.size(F.split("xml", f"<{tag} ")) - 1).cast("long")
-
-    return facts.select(F.col("s_suppkey").alias("supplier"), F.col("part").cast("long").alias("part"), "first_customer",
-                        elements("customer").alias("customers"), elements("order").alias("orders"))
+    nested = documents.nest_between(suppliers, clients, "low", "high", "c_acctbal", ["_id"], "customer", on=["c_nationkey"], max_children=5, as_xml=True)
+    docs = documents.xml_documents(nested.drop("low", "high"), "supplier", ["s_suppkey", "part"], attributes=["s_suppkey", "part"], written=["customer"])
+    facts = xml_fields(docs, "xml", {"first_customer": "customer/@id", "customers": "count(customer/@id)", "orders": "count(customer/order/@key)"},
+                       ["s_suppkey", "part"], shared=True)
+    return facts.select(F.col("s_suppkey").alias("supplier"), F.col("part").cast("long").alias("part"), "first_customer", "customers", "orders")
 
 
 @query("sink_yaml", fixtures.duck(fixtures.DIRTY))

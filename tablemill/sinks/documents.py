@@ -146,14 +146,36 @@ def nest_between(
     on: Sequence[str] = (),
     max_children: int = ROWS_PER_DOCUMENT,
     ranges: int | None = None,
+    as_xml: bool = False,
 ) -> DataFrame:
     """``nest`` with a condition: the children whose ``at`` lies between the parent's ``low`` and ``high``, both included, and whose
-    columns ``on`` are the parent's. A child may have several parents. Parents are written once, so that repeated rows stay apart."""
+    columns ``on`` are the parent's. A child may have several parents. Parents are written once, so that repeated rows stay apart.
+
+    With ``as_xml`` the list holds each child as the text that ``xml_documents`` has of it, for its argument ``written``: a child is
+    then turned into XML once and not for every parent.
+    """
     known = staged(parents.withColumn("__parent", F.monotonically_increasing_id()))
-    return lists_between(known, children, low, high, at, on, "__parent", order_by, max_children, name, ranges).drop("__parent")
+    held_as = (lambda row: _xml_child(row, name)) if as_xml else None
+    return lists_between(known, children, low, high, at, on, "__parent", order_by, max_children, name, ranges, held_as=held_as).drop("__parent")
+
 
+def _xml_child(row: Column, name: str) -> Column:
+    """What a document holds of one child: the break of line before it and its element with all that is inside."""
+    alone = F.to_xml(F.struct(F.array(row).alias(name)), {"rowTag": "x"})
+    before, after = len("<x>"), len("\n</x>")
+    return F.substr(alone, F.lit(before + 1), F.length(alone) - (before + after))
 
-def xml_documents(nested: DataFrame, row_tag: str, keep: Sequence[str], attributes: Sequence[str] = ()) -> DataFrame:
-    """One XML element per row; structs and lists become nested elements, ``attributes`` become attributes."""
-    fields = [named(c).alias(f"_{c}" if c in attributes else c) for c in nested.columns]
-    return nested.select(*[named(k) for k in keep], F.to_xml(F.struct(*fields), {"rowTag": row_tag}).alias("xml"))
+
+def xml_documents(
+    nested: DataFrame, row_tag: str, keep: Sequence[str], attributes: Sequence[str] = (), written: Sequence[str] = ()
+) -> DataFrame:
+    """One XML element per row; structs and lists become nested elements, ``attributes`` become attributes. Lists in ``written`` hold
+    their children as XML (``nest_between`` with ``as_xml``), which goes into the document as it is."""
+    fields = [named(c).alias(f"_{c}" if c in attributes else c) if c not in written
+              else F.when(F.size(named(c)) > 0, F.lit("")).alias(c) for c in nested.columns]
+    xml = F.to_xml(F.struct(*fields), {"rowTag": row_tag})
+    for c in written:  # text has no "<", and no other element of that depth this name
+        place = f"\n    <{c}></{c}>"
+        filled = F.concat_ws("", F.substring_index(xml, place, 1), named(c), F.substring_index(xml, place, -1))
+        xml = F.when(F.size(named(c)) > 0, filled).otherwise(xml)
+    return nested.select(*[named(k) for k in keep], xml.alias("xml"))

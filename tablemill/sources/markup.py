@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +128,7 @@ def _first(steps: list[str], row: T.StructType) -> Column:
     value, inner = named(steps[0]), row[steps[0]].dataType.elementType
     for step in steps[1:]:
         if step.startswith("@"):
-            return F.get(F.filter(F.transform(value, field("_" + step[1:])), lambda e: e.isNotNull()), 0)
+            return F.get(_attributes(steps), 0)
         value = F.flatten(F.filter(F.transform(value, field(step)), lambda e: e.isNotNull()))
         inner = inner[step].dataType.elementType
     if isinstance(inner, T.StructType):
@@ -134,6 +136,17 @@ def _first(steps: list[str], row: T.StructType) -> Column:
     return F.get(value, 0)
 
 
+def _attributes(steps: list[str]) -> Column:
+    """All attributes on the path, over all elements; null where there is no element."""
+    *elements, last = steps
+    if not elements:
+        return F.when(named("_" + last[1:]).isNotNull(), F.array(named("_" + last[1:])))
+    value = named(elements[0])
+    for step in elements[1:]:
+        value = F.flatten(F.filter(F.transform(value, field(step)), lambda e: e.isNotNull()))
+    return F.filter(F.transform(value, field("_" + last[1:])), lambda e: e.isNotNull())
+
+
 def read_xml(
     spark: SparkSession,
     path: str,
@@ -177,15 +190,169 @@ def read_xml(
     return flat.select(*cells, *([F.col("__file").alias(file_column)] if file_column else []))
 
 
-def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """Fields of the XML element in a text column, by the relative paths of ``read_xml``; each text is parsed once."""
-    wanted = {name: _steps(xpath) for name, xpath in fields.items()}
+_COUNT = re.compile(r"count\((.*/)?@[^/]+\)")
+
+
+def xml_fields(df: DataFrame, column: str, fields: Mapping[str, str], keep: Sequence[str] = (), shared: bool = False) -> DataFrame:
+    """Fields of the XML element in a text column, by the relative paths of ``read_xml``; each text is parsed once. ``count(a/@b)`` is the
+    number of such attributes.
+
+    ``shared``: many texts hold the same elements, as the documents of ``nest_between`` do. A task then parses an element when it
+    first meets it and remembers what it holds. All fields are attributes or their counts then.
+    """
+    counts = {name for name, xpath in fields.items() if _COUNT.fullmatch(xpath)}
+    wanted = {name: _steps(xpath[len("count("):-1] if name in counts else xpath) for name, xpath in fields.items()}
+    if shared and not all(steps[-1].startswith("@") for steps in wanted.values()):
+        raise ValueError("shared elements are read for attributes only")
     shape = _nest(list(wanted.values()))
-    parsed = F.from_xml(named(column), _ddl(shape), {"ignoreNamespace": "true"})
-    rows = df.select(*[named(k).alias(f"__keep_{i}") for i, k in enumerate(keep)], parsed.alias("__row")).select(
-        *[F.col(f"__keep_{i}") for i in range(len(keep))], "__row.*")
-    return rows.select(*[F.col(f"__keep_{i}").alias(k) for i, k in enumerate(keep)],
-                       *[_blank_to_null(_first(steps, shape)).alias(name) for name, steps in wanted.items()])
+    kept = [named(k).alias(f"__keep_{i}") for i, k in enumerate(keep)]
+    text = named(column)
+    if shared:
+        df = df.select(*kept, text.alias("__text"), _remembering(wanted, counts)(text).alias("__known"))
+        kept, text = [F.col(f"__keep_{i}") for i in range(len(keep))], F.when(~F.col("__known.plain"), F.col("__text"))
+    parsed = F.from_xml(text, _ddl(shape), {"ignoreNamespace": "true"})
+    rows = df.select(*kept, *(["__known"] if shared else []), parsed.alias("__row")).select(
+        *[F.col(f"__keep_{i}") for i in range(len(keep))], *(["__known"] if shared else []), F.col("__row").isNotNull().alias("__parsed"), "__row.*")
+    cells = []
+    for i, (name, steps) in enumerate(wanted.items()):
+        if name in counts:
+            cell = F.when(F.col("__parsed"), F.coalesce(F.array_size(_attributes(steps)), F.lit(0)).cast("long"))
+        else:
+            cell = _first(steps, shape)
+        cell = F.when(F.col("__known.plain"), F.col(f"__known.f{i}")).otherwise(cell) if shared else cell
+        cells.append((cell if name in counts else _blank_to_null(cell)).alias(name))
+    return rows.select(*[F.col(f"__keep_{i}").alias(k) for i, k in enumerate(keep)], *cells)
+
+
+class _NotPlain(Exception):
+    """A text that is left to Spark's parser: broken, or with names or parts on which parsers differ."""
+
+
+REMEMBERED = 64_000_000  # bytes of elements that a task remembers
+_Path = tuple[list[str], bool]  # steps to an attribute, whether it is counted
+
+
+class _Attributes:
+    """The first attribute or the number of attributes on each path, in texts of which many hold the same elements.
+
+    Reads plain texts only; what parsers differ on, and any error, is for Spark's parser.
+    """
+
+    def __init__(self, paths: Sequence[_Path]) -> None:
+        self.empty = [0 if counted else None for _, counted in paths]
+        self.counted = [counted for _, counted in paths]
+        self.below: dict = {}  # by name what is below: elements, and for an attribute its paths
+        for i, (steps, _) in enumerate(paths):
+            here = self.below
+            for step in steps[:-1]:
+                here = here.setdefault(step, {})
+            here.setdefault(steps[-1], []).append(i)
+        self.steps = {step.lstrip("@") for steps, _ in paths for step in steps}
+        self.names: set[str] = set()
+        self.known: dict[bytes, list | None] = {}
+        self.size = 0
+
+    def _named(self, name: str) -> None:
+        """Names that are like one of a path, or may be, but are not it, are not plain."""
+        if not name.isascii() or ":" in name or name == "xmlns" or len(name) > 900 or (
+                name not in self.steps and name.lower() in {step.lower() for step in self.steps}):
+            raise _NotPlain
+        if len(self.names) < 10_000:
+            self.names.add(name)
+
+    def element(self, text: bytes, below: dict) -> list | None:
+        """Of a text of one element; ``below`` is what is wanted inside and of it."""
+        if not text.startswith(b"<") or b"<!" in text or b"<?" in text:
+            return None
+        found, names, counted, inside = self.empty.copy(), self.names, self.counted, [below]
+
+        def begin(name: str, attributes: dict[str, str]) -> None:
+            if name not in names:
+                self._named(name)
+            here = inside[-1].get(name, {})
+            inside.append(here)
+            for a, value in attributes.items():
+                if a not in names:
+                    self._named(a)
+                for i in here.get("@" + a, ()):
+                    if counted[i]:
+                        found[i] += 1
+                    elif found[i] is None:
+                        found[i] = value
+            if len(inside) > 100 or len(attributes) > 100:
+                raise _NotPlain
+
+        def end(_: str) -> None:
+            inside.pop()
+
+        parser = expat.ParserCreate("utf-8")
+        parser.StartElementHandler, parser.EndElementHandler = begin, end
+        try:
+            parser.Parse(text, True)
+        except (expat.ExpatError, _NotPlain):
+            return None
+        return found
+
+    def child(self, text: bytes) -> list | None:
+        """Of a child of the root, without its first sign."""
+        got = self.known.get(text, self)
+        if got is self:
+            self.size += len(text) + 500
+            if self.size > REMEMBERED:
+                self.known, self.size = {}, len(text) + 500
+            got = self.known[text] = self.element(b"<" + text, self.below)
+        return got
+
+    def document(self, text: bytes) -> list | None:
+        """Of a whole text, or None if it is not plain. An indented document is a root with elements between line breaks: when the root
+        without them and each of them alone are well-formed, the whole is, and it holds what they hold."""
+        head, *cuts = text.split(b"\n    <")
+        children: list[bytes] = []
+        for cut in cuts:
+            if cut.startswith(b"/") and children:
+                children[-1] += b"\n    <" + cut
+            else:
+                children.append(cut)
+        name, _, _ = head[1:].partition(b">")[0].partition(b" ")
+        tail = b"\n</" + name + b">"
+        if not children or not children[-1].endswith(tail):
+            return self.element(text, _Root(self.below))
+        children[-1] = children[-1][:-len(tail)]
+        found = self.element(head + tail, _Root(self.below))
+        for child in children:
+            more = self.child(child)
+            if found is None or more is None:
+                return None
+            found = [a + b if counted else b if a is None else a for a, b, counted in zip(found, more, self.counted)]
+        return found
+
+
+class _Root(dict):
+    """What is wanted above a root of any name."""
+
+    def __init__(self, below: dict) -> None:
+        self.below = below
+
+    def get(self, name: str, default: object = None) -> dict:
+        return self.below
+
+
+def _remembering(wanted: Mapping[str, list[str]], counts: set[str]):
+    """Reads attributes of texts: ``plain``, and for plain texts a field f0, f1, ... for each path."""
+    paths = [(steps, name in counts) for name, steps in wanted.items()]
+    kinds = [("long", pa.int64()) if counted else ("string", pa.string()) for _, counted in paths]
+    shape = ", ".join(["plain: boolean", *(f"f{i}: {kind}" for i, (kind, _) in enumerate(kinds))])
+
+    @F.arrow_udf(f"struct<{shape}>")
+    def read(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = _Attributes(paths)
+        for column in columns:
+            rows = [reader.document(text.as_buffer().to_pybytes()) if text.is_valid else None for text in column]
+            plain = [r is not None for r in rows]
+            cells = [pa.array([r and r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)]
+            yield pa.StructArray.from_arrays([pa.array(plain, pa.bool_()), *cells], names=["plain", *(f"f{i}" for i in range(len(kinds)))])
+
+    return read
 
 
 def _ddl(shape: T.StructType) -> str:

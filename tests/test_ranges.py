@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablemill.operators.ranges import join_between, lists_between
 from tablemill.sinks import documents
+from tablemill.sources import markup
 
 
 def pairs(intervals, points):
@@ -108,3 +109,29 @@ def test_pairs_are_not_written(spark, monkeypatch):
     rows = documents.nest_between(parents, spark.range(900).selectExpr("id as at"), "lo", "hi", "at", ["at"], "kids", max_children=100).collect()
     assert len(rows) == 360 and all([x["at"] for x in r.kids] == list(range(r.part * 100, r.part * 100 + 100)) for r in rows)
     assert sum(written) < 40 * 900 / 3
+
+
+@pytest.mark.parametrize("columns", [["k", "note", "part", "kid", "z"], ["kid", "part"], ["kid"]])
+def test_children_written_once_make_the_same_documents(spark, columns):
+    """Children that are made XML before they meet their parents stand in the documents as those that are written with them."""
+    children = spark.sql("""SELECT 1 g, id AS at, id * 10 AS _id, IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'a<b & "c"\\n    <kid></kid>', '')) AS t,
+     IF(id % 4 = 0, array(), IF(id % 4 = 1, NULL, array(named_struct('_k', id, 'v', NULL, 'kid', ''), named_struct('_k', NULL, 'v', ' é😀 ', 'kid', NULL)))) AS sub
+     FROM range(12) UNION ALL SELECT 1, NULL, 5, 't', NULL UNION ALL SELECT 1, 4, NULL, NULL, NULL""")
+    parents = spark.sql("SELECT id AS k, 1 g, IF(id = 2, '\\n    <kid></kid>', IF(id = 1, '', NULL)) AS note, id * 3 AS lo, id * 3 + 4 AS hi, 'z' AS z FROM range(6)")
+
+    def made(as_xml):
+        nested = documents.nest_between(parents, children, "lo", "hi", "at", ["_id"], "kid", on=["g"], max_children=2, as_xml=as_xml).select(columns)
+        docs = documents.xml_documents(nested, "par", [], [c for c in ("k", "part") if c in columns], written=["kid"] if as_xml else [])
+        return sorted(r.xml for r in docs.collect())
+
+    assert made(True) == made(False) and any("<kid id=" in x for x in made(True)) and any("<kid" not in x for x in made(True))
+
+
+def test_a_child_is_turned_into_xml_once_for_all_its_parents(spark):
+    """40 parents of all 300 children: the lists hold texts that were made before the parents came."""
+    parents, children = spark.range(40).selectExpr("id as k", "-1L as lo", "500L as hi"), spark.range(300).selectExpr("id as at", "id as _id")
+    nested = documents.nest_between(parents, children, "lo", "hi", "at", ["at"], "kid", max_children=50, as_xml=True)
+    assert nested.schema["kid"].dataType.simpleString() == "array<string>" and "to_xml" not in nested._jdf.queryExecution().optimizedPlan().toString()
+    docs = documents.xml_documents(nested, "par", ["k"], ["k", "part"], written=["kid"])
+    facts = markup.xml_fields(docs, "xml", {"first": "kid/@id", "kids": "count(kid/@id)"}, ["k"], shared=True)
+    assert sorted((r.k, int(r.first), r.kids) for r in facts.collect()) == [(k, 50 * p, 50) for k in range(40) for p in range(6)]

@@ -232,3 +232,37 @@ def test_csv_types_by_a_vote_of_all_rows(spark, tmp_path):
     assert dict(got.dtypes) == {"n": "bigint", "x": "double", "d": "date", "y": "date", "b": "boolean", "e": "string", "t": "string", "m": "string"}
     assert [str(r.y) for r in got.orderBy("y").collect()] == ["2022-01-01", "2023-05-01", "2024-01-01"]
     assert "input_file" not in got._jdf.queryExecution().optimizedPlan().toString() and "_metadata" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_elements_are_read_as_whole_texts_are(spark):
+    """Documents of which a task remembers elements give what Spark's parser gives, odd and broken ones too."""
+    def doc(*children, head="<p n='7'>", tail="\n</p>"):
+        return head + "".join(f"\n    {c}" for c in children) + tail
+
+    kid, other = '<kid id="1">\n        <sub key="a"/>\n        <sub key="b">x</sub>\n    </kid>', '<kid id=" 2&lt;&#233; ">\n        <sub/>\n    </kid>'
+    bare = "<kid>\n        <sub key=''/>\n    </kid>"
+    texts = [doc(kid, other, kid), doc(bare, other), doc(bare), doc(), doc(tail="</p>"), doc(kid, tail="</p>"), "<p/>", '<p n="1"/>', doc(kid) + "\n ", doc("<note>1</note>", kid),
+             doc(kid, "<kid id='3'>", other), doc(kid, "</kid>", "<kid>"), doc(kid, "<sub></kid>"), doc(kid, tail="\n</q>"), doc(kid) + "<p/>", doc(kid, head="<p><kid id='0'/></p>"),
+             doc("<!--", kid, "-->", other), doc("<![CDATA[", kid, "]]>"), doc("<?x", kid, "?>"), doc("<a>", kid, "</a>"), doc("<a b='", kid, "'/>"), doc("<kid id='1' id='2'/>"),
+             doc("<x:kid x:id='5'/>", kid), doc("<Kid ID='6'/>", kid), doc("<kid xmlns='u' id='8'/>"), doc("<kid id='&no;'/>"), doc("<kid id='9'>a & b</kid>", kid), "\ufeff" + doc(kid),
+             " " + doc(kid), "", "text", "<p", None, doc(kid, "<kid id='\x01'/>"), doc("<kid id=\"a\nb\"/>"), doc("<é id='1'/>", kid), doc("<kid><kid id='4'/></kid>", "<sub key='z'/>")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").repartition(2)
+    fields = {"n": "@n", "first": "kid/@id", "key": "kid/sub/@key", "kids": "count(kid/@id)", "subs": "count(kid/sub/@key)", "roots": "count(@n)"}
+    whole, shared = ({r.i: tuple(r) for r in markup.xml_fields(df, "x", fields, ["i"], shared=s).collect()} for s in (False, True))
+    assert whole == shared and whole[0] == (0, "7", "1", "a", 3, 4, 1) and whole[32] == (32, *[None] * 6)
+    with pytest.raises(ValueError):
+        markup.xml_fields(df, "x", {"n": "kid"}, shared=True)
+
+
+def test_an_element_of_many_documents_is_parsed_once(monkeypatch):
+    parsed, one = [], markup._Attributes.element
+    monkeypatch.setattr(markup._Attributes, "element", lambda self, text, below: parsed.append(text) or one(self, text, below))
+    reader = markup._Attributes([(["kid", "@id"], False), (["kid", "@id"], True)])
+    kids = [f'<kid id="{i}">\n        <sub>{"x" * 99}</sub>\n    </kid>' for i in range(20)]
+    for i in range(200):
+        five = [(i + k) % 20 for k in range(5)]
+        text = f'<p n="{i}">' + "".join(f"\n    {kids[k]}" for k in five) + "\n</p>"
+        assert reader.document(text.encode()) == [str(five[0]), 5]
+    assert sum(map(len, parsed)) < sum(map(len, kids)) + 200 * len('<p n="199">\n</p>')
+    monkeypatch.setattr(markup, "REMEMBERED", 2_000)
+    assert all(reader.document(f"<p>\n    <kid id='{i % 50}'/>\n</p>".encode()) == [str(i % 50), 1] for i in range(300)) and len(reader.known) < 5
